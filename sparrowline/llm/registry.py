@@ -13,6 +13,13 @@ def op2_mixing(spark, sf_dir):
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark, sf_dir):
+    from sparrowline.llm.simhash import clusters, hex_digits
+
+    found = clusters(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark, sf_dir):
     from sparrowline.llm.packing import pack
 
@@ -20,7 +27,7 @@ def op9_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_mixing, op9_packing)}
+    return {f.__name__: f for f in (op2_mixing, op7_simhash, op9_packing)}
 
 
 def oracle_sql():
