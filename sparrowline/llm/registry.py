@@ -13,6 +13,12 @@ def op2_mixing(spark, sf_dir):
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark, sf_dir):
+    from sparrowline.llm.license_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     from sparrowline.llm.simhash import clusters, hex_digits
 
@@ -20,6 +26,17 @@ def op7_simhash(spark, sf_dir):
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op8_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from pyspark.sql import functions as F
+
+    from sparrowline.llm.token_files import read, write
+
+    files = write(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_packing(spark, sf_dir):
     from sparrowline.llm.packing import pack
 
@@ -27,7 +44,7 @@ def op9_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_mixing, op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op2_mixing, op3_license_scan, op7_simhash, op8_token_files, op9_packing)}
 
 
 def oracle_sql():
