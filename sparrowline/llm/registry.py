@@ -3,7 +3,18 @@
 from __future__ import annotations
 
 from sparrowline.llm import sql
-from sparrowline.llm.common import read_table
+from sparrowline.llm.common import pick, read_table
+
+
+def op1_chat_format(spark, sf_dir):
+    from sparrowline.llm.chat_format import digests, format_chats
+
+    extra = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+        " AS t(conv_id, turn, role, text)"
+    )
+    rows = pick(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return digests(format_chats(rows.unionByName(extra)))
 
 
 def op2_mixing(spark, sf_dir):
@@ -19,6 +30,24 @@ def op3_license_scan(spark, sf_dir):
     return scan(read_table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark, sf_dir):
+    from sparrowline.llm.ann import search
+
+    return search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op5_url_filter(spark, sf_dir):
+    from sparrowline.llm.url_filter import judge
+
+    return judge(read_table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark, sf_dir):
+    from sparrowline.llm.toxicity import score
+
+    return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark, sf_dir):
     from sparrowline.llm.simhash import clusters, hex_digits
 
@@ -43,9 +72,27 @@ def op9_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_exact_topk(spark, sf_dir):
+    from sparrowline.llm.exact_topk import search
+
+    return search(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_mixing, op3_license_scan, op7_simhash, op8_token_files, op9_packing)}
+    every = (
+        op1_chat_format,
+        op2_mixing,
+        op3_license_scan,
+        op4_ann,
+        op5_url_filter,
+        op6_toxicity,
+        op7_simhash,
+        op8_token_files,
+        op9_packing,
+        op10_exact_topk,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql():
-    return {"op2_mixing": sql.MIXING}
+    return {"op1_chat_format": sql.CHAT_FORMAT, "op2_mixing": sql.MIXING, "op10_exact_topk": sql.EXACT_TOPK}

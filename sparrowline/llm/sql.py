@@ -34,3 +34,40 @@ SELECT doc_id, size, source_size, target,
        CAST(least(floor(rate * r + u) - floor(rate * (r - 1) + u), ceil(rate)) AS BIGINT) * size AS taken
 FROM rated
 """
+
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+filled AS (
+  SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS t FROM turns),
+sized AS (
+  SELECT *, 2 * length(t) - length(replace(replace(replace(t, '\', ''), '<', ''), '[', '')) AS chars,
+         CASE r WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17
+              ELSE 16 + 2 * length(r) - length(replace(replace(replace(replace(r, '\', ''), '<', ''), '[', ''), chr(10), ''))
+         END AS marks FROM filled)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))
+         AS turns_sha256,
+       CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, ''
+                         ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS loss_sha256,
+       CAST(sum(chars + marks) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+EXACT_TOPK = r"""
+WITH first AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  GROUP BY vec_id),
+whole AS (SELECT vec_id, list_transform(v, lambda x: floor(64 * x)) AS v FROM first),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 20
+"""
