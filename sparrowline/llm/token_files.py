@@ -18,6 +18,7 @@ empty table gives no file.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -46,27 +48,29 @@ DOCUMENT = np.dtype([("doc_id", "<i8"), ("n_tokens", "<i8"), ("is_null", "u1")])
 FRAME_TOKENS = 1 << 20
 #: Bytes of text that a file is made from, about.
 FILE_BYTES = 24 << 20
-#: Bytes of pieces and ids that a worker remembers before it starts anew.
-REMEMBERED = 96 << 20
+#: Bytes of pieces and ids that a worker remembers.
+REMEMBERED = 128 << 20
 #: Characters that are encoded, and bytes of ids that are handed on, at a time.
-PORTION = 4 << 20
+PORTION = 1 << 20
 
-#: A space that white space or nothing follows; a place before a space that begins a piece.
-LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
-BEFORE_SPACE = re.compile(r"(?= \S)")
+# Fixed value: how byte-level tokenizers cut a text into pieces before they merge bytes.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same cuts for ASCII texts without the separators that `re` takes for white space.
+ASCII_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, as bytes, each ended by the end id.
 
-    A byte-level tokenizer starts a new piece before every space that a visible character
-    follows, and pieces are encoded apart from each other. So texts are cut there, each new piece
-    is encoded once and its ids are remembered: the ids are those of the text encoded whole.
-    Where a tokenizer works otherwise, or a text holds one of its special strings, the text is
-    encoded whole.
+    A byte-level tokenizer cuts a text into pieces by a fixed pattern and encodes them apart from
+    each other. So texts are cut by that pattern, each new piece is encoded once and its ids are
+    remembered: the ids are those of the text encoded whole. Where a tokenizer works otherwise,
+    or a text holds one of its special strings, the text is encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,32 +88,56 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_pieces &= len(self.line) == 1
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind) for e in found]
 
-    def _cut(self, text: str) -> list[str]:
-        """The first piece, then every other one without its leading space."""
+    def _cut(self, text: str) -> list[str] | None:
         if not self.by_pieces or any(s in text for s in self.special):
-            return [text]
-        if LOOSE_SPACE.search(text):
-            first, *others = BEFORE_SPACE.split(text)
-            return [first, *(p[1:] for p in others)]
-        return text.split(" ")
+            return None
+        plain = text.isascii() and not SEPARATORS.search(text)
+        return (ASCII_PIECES if plain else PIECES).findall(text)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces. A line feed is a piece of its own between any two others, so many go in one text."""
+        blank = [p for p in pieces if p.isspace()]
+        self._remember(blank, [i.tobytes() for i in self._ids(blank)])
+        pieces = [p for p in pieces if not p.isspace()]
+        groups = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
+        width = self.kind.itemsize
+        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups])):
+            cuts = (np.flatnonzero(ids == self.line[0]) * width).tolist()
+            if len(cuts) != len(group) - 1:
+                raise ValueError("the tokenizer does not keep line feeds apart")
+            data = ids.tobytes()
+            self._remember(group, [data[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(data)])])
+
+    def _remember(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(pieces, ids))
+        self.held += sum(map(len, pieces)) + sum(map(len, ids)) + 150 * len(pieces)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
+        if self.held > REMEMBERED // 2:  # what is asked for again comes back from the older half
+            self.known, self.old, self.held = {}, self.known, 0
         cut = [self._cut(t or "") for t in texts]
-        firsts = self._ids([c[0] for c in cut])
-        new = list(set().union(*(c[1:] for c in cut)) - self.known.keys())
-        ids = self._ids([" " + p for p in new])
-        self.known.update(zip(new, ids))
-        self.held += sum(map(len, new)) + sum(map(len, ids)) + 150 * len(new)
-        get = self.known.__getitem__
-        return [first + b"".join(map(get, c[1:])) + self.end for first, c in zip(firsts, cut)]
+        pieces = list(set().union(*(c for c in cut if c)))
+        near = dict(zip(pieces, map(self.known.get, pieces)))  # small enough to stay near the processor
+        new = [p for p, ids in near.items() if ids is None]
+        back = [p for p in new if p in self.old]
+        self._remember(back, [self.old[p] for p in back])
+        new = [p for p in new if p not in self.known]
+        if new:
+            self._learn(new)
+        for p in (back, new):
+            near.update(zip(p, map(self.known.get, p)))
+        get = near.__getitem__
+        whole = iter(self._ids([t or "" for t, c in zip(texts, cut) if c is None]))
+        return [(next(whole).tobytes() if c is None else b"".join(map(get, c))) + self.end for c in cut]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
