@@ -21,6 +21,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -49,17 +50,34 @@ FRAME_TOKENS = 1 << 20
 #: Bytes of text that a file is made from, about.
 FILE_BYTES = 24 << 20
 #: Bytes of pieces and ids that a worker remembers.
-REMEMBERED = 128 << 20
+REMEMBERED = 192 << 20
 #: Characters that are encoded, and bytes of ids that are handed on, at a time.
 PORTION = 1 << 20
 
 # Fixed value: how byte-level tokenizers cut a text into pieces before they merge bytes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same cuts for ASCII texts without the separators that `re` takes for white space.
-ASCII_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+
+
+def _latin_pieces() -> re.Pattern:
+    """The same cuts for texts of Latin-1, by the faster `re`."""
+    kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    letters, numbers = kinds["L"], kinds["N"]
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
+
+
+LATIN_PIECES = _latin_pieces()
+#: Separators that `re` alone takes for white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, as bytes, each ended by the end id.
 
@@ -100,8 +118,7 @@ class Encoder:
     def _cut(self, text: str) -> list[str] | None:
         if not self.by_pieces or any(s in text for s in self.special):
             return None
-        plain = text.isascii() and not SEPARATORS.search(text)
-        return (ASCII_PIECES if plain else PIECES).findall(text)
+        return (LATIN_PIECES if _is_latin(text) and not SEPARATORS.search(text) else PIECES).findall(text)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces. A line feed is a piece of its own between any two others, so many go in one text."""
@@ -157,7 +174,7 @@ def skippable(magic: int, content: bytes) -> bytes:
 class Writer:
     """Writes one file: add() for each document in order, then close()."""
 
-    def __init__(self, out, kind: np.dtype, level: int = 3):
+    def __init__(self, out, kind: np.dtype, level: int = 1):
         self.out, self.kind = out, kind
         self.compressor = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.entries: list[tuple[int, int, int]] = []
