@@ -65,17 +65,32 @@ def quantised(size: Column, bits: int) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
 
 
+def matched(rows: DataFrame, table: DataFrame, by: list[str], n: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with a table that has one row a key, with the number `n` of the key's rows.
+
+    A key with more than 1/share of all rows would fill a task by itself. There are fewer than
+    `share` such keys whatever the data, so they are broadcast and their rows stay where they are;
+    only the rows of other keys are shuffled. Keys must not be null. Both sides are read twice, so
+    they should be cheap to read.
+    """
+    many = F.col(n) * share > F.lit(rows.count())
+    large = table.filter(many)
+    others = rows.join(F.broadcast(large.select(*by)), by, "left_anti").join(table.filter(~many), by)
+    return rows.join(F.broadcast(large), by).unionByName(others)
+
+
 def ranked(df: DataFrame, key: str, coarse: str, tie: Column, fine: list[Column], cell_rows: int = 4096) -> DataFrame:
     """Adds `rank`: the row's place, from 1, in its group `key`, no group ever being in one task.
 
     Rows of a group are ordered by `coarse`, then by a hash cell, then by `fine`. A cell
     (key, coarse, hash) holds about `cell_rows` rows, whatever the size of the group, so a key
     with a third of all rows is spread over as many cells as it needs. Only counts of cells are
-    summed up by key. `key` and `coarse` must not hold nulls; `tie` is a non-negative integer.
+    summed up by key. `df` is read several times. `key` and `coarse` must not hold nulls; `tie` is a non-negative integer.
     """
     by = [key, coarse]
-    counts = df.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("long").alias("_cells"))
-    dealt = df.join(counts, by).withColumn("_cell", tie % F.col("_cells")).drop("_cells")
+    counts = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    cells = F.ceil(F.col("_rows") / F.lit(cell_rows)).cast("long")
+    dealt = matched(df, counts, by, "_rows").withColumn("_cell", tie % cells).drop("_rows")
     before = W.partitionBy(key).orderBy(coarse, "_cell").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         dealt.groupBy(*by, "_cell")
