@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparrowline.llm.common import pick, written
+from sparrowline.llm.common import matched, pick, written
 
 BITS, RADIUS, SEED, WORDS = 64, 3, 42, 3
 #: Texts are cut into pieces of about so many bytes, between words, which bounds a task's memory.
@@ -218,7 +218,7 @@ def edges(distinct_fps: DataFrame, tile: int = 4096) -> DataFrame:
     )
     per = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    dealt = keyed.join(per, ["t", "key"]).select("t", "key", "fp", chunks.alias("chunks"))
+    dealt = matched(keyed, per, ["t", "key"], "n").select("t", "key", "fp", chunks.alias("chunks"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))
@@ -263,16 +263,17 @@ def clusters(docs: DataFrame) -> DataFrame:
     root names the component among fingerprints; component_id is the smallest doc_id in it.
     """
     rows = fingerprints(docs)
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "classes")
     roots = components(edges(classes.select("fp")))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    tied = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
-    least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    tied = tied.join(least, "root").select(F.col("fp").alias("node"), "root", "component_id")
+    tied = written(classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id"), "tied")
+    least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    tied = matched(tied, least, ["root"], "n").select(F.col("fp").alias("node"), "root", "component_id")
     classes = classes.join(tied, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"), "rows"
     )
-    return rows.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    found = matched(rows, written(classes, "classes"), ["fp"], "rows")
+    return found.select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def hex_digits(fp: str) -> Column:
@@ -283,10 +284,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of `docs` but for near-duplicates: of each component the document with the smallest id stays."""
     found = written(clusters(docs).select("doc_id", "text_hash", "root"), "clusters")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = found.groupBy("root").agg(F.min(name).alias("first"))
+    first = written(found.groupBy("root").agg(F.min(name).alias("first"), F.count("*").alias("rows")), "first")
     stays = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_hash") == F.col("first.text_hash"))
     judged = written(
-        found.join(first, "root").groupBy("doc_id", "text_hash").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")),
+        matched(found, first, ["root"], "rows")
+        .groupBy("doc_id", "text_hash")
+        .agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")),
         "judged",
     )
     names = [f"_{i}" for i in range(len(docs.columns))]
