@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparrowline.llm.common import pick, written
 from sparrowline.llm.toxic_words import DIGITS, LOOKALIKES, SEEDS, SIGNS
@@ -263,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexic
 def scores(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
     """`docs` as by position columns _0, _1, ..., with their score: see `score` and `filtered`."""
     at = docs.columns.index("text")
-    kinds = ", ".join(f"_{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
+    fields = [StructField(f"_{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
 
     def run(batches):
         for b in batches:
@@ -275,7 +276,9 @@ def scores(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
                 [*b.columns, pa.array(x, pa.float64())], names=[*(f"_{i}" for i in range(b.num_columns)), "score"]
             )
 
-    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]).mapInArrow(run, f"{kinds}, score double")
+    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]).mapInArrow(
+        run, StructType([*fields, StructField("score", DoubleType())])
+    )
 
 
 def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
