@@ -16,6 +16,17 @@ TITLE_BREAKS = r"(?U)[\s\[\]()<>{}/|·,:\-]+"
 UNSTATED = r"^(공고에\s*)?(명시\s*)?(없음|없어요|미기재|명시되지 않음)\.?$"
 LEGAL_FORMS = ("주식회사", "유한회사", "(주)", "㈜", "(유)")
 LOGIN = r"(?i)login|signin|sign-in|sign_in|auth"
+# Fixed value: what stands before text that was read from images.
+IMAGE_TEXT_MARK = "[이미지에 적힌 글]"
+# What ends a line, and spaces inside it.
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+LINE_SPACES = r"[ \t\u00A0\u3000\u200B]+"
+# How pages say that a list is empty.
+NOTHING_LISTED = (
+    r"(?:채용\s*공고|공고|포지션|채용|모집|게시물|게시글|검색\s*결과|조회\s*결과|데이터|직무)\s*(?:이|가|은|는)\s*(?:현재\s*|아직\s*)?없",
+    r"(?i)\bno\s+(?:current\s+|open\s+|available\s+)?(?:open\s+)?(?:positions?|openings?|jobs?|vacancies|roles?|results?)\b"
+    r"|\bthere\s+are\s+(?:currently\s+)?no\b",
+)
 TALENT_POOL = r"인재풀|인력풀|talentpool"
 
 
@@ -26,7 +37,7 @@ def filled(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def content_hash(parts: Sequence[Column]) -> Column:
@@ -160,13 +171,39 @@ def typed(c: Column, kind: Column, choices: Column) -> Column:
     )
 
 
-def paragraphs(c: Column) -> Column:
-    """Paragraphs of a text as HTML, escaped, lines of a paragraph broken."""
-    safe = F.coalesce(c, F.lit(""))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+def paragraphs(c: Column, skipped: str = IMAGE_TEXT_MARK) -> Column:
+    """A text as HTML: lines of a paragraph broken, blank lines between paragraphs; null where there is none."""
+    lines = F.transform(F.split(c, LINE_ENDS), lambda x: F.regexp_replace(F.regexp_replace(x, LINE_SPACES, " "), r"(?U)^\s+|\s+$", ""))
+    safe = F.array_join(F.filter(lines, lambda x: x != skipped), "\n")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         safe = F.replace(safe, F.lit(a), F.lit(b))
-    blocks = F.filter(F.transform(F.split(safe, r"\n{2,}"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.array_join(F.transform(blocks, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")
+    blocks = F.filter(F.split(F.regexp_replace(safe, r"^\n+|\n+$", ""), r"\n{2,}"), lambda p: p != "")
+    html = F.transform(blocks, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
+    return F.nullif(F.array_join(html, ""), F.lit(""))
+
+
+def with_other(field: Column, role: Column, tree: Mapping[str, Sequence[str]], other: str) -> tuple[Column, Column]:
+    """A field and its role by the tree of choices. A field that is not in it becomes `other`, and so
+    does its role; a role that is not the field's own becomes the field's first one that starts
+    with `other`, or `other` where it has none."""
+    known = F.coalesce(field.isin(*tree), F.lit(False))
+    kept = F.lit(other)
+    for name, roles in tree.items():
+        own = next((r for r in roles if r.startswith(other)), other)
+        kept = F.when(field == name, F.when(role.isin(*roles), role).otherwise(own)).otherwise(kept)
+    return F.when(known, field).otherwise(other), kept
+
+
+def empty_notice(text: Column, around: int = 20) -> Column:
+    """Where a page's visible text says that there is nothing listed: the words with some around them, else empty."""
+
+    def said(pattern: str) -> Column:
+        at = F.regexp_instr(text, F.lit(pattern))
+        start = F.greatest(at - around, F.lit(1))
+        end = at + F.length(F.regexp_extract(text, pattern, 0)) + around
+        return F.when(at > 0, F.trim(F.substring(text, start, end - start)))
+
+    return F.coalesce(*[said(p) for p in NOTHING_LISTED], F.lit(""))
 
 
 def as_choice(c: Column, allowed: Iterable[str]) -> Column:

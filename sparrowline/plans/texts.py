@@ -15,11 +15,12 @@ from sparrowline.sources.tables import table
 @query(
     "content_hash",
     r"""SELECT doc_id, sha256(coalesce(source, '') || chr(31) || coalesce(lang, '') || chr(31)
-          || trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) || chr(31)) AS content_hash FROM documents WHERE NOT regexp_matches(text, '[^\x21-\x{10FFFF} \t\n\r]')""",
+          || trim(regexp_replace(coalesce(text, ''), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))
+          || chr(31)) AS content_hash FROM documents""",
 )
 def content_hash(spark, sf_dir):
     """The identity of a posting's content, white space squeezed and null as empty."""
-    docs = table(spark, sf_dir, "documents").filter(~F.regexp_like("text", F.lit(r"[^\x21-\x{10FFFF} \t\n\r]")))
+    docs = table(spark, sf_dir, "documents")
     parts = [F.col("source"), F.col("lang"), F.col("text"), F.lit(None).cast("string")]
     return docs.select("doc_id", T.content_hash(parts).alias("content_hash"))
 
@@ -129,11 +130,12 @@ def fuzzy_title(spark, sf_dir):
 
 @query(
     "text_clip",
-    r"SELECT doc_id, left(trim(regexp_replace(text, '[ \n]+', ' ', 'g')), 80) AS clipped FROM documents WHERE NOT regexp_matches(text, '[^\x21-\x{10FFFF} \n]')",
+    r"""SELECT doc_id, left(trim(regexp_replace(text, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), 80) AS clipped
+        FROM documents""",
 )
 def text_clip(spark, sf_dir):
     """Text in one line, cut to a length (the feature)."""
-    docs = table(spark, sf_dir, "documents").filter(~F.regexp_like("text", F.lit(r"[^\x21-\x{10FFFF} \n]")))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", T.clip(F.col("text"), 80).alias("clipped"))
 
 
