@@ -49,6 +49,8 @@ DOCUMENT = np.dtype([("doc_id", "<i8"), ("n_tokens", "<i8"), ("is_null", "u1")])
 FRAME_TOKENS = 1 << 20
 #: Bytes of text that a file is made from, about.
 FILE_BYTES = 24 << 20
+#: Tasks that files are read by; beyond, each reads several.
+MOST_TASKS = 50_000
 #: Bytes of pieces and ids that a worker remembers.
 REMEMBERED = 192 << 20
 #: Characters that are encoded, and bytes of ids that are handed on, at a time.
@@ -322,5 +324,6 @@ def read(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     def run(batches):
         return _read_files(batches, wanted)
 
-    files = manifest.select("path", "start").repartition("path")
+    # A file a task: by the few bytes of the manifest's rows alone, Spark would put them all in one.
+    files = manifest.select("path", "start").repartition(min(max(1, manifest.count()), MOST_TASKS))
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
