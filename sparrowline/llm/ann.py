@@ -164,7 +164,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = SA
     rows = written(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     n = rows.count()
     some = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < max(1, int(min(1.0, sample / max(n, 1)) * (1 << 20)))
-    fitted = [r.embedding for r in rows.filter(some).select("embedding").collect()] if n else []
+    fitted = [r.embedding for r in sorted(rows.filter(some).select("vec_id", "embedding").collect())] if n else []  # reruns agree
     if not fitted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(np.array(fitted), n, k)

@@ -209,11 +209,13 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexic
         # `taken` has `labelled` rows of 13 bytes at most, about
         pick(docs, "doc_id", "text")
         .join(F.broadcast(taken), "doc_id")
-        .select("text", "toxic", "for_curve", F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high")),
+        .select("doc_id", "text", "toxic", "for_curve", F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high")),
         "labelled",
     )
     # Copies and near-copies of a text would make all of its words stand out: one of them counts.
-    for_words = written(sample.filter(~F.col("for_curve")).dropDuplicates(["low", "high", "toxic"]).select("text", "toxic"), "distinct")
+    kinds = sample.filter(~F.col("for_curve")).groupBy("low", "high", "toxic")
+    first = kinds.agg(F.min(F.struct("doc_id", F.xxhash64("text"), "text")).alias("first"))  # reruns take the same one
+    for_words = written(first.select("first.text", "toxic"), "distinct")
     sizes = {r.toxic: r.n for r in for_words.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -256,6 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexic
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(1)], names=["x1", "x2", "toxic"])
 
     fit = sample.filter("for_curve").select("text", "toxic").mapInArrow(run, "x1 double, x2 double, toxic int").collect()
+    fit.sort()  # the curve doesn't depend on the order in which rows arrive
     x, y = np.array([(r.x1, r.x2) for r in fit]).reshape(-1, 2), np.array([r.toxic for r in fit], dtype=float)
     lexicon.curve = fit_curve(x, y) if len(fit) else []
     return lexicon
