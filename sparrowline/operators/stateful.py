@@ -19,16 +19,33 @@ def land(batch: DataFrame, known_urls: Sequence[DataFrame], landed: DataFrame, s
     return batch.dropDuplicates([scope, url]).dropDuplicates([scope, digest])
 
 
-def trust(runs: DataFrame) -> DataFrame:
+def trust(runs: DataFrame, each: int = 100_000) -> DataFrame:
     """runs(source, run_id, complete, scheduled, status, list_misses, capped, matched) with `reason` why a
     run is not trusted to tell what is missing, null where it is.
 
-    The usual number is the median of the last BASELINE good scheduled runs before it.
+    The usual number is the median of the last BASELINE good scheduled runs before it. Each good run
+    holds the last BASELINE up to itself, from a bounded frame over good runs; a source is cut into ranges
+    of `each` run ids, and a range starts with what the ranges before it carry over.
     """
-    good = F.col("scheduled") & (F.col("status") == "success") & F.col("matched").isNotNull()
-    before = W.partitionBy("source").orderBy("run_id").rowsBetween(W.unboundedPreceding, -1)
-    past = F.collect_list(F.when(good, F.col("matched"))).over(before)
-    last = F.sort_array(F.slice(past, F.greatest(F.size(past) - BASELINE + 1, F.lit(1)), BASELINE))
+    good = F.coalesce(F.col("scheduled") & (F.col("status") == "success") & F.col("matched").isNotNull(), F.lit(False))
+    up_to = W.rowsBetween(1 - BASELINE, 0)
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    empty = F.array().cast("array<" + runs.schema["matched"].dataType.simpleString() + ">")
+    rows = runs.withColumn("_range", F.floor(F.col("run_id") / each)).withColumn("_good", good)
+    own = F.collect_list("matched").over(up_to.partitionBy("source", "_range", "_good").orderBy("run_id"))
+    rows = rows.withColumn("_own", F.when(F.col("_good"), own))
+    inside = before.partitionBy("source", "_range").orderBy("run_id")
+    tail = F.max_by("_own", F.when(F.col("_good"), F.col("run_id"))).alias("_tail")
+    ranges = rows.groupBy("source", "_range").agg(tail).withColumn("_any", F.col("_tail").isNotNull())
+    tails = F.flatten(F.collect_list("_tail").over(up_to.partitionBy("source", "_any").orderBy("_range")))
+    ranges = ranges.withColumn("_tails", F.when(F.col("_any"), tails))
+    carried = F.last("_tails", ignorenulls=True).over(before.partitionBy("source").orderBy("_range"))
+    ranges = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(carried, empty).alias("_carried"))
+    rows = rows.withColumn("_past", F.coalesce(F.last("_own", ignorenulls=True).over(inside), empty))
+    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & F.col("_range").eqNullSafe(F.col("_r")))
+    past = F.concat("_carried", "_past")
+    rows = rows.withColumn("_last", F.sort_array(F.slice(past, F.greatest(F.size(past) - BASELINE + 1, F.lit(1)), BASELINE)))
+    last = F.col("_last")
     n = F.size(last)
     median = (F.get(last, F.floor((n - 1) / F.lit(2)).cast("int")) + F.get(last, F.floor(n / F.lit(2)).cast("int"))) / F.lit(2.0)
     reason = (
@@ -40,7 +57,7 @@ def trust(runs: DataFrame) -> DataFrame:
         .when(n < LEAST_BASELINE, "too few runs to compare")
         .when(F.col("matched") < median * FLOOR, "far fewer than usual")
     )
-    return runs.withColumn("reason", reason)
+    return rows.withColumn("reason", reason).select(*runs.columns, "reason")
 
 
 def missed_state(trusted: DataFrame, postings: DataFrame, seen: DataFrame) -> DataFrame:

@@ -363,8 +363,18 @@ def incremental_landing(spark, sf_dir):
        SELECT run_id, CASE WHEN NOT ok THEN 'not successful' WHEN n < 3 THEN 'too few runs to compare' WHEN matched < usual * 0.5 THEN 'far fewer than usual' END AS reason FROM p""",
 )
 def median_trust_gate(spark, sf_dir):
-    """Which runs can be trusted to tell what is missing, against the median of the last seven good ones (sources up to 20: SQL is quadratic here)."""
-    runs_ = table(spark, sf_dir, "events").filter("user_id <= 20").select(
+    """Which runs of sources up to 20 can be trusted to tell what is missing: what its SQL, which is quadratic, covers."""
+    return _trust_gate(table(spark, sf_dir, "events").filter("user_id <= 20"))
+
+
+@query("median_trust_gate_all")
+def median_trust_gate_all(spark, sf_dir):
+    """Which runs of all sources can be trusted, against the median of the last seven good ones."""
+    return _trust_gate(table(spark, sf_dir, "events"))
+
+
+def _trust_gate(events):
+    runs_ = events.select(
         F.col("event_id").alias("run_id"), F.col("user_id").alias("source"), F.lit(True).alias("complete"), F.lit(True).alias("scheduled"),
         F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.lit(0).alias("list_misses"), F.lit(False).alias("capped"),
         F.floor("value").alias("matched"),

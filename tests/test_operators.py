@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from sparrowline.operators import predicates as P
 from sparrowline.operators import relational as R
 from sparrowline.operators import rules as U
 from sparrowline.operators import stateful as S
+from sparrowline.plans import registry
 from sparrowline.sources import payloads as J
 from sparrowline.streaming import runs as ST
 
@@ -170,6 +173,32 @@ def test_trust_needs_a_baseline(spark):
     assert [found[i] for i in range(9)] == ["too few runs to compare"] * 3 + ["far fewer than usual", None, None, "not scheduled", "items unread", "not successful"]
 
 
+@pytest.mark.parametrize("each", [1, 10, 1000])
+def test_trust_of_a_long_source_carries_over_ranges(spark, each):
+    cols = "source long, run_id long, complete boolean, scheduled boolean, status string, list_misses int, capped boolean, matched int"
+    draw = random.Random(1)
+    rows = [
+        (draw.choice([1, 1, 2, None]), i, True, True, "failed" if draw.random() < 0.3 or 60 < i < 110 else "success", 0, False, draw.randrange(1, 30))
+        for i in range(300)
+    ]
+    found = S.trust(spark.createDataFrame(rows, cols), each=each)
+    past, want = {}, {}
+    for source, i, _, _, status, _, _, n in rows:
+        last = past.setdefault(source, [])[-7:]
+        few = len(last) < 3
+        want[i] = "not successful" if status == "failed" else "too few runs to compare" if few else "far fewer than usual" if n < 0.5 * statistics.median(last) else None
+        past[source] += [n] if status == "success" else []
+    assert {r.run_id: r.reason for r in found.collect()} == want
+
+
+def test_trust_gate_judges_all_events(spark, tmp_path):
+    rows = [(i, u, "click", 10.0) for i, u in enumerate([1, 20, 21, 500] * 5)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.queries()["median_trust_gate_all"](spark, str(tmp_path)).collect()
+    assert sorted(r.run_id for r in found) == list(range(20))
+    assert sum(r.reason is None for r in found) == 4 * 2
+
+
 def test_duplicates_of_others(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("b", None, 3), ("b", "x", 4), ("c", "y", 5), ("c", "y", 5)], "k string, g string, id long")
     assert sorted(r.id for r in R.duplicates_of_others(df, ["k", "g"], "id").collect()) == [1, 2]
