@@ -6,16 +6,16 @@ and the codes of its residual. A query probes the lists whose centroids are best
 an asymmetric distance table (the query's exact parts against all codes) gives approximate inner
 products, and the best of these are computed again in double precision from the original
 vectors, which are stored beside the codes. The number of lists probed is the smallest that
-finds PROBED of the sample's true neighbours, so flat data gets more probes than clustered data.
+finds PROBED of the sample's true neighbours, so flat data gets more probes than clustered data;
+a query goes on to its next lists until those it probes hold CANDIDATES vectors, at any size of the table.
 
 A list is cut into blocks of about BLOCK vectors, so that a list with a third of all vectors is
 no single task; a query that probes the list meets all of its blocks. A query's lists of each
 block are merged by a tree.
 
 Defined cases: see vectors; zero vectors take no part either; equal scores go to the smaller
-vec_id; a query is never its own candidate; with fewer candidates than k in the probed lists
-fewer are returned, and tables of EXACT vectors at most are searched whole; an empty table gives
-an empty result.
+vec_id; a query is never its own candidate; fewer than k are returned only where the table has no
+more; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sparrowline.llm.common import written
 from sparrowline.llm.vectors import best_columns, matrix, merged, ranks, usable
 
-SAMPLE, BLOCK, EXACT = 20_000, 4096, 2_000
+SAMPLE, BLOCK, CANDIDATES = 20_000, 4096, 512
 CODES = 256
 PROBED, RERANKED = 0.98, 15
 
@@ -79,8 +79,16 @@ class Index:
         return out
 
     def probe(self, q: np.ndarray) -> np.ndarray:
-        """The lists of each query, best first."""
-        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+        """All lists for each query, best first."""
+        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+
+    def probed(self, q: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """[query, list]: whether the list is probed: the first `probes`, and more until they hold `least` vectors."""
+        order = self.probe(q)
+        held = np.cumsum(sizes[order], axis=1) - sizes[order]  # by the lists before
+        out = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(out, order, (held < least) | (np.arange(order.shape[1]) < self.probes), axis=1)
+        return out
 
 
 def fit(sample: np.ndarray, count: int, k: int, parts: int | None = None, seed: int = 3) -> Index:
@@ -116,14 +124,14 @@ def _index_batches(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[
             )
 
 
-def _probe_batches(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _probe_batches(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     """The queries of each list, packed: a row for each list and batch of queries."""
     for b in batches:
         for lo in range(0, b.num_rows, 4096):
             part = b.slice(lo, 4096)
             ids, q = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
-            lists = index.probe(q)
-            rows = [(c, np.flatnonzero((lists == c).any(axis=1))) for c in range(len(index.centres))]
+            met = index.probed(q, sizes, least)
+            rows = [(c, np.flatnonzero(met[:, c])) for c in range(len(index.centres))]
             rows = [(c, at) for c, at in rows if len(at)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c for c, _ in rows], pa.int32()), pa.array([ids[at].tobytes() for _, at in rows]),
@@ -168,18 +176,19 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = SA
     if not fitted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(np.array(fitted), n, k)
-    if n <= EXACT:
-        index.probes = len(index.centres)
 
     def encode(batches):
         return _index_batches(batches, index)
 
+    indexed = written(rows.mapInArrow(encode, "vec_id long, list int, codes binary, vector binary"), "lists")
+    held = np.zeros(len(index.centres), dtype=np.int64)
+    for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row a list
+        held[r["list"]] = r["n"]
+    sizes = {c: -(-int(m) // block) for c, m in enumerate(held)}
+
     def probe(batches):
-        return _probe_batches(batches, index)
+        return _probe_batches(batches, index, held, max(CANDIDATES, k + 1))
 
-    indexed = written(rows.mapInArrow(encode, "vec_id long, list int, codes binary, vector binary"), "lists")
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))  # a row a list
-    sizes = {r["list"]: r["blocks"] for r in sizes.collect()}
     blocks = F.element_at(F.array(*[F.lit(sizes.get(c, 0)) for c in range(len(index.centres))]), F.col("list") + 1)
     first = np.r_[0, np.cumsum([sizes.get(c, 0) for c in range(len(index.centres))])].astype(int).tolist()
     start = F.element_at(F.array(*[F.lit(s) for s in first]), F.col("list") + 1)

@@ -91,3 +91,33 @@ def test_recall_is_over_nine_tenths(spark, clustered):
     assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.9 * len(want)
     x = x.astype(np.float32).astype(float)
     assert all(abs(r.score - (x[r.query_id] * x[r.vec_id]).sum()) < 1e-12 for r in found)
+
+
+def far_groups(rng, n):
+    """30 groups of 8 vectors far from all others, their ids divided by 20 among them, and n vectors in 40 clusters."""
+    x = 0.1 * rng.normal(size=(n, 32)) + rng.normal(size=(40, 32))[rng.integers(0, 40, n)]
+    far = np.repeat(30 * rng.normal(size=(30, 32)), 8, axis=0) + 0.1 * rng.normal(size=(240, 32))
+    return [(20 * i, v.tolist()) for i, v in enumerate(far)] + [(20 * i + 1, v.tolist()) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("n", [1500, 2500])
+def test_lists_are_skipped_at_any_size_and_no_query_lacks_rows(spark, monkeypatch, n):
+    fit, made = ann.fit, []
+
+    def one_list(*args, **kwargs):
+        made.append(fit(*args, **kwargs))
+        made[0].probes = 1
+        return made[0]
+
+    monkeypatch.setattr(ann, "fit", one_list)
+    rows = far_groups(np.random.default_rng(5), n)
+    found = ann.search(frame(spark, rows), block=1000).collect()
+    assert made[0].probes == 1 < len(made[0].centres)
+    assert len(found) == 240 * 20
+
+
+def test_a_query_probes_until_there_are_candidates():
+    index = ann.Index(np.eye(4), [0, 4], [], 1)
+    q = np.array([[4.0, 3.0, 2.0, 1.0], [1.0, 2.0, 3.0, 4.0]])
+    sizes = np.array([5, 10, 10, 30])
+    assert index.probed(q, sizes, 21).tolist() == [[True, True, True, False], [False, False, False, True]]
