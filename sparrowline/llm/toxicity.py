@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparrowline.llm.common import pick, written
+from sparrowline.llm.simhash import fingerprint
 from sparrowline.llm.toxic_words import DIGITS, LOOKALIKES, SEEDS, SIGNS
 
 #: Bounds of what is learned from and of what is learned.
@@ -191,6 +192,23 @@ def _sums(rows: DataFrame, terms_of) -> DataFrame:
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """text, toxic: one of the rows(doc_id, text, toxic) with the same label and SimHash fingerprint.
+
+    Copies and near-copies of a text would make all of its words stand out: one of them counts.
+    """
+
+    def run(batches):
+        for b in batches:
+            prints = [fingerprint(None if t is None else t.encode()) for t in b.column(1).to_pylist()]
+            fp = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=["doc_id", "text", "toxic", "fp"])
+
+    kinds = rows.select(F.col("doc_id").cast("string"), "text", "toxic").mapInArrow(run, "doc_id string, text string, toxic int, fp long")
+    first = kinds.groupBy("fp", "toxic").agg(F.min(F.struct("doc_id", F.xxhash64("text"), "text")).alias("first"))  # reruns take the same one
+    return first.select("first.text", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexicon:
     """The lexicon and its curve, from at most about `labelled` training rows."""
     known = (
@@ -203,19 +221,14 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexic
     share = min(1.0, labelled / max(1, n))
     taken = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("taken")), F.lit(1 << 20)) < int(share * (1 << 20)))
     taken = taken.withColumn("for_curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(3)) == 0)
-    words = F.split(F.lower("text"), r"\s+")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     sample = written(
         # `taken` has `labelled` rows of 13 bytes at most, about
         pick(docs, "doc_id", "text")
         .join(F.broadcast(taken), "doc_id")
-        .select("doc_id", "text", "toxic", "for_curve", F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high")),
+        .select("doc_id", "text", "toxic", "for_curve"),
         "labelled",
     )
-    # Copies and near-copies of a text would make all of its words stand out: one of them counts.
-    kinds = sample.filter(~F.col("for_curve")).groupBy("low", "high", "toxic")
-    first = kinds.agg(F.min(F.struct("doc_id", F.xxhash64("text"), "text")).alias("first"))  # reruns take the same one
-    for_words = written(first.select("first.text", "toxic"), "distinct")
+    for_words = written(distinct_texts(sample.filter(~F.col("for_curve"))), "distinct")
     sizes = {r.toxic: r.n for r in for_words.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:

@@ -98,3 +98,12 @@ def test_odd_rows(spark):
     assert len(found) == 5 and {r.held_out for r in found if r.doc_id is None} == {False}
     assert T.score(docs.limit(0), labels).count() == 0
     assert {r.score for r in T.score(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_only_near_copies_count_once(spark):
+    texts = [f"aa {' '.join(f'w{i}x{k}' for k in range(60))} zz" for i in range(5)]
+    hashes = spark.createDataFrame([(w,) for t in texts for w in t.split()], "w string").selectExpr("w", "xxhash64(w) h").distinct().orderBy("h").collect()
+    ends = f"{hashes[0].w} {hashes[-1].w}"  # every text holds the smallest and the largest hash of a word
+    rows = [(i, f"{t} {ends}", 1) for i, t in enumerate(texts)] + [(9, f"{texts[0]}  {ends}", 1), (10, f"{texts[0]} {ends}", 0)]
+    found = T.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, toxic int")).collect()
+    assert sorted((r.text, r.toxic) for r in found) == sorted((t, c) for i, t, c in rows if i != 9)
