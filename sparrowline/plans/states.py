@@ -14,6 +14,7 @@ from sparrowline.operators import rules as U
 from sparrowline.operators import stateful as S
 from sparrowline.plans.registry import query
 from sparrowline.plans.reports import RUNS_SQL, runs
+from sparrowline.sources.scratch import new_folder
 from sparrowline.sources.tables import table
 from sparrowline.streaming import runs as ST
 
@@ -528,20 +529,12 @@ def outbound_payload(spark, sf_dir):
     return rows.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))).alias("payload"))
 
 
-def _stream_folder(spark, what):
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    return f"{base.rstrip('/')}/sparrowline-streams/{what}-{uuid.uuid4().hex}"
-
-
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
     """Each source and kind once, by Structured Streaming over the table's file."""
     schema = table(spark, sf_dir, "events").schema
     events = ST.read_folder(spark, f"{sf_dir.rstrip('/')}", schema, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    out = _stream_folder(spark, "dedup")
+    out = new_folder(spark, "dedup")
     ST.drain(ST.first_of_key(events, ["user_id", "event_type"], "at", "3650 days").select("user_id", "event_type"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("user_id long, event_type string").parquet(f"{out}/rows")
 
@@ -555,7 +548,7 @@ def stream_daily_counts(spark, sf_dir):
     """Counts by day and kind, given out as the watermark closes the days."""
     schema = table(spark, sf_dir, "events").schema
     events = ST.read_folder(spark, f"{sf_dir.rstrip('/')}", schema, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    out = _stream_folder(spark, "daily")
+    out = new_folder(spark, "daily")
     counts = ST.windowed_counts(events, "at", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
     ST.drain(counts, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("day timestamp_ntz, event_type string, n long").parquet(f"{out}/rows")
