@@ -1,17 +1,21 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and the codebooks of the residuals' parts are fitted by k-means on at most
-about SAMPLE vectors taken by a hash of their id. Every vector is then given its nearest centroid's list
-and the codes of its residual. A query probes the lists whose centroids are best for it; there
-an asymmetric distance table (the query's exact parts against all codes) gives approximate inner
-products, and the best of these are computed again in double precision from the original
-vectors, which are stored beside the codes. The number of lists probed is the smallest that
-finds PROBED of the sample's true neighbours, so flat data gets more probes than clustered data;
-a query goes on to its next lists until those it probes hold CANDIDATES vectors, at any size of the table.
-
-A list is cut into blocks of about BLOCK vectors, so that a list with a third of all vectors is
-no single task; a query that probes the list meets all of its blocks. A query's lists of each
-block are merged by a tree.
+Fitting: k-means in two levels gives the coarse centroids, about the square root of the number of
+vectors, and k-means of the residuals' parts gives the codebooks. Both are fitted on a sample
+taken by a hash of the id: LIST_SAMPLE vectors for each list, SAMPLE_LEAST at least and SAMPLE_MOST at most.
+
+Index: every vector gets its nearest centroid's list and a byte for each part of its residual. Codes and
+ids are kept apart from the vectors. Neighbouring lists share a shard; a list larger than a
+shard is cut by a hash of the id, so no task gets more than a shard.
+
+Search: a query probes the lists whose centroids are best for it. How many is the smallest
+number that reaches PROBED of the true neighbours in the sample, counted at the table's density
+(a sample of a tenth stands for the table by its two nearest of twenty); further lists are
+probed until they hold CANDIDATES vectors. A query travels to each shard that it probes, once. There an asymmetric
+distance table (the query's exact parts against all codes) gives approximate inner products for
+all members of the probed lists, and the SHORTLIST best go on. The short lists of a query are
+merged by a tree to one of SHORTLIST vectors; only these are computed again, in double precision from
+the original vectors, at the shards that hold them.
 
 Defined cases: see vectors; zero vectors take no part either; equal scores go to the smaller
 vec_id; a query is never its own candidate; fewer than k are returned only where the table has no
@@ -29,31 +33,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowline.llm.common import written
-from sparrowline.llm.vectors import best_columns, matrix, merged, ranks, usable
+from sparrowline.llm.vectors import TopLists, best_columns, by_dimension, column_steps, first_of_id, matrix, merged, ranks, tile_rows
 
-SAMPLE, BLOCK, CANDIDATES = 20_000, 4096, 512
-CODES = 256
-PROBED, RERANKED = 0.98, 15
+#: Bounds of the rows that the index is fitted on.
+LIST_SAMPLE, SAMPLE_LEAST, SAMPLE_MOST = 32, 20_000, 1 << 20
+CODES, CODED_SAMPLE = 256, 8192
+PROBED, CANDIDATES, SHORTLIST = 0.96, 512, 100
+#: Rows of a shard at most, and queries of a tile at most, about.
+SHARD_ROWS, QUERIES_AT_ONCE, ROWS_AT_ONCE = 65_536, 64, 8192
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
     """k centres at most; a centre that loses all its points keeps its place."""
-    x = np.ascontiguousarray(x)
-    rng = np.random.default_rng(seed)
     distinct = np.unique(x, axis=0)
-    centres = distinct[rng.permutation(len(distinct))[:k]].copy()
+    centres = distinct[np.random.default_rng(seed).permutation(len(distinct))[:k]].copy()
     for _ in range(rounds):
         own = nearest(x, centres)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
         counts = np.bincount(own, minlength=len(centres))
+        sums = np.stack([np.bincount(own, weights=column, minlength=len(centres)) for column in x.T], axis=1)
         centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
     return centres
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = 0.5 * np.einsum("ij,ij->i", centres, centres)
-    return np.concatenate([np.argmin(half - x[i : i + 4096] @ centres.T, axis=1) for i in range(0, len(x), 4096)])
+    steps = (np.argmin(half - x[i : i + 4096] @ centres.T, axis=1) for i in range(0, len(x), 4096))
+    return np.concatenate([np.zeros(0, dtype=np.int64), *steps])
+
+
+def centroids(x: np.ndarray, lists: int, seed: int = 3) -> np.ndarray:
+    """About `lists` centres: the cells of a coarser k-means are divided by one of their own, so that
+    centres of a cell follow each other."""
+    groups = kmeans(x, max(1, int(lists**0.5)), seed=seed)
+    own = nearest(x, groups)
+    parts = (x[own == g] for g in range(len(groups)))
+    return np.concatenate([kmeans(part, max(1, round(lists * len(part) / len(x))), seed=seed) for part in parts if len(part)])
 
 
 @dataclass
@@ -72,144 +86,230 @@ class Index:
         return own, np.stack([nearest(rest[:, a:b], book).astype(np.uint8) for a, b, book in parts], axis=1)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """[part, query, code]: inner products of the queries' parts with all codes."""
-        out = np.zeros((len(self.books), len(q), CODES), dtype=np.float32)
+        """[part, code, query]: inner products of the queries' parts with all codes."""
+        out = np.zeros((len(self.books), CODES, len(q)), dtype=np.float32)
         for m, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out[m, :, : len(book)] = q[:, a:b] @ book.T
+            out[m, : len(book)] = book @ q[:, a:b].T
         return out
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        """All lists for each query, best first."""
-        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
-
     def probed(self, q: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
         """[query, list]: whether the list is probed: the first `probes`, and more until they hold `least` vectors."""
-        order = self.probe(q)
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
         held = np.cumsum(sizes[order], axis=1) - sizes[order]  # by the lists before
         out = np.zeros(order.shape, dtype=bool)
         np.put_along_axis(out, order, (held < least) | (np.arange(order.shape[1]) < self.probes), axis=1)
         return out
 
 
-def fit(sample: np.ndarray, count: int, k: int, parts: int | None = None, seed: int = 3) -> Index:
+def fit(sample: np.ndarray, count: int, k: int, seed: int = 3) -> Index:
     """An index for `count` vectors, fitted on the sample."""
     dim = sample.shape[1]
-    lists = max(1, min(int(np.sqrt(count)), len(sample) // 32, 4096))
-    centres = kmeans(sample, lists, seed=seed)
+    centres = centroids(sample, max(1, min(int(count**0.5), len(sample) // LIST_SAMPLE)), seed=seed)
     own = nearest(sample, centres)
-    rest = sample - centres[own]
-    cuts = [round(i * dim / (parts or -(-dim // 2))) for i in range((parts or -(-dim // 2)) + 1)]
-    books = [kmeans(rest[:, a:b], CODES, seed=seed) for a, b in zip(cuts, cuts[1:])]
-    index = Index(centres, cuts, books, len(centres))
-    # The lists that hold the true neighbours of some of the sample, by the order they are probed in
     rng = np.random.default_rng(seed)
-    some = rng.permutation(len(sample))[:256]
-    scores = sample[some] @ sample.T
-    scores[np.arange(len(some)), some] = -np.inf
-    place = np.argsort(index.probe(sample[some]), axis=1)  # list: place in the order
-    near = own[best_columns(scores, min(k, len(sample) - 1))] if len(sample) > 1 else np.zeros((len(some), 1), int)
-    found = np.sort(np.take_along_axis(place, near, axis=1).ravel())
-    index.probes = int(found[int(np.ceil(PROBED * len(found))) - 1]) + 1
-    return index
+    some = rng.permutation(len(sample))[:CODED_SAMPLE]
+    rest = sample[some] - centres[own[some]]
+    parts = min(-(-dim // 2), 64)
+    cuts = [round(i * dim / parts) for i in range(parts + 1)]
+    books = [kmeans(rest[:, a:b], CODES, seed=seed) for a, b in zip(cuts, cuts[1:])]
+    return Index(centres, cuts, books, probes_for(sample, own, centres, count, k, rng))
 
 
-def _index_batches(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            x = matrix(b.column(1))
-            own, codes = index.encode(x)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array([v.tobytes() for v in x])],
-                names=["vec_id", "list", "codes", "vector"],
-            )
+def probes_for(sample: np.ndarray, own: np.ndarray, centres: np.ndarray, count: int, k: int, rng) -> int:
+    """How many lists hold PROBED of the nearest of some of the sample, in the order they are probed in."""
+    if len(sample) < 2:
+        return 1
+    some = rng.permutation(len(sample))[:1024]
+    near = max(1, min(round(k * len(sample) / count), len(sample) - 1))  # as many as the table's k nearest have in the sample
+    place = np.argsort(np.argsort(-(sample[some] @ centres.T), axis=1, kind="stable"), axis=1)  # list: place in the order
+    found = []
+    for lo in range(0, len(some), 128):
+        part = some[lo : lo + 128]
+        scores = sample[part] @ sample.T
+        scores[np.arange(len(part)), part] = -np.inf
+        found.append(np.take_along_axis(place[lo : lo + 128], own[best_columns(scores, near)], axis=1).ravel())
+    found = np.sort(np.concatenate(found))
+    return int(found[int(np.ceil(PROBED * len(found))) - 1]) + 1
+
+
+@dataclass
+class Shards:
+    """Which shards hold a list's members: runs of lists, in one shard each or, if a list is large, in several."""
+
+    run_of: np.ndarray  # list: its run
+    starts: np.ndarray  # run: its first list
+    first: np.ndarray  # run: its first shard
+    pieces: np.ndarray  # run: its number of shards
+
+    @staticmethod
+    def of(sizes: np.ndarray, most: int) -> Shards:
+        starts, pieces, held = [], [], 0
+        for c, n in enumerate(sizes.tolist()):
+            if not starts or held + n > most:
+                starts.append(c)
+                pieces.append(max(1, -(-n // most)))
+                held = 0
+            held += n
+        run_of = np.searchsorted(starts, np.arange(len(sizes)), side="right") - 1
+        return Shards(run_of, np.array(starts), np.r_[0, np.cumsum(pieces)[:-1]], np.array(pieces))
+
+    @property
+    def count(self) -> int:
+        return int(self.first[-1] + self.pieces[-1])
 
 
-def _probe_batches(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """The queries of each list, packed: a row for each list and batch of queries."""
+INDEXED = "shard int, list int, vec_id long, codes binary"
+PROBING = "shard int, query_id long, lists array<int>, embedding array<double>"
+
+
+def _probe_batches(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndarray, shards: Shards, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each query and shard that it probes, with the lists that it probes there."""
     for b in batches:
-        for lo in range(0, b.num_rows, 4096):
-            part = b.slice(lo, 4096)
-            ids, q = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
-            met = index.probed(q, sizes, least)
-            rows = [(c, np.flatnonzero(met[:, c])) for c in range(len(index.centres))]
-            rows = [(c, at) for c, at in rows if len(at)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in rows], pa.int32()), pa.array([ids[at].tobytes() for _, at in rows]),
-                 pa.array([q[at].tobytes() for _, at in rows])],
-                names=["list", "query_ids", "queries"],
-            )
-
-
-def search_block(index: Index, own: int, ids, codes, vectors, query_ids, queries, k: int) -> list[tuple]:
-    """(query_id, [(-score, vec_id), ...]): the best of one block of a list by table, then exactly."""
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            met = index.probed(matrix(part.column(1)), sizes, least) & (sizes > 0)
+            query, run = np.nonzero(np.logical_or.reduceat(met, shards.starts, axis=1))
+            ends = np.r_[shards.starts[1:], len(sizes)]
+            lists = [np.flatnonzero(met[q, shards.starts[r] : ends[r]]) + shards.starts[r] for q, r in zip(query, run)]
+            each = shards.pieces[run]
+            again = np.repeat(np.arange(len(query)), each)
+            piece = np.arange(len(again)) - np.repeat(np.cumsum(each) - each, each)
+            offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+            probing = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, int), *lists]).astype(np.int32)))
+            rows = pa.array(query[again])
+            columns = [pa.array((shards.first[run[again]] + piece).astype(np.int32)), part.column(0).take(rows),
+                       probing.take(pa.array(again)), part.column(1).take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "query_id", "lists", "embedding"])
+
+
+def short_lists(index: Index, own: np.ndarray, ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], most: int) -> TopLists:
+    """For each query the best of a shard's members in the lists that it probes, by distance tables."""
     order = np.argsort(ids)
-    ids, codes, vectors = ids[order], codes[order], vectors[order]
-    found = []
-    for lo in range(0, len(query_ids), 64):
-        q, names = queries[lo : lo + 64], query_ids[lo : lo + 64]
-        tables = index.tables(q)
-        about = np.repeat((q @ index.centres[own]).astype(np.float32)[:, None], len(ids), axis=1)
-        for m in range(len(tables)):
-            about += tables[m][:, codes[:, m]]
-        chosen = np.sort(best_columns(about, k * RERANKED), axis=1)
-        for name, one, cols in zip(names.tolist(), q, chosen):
-            cols = cols[ids[cols] != name]
-            exact = (vectors[cols] * one).sum(axis=1)
-            best = best_columns(exact[None, :], k)[0]
-            if len(best):
-                found.append((name, [(-float(s), int(i)) for s, i in zip(exact[best], ids[cols[best]])]))
-    return found
-
-
-LISTS = "query_id long, shard int, top array<struct<neg_score:double,vec_id:long>>"
-ENTRY = pa.list_(pa.struct([("neg_score", pa.float64()), ("vec_id", pa.int64())]))
-
-
-def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    own, ids, codes = own[order], ids[order], codes[order]
+    here, place = np.unique(own, return_inverse=True)
+    out = TopLists(len(query_ids), most, np.float32)
+    alike = np.argsort([x[0] if len(x) else -1 for x in lists], kind="stable")  # queries of the same lists together
+    for lo in range(0, len(query_ids), QUERIES_AT_ONCE):
+        part = alike[lo : lo + QUERIES_AT_ONCE]
+        met = np.zeros((len(here), len(part)), dtype=bool)
+        for j, q in enumerate(part):
+            met[np.isin(here, lists[q]), j] = True
+        rows = np.flatnonzero(met.any(axis=1)[place])
+        tables, base = index.tables(queries[part]), (index.centres[here] @ queries[part].T).astype(np.float32)
+        best = TopLists(len(part), most, np.float32)
+        for a, b in column_steps(len(rows), 4 * most, ROWS_AT_ONCE):
+            some = rows[a:b]
+            about = base[place[some]]
+            for m, table in enumerate(tables):
+                about += table[codes[some, m]]
+            about[~met[place[some]] | (ids[some, None] == query_ids[part])] = -np.inf
+            best.add(np.ascontiguousarray(about.T), ids[some])
+        out.scores[part], out.ids[part] = best.scores, best.ids
+    return out
+
+
+LISTS = "query_id long, shard int, top array<struct<neg_score:float,vec_id:long>>"
+EXACT = "query_id long, shard int, top array<struct<neg_score:double,vec_id:long>>"
+
+
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id `every` divides."""
-    spark = embeddings.sparkSession
-    rows = usable(embeddings).filter(F.exists("embedding", lambda x: x != 0))
-    rows = written(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    n = rows.count()
-    some = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < max(1, int(min(1.0, sample / max(n, 1)) * (1 << 20)))
-    fitted = [r.embedding for r in sorted(rows.filter(some).select("vec_id", "embedding").collect())] if n else []  # reruns agree
-    if not fitted:
+    return by_dimension(embeddings, lambda rows, dim: _search(rows, dim, every, k, shard_rows), "double")
+
+
+def sampled(rows: DataFrame, n: int) -> np.ndarray:
+    """The vectors that the index is fitted on, in the order of their ids, so that reruns agree."""
+    wanted = min(SAMPLE_MOST, max(SAMPLE_LEAST, LIST_SAMPLE * int(n**0.5)))
+    share = F.lit(int(min(1.0, wanted / max(n, 1)) * (1 << 30)))
+    taken = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < share).toArrow()
+    order = np.argsort(taken["vec_id"].to_numpy())
+    return matrix(taken["embedding"])[order] if len(order) else np.zeros((0, 0))
+
+
+def _search(rows: DataFrame, dim: int, every: int, k: int, shard_rows: int) -> DataFrame:
+    spark = rows.sparkSession
+    rows = written(first_of_id(rows.filter(F.exists("embedding", lambda x: x != 0))), "searched")
+    n, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    sample = sampled(rows, n)
+    if not len(sample):
+        sample = sampled(rows.limit(1), 1)  # a few rows of which the hash took none
+    if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit(np.array(fitted), n, k)
-
-    def encode(batches):
-        return _index_batches(batches, index)
-
-    indexed = written(rows.mapInArrow(encode, "vec_id long, list int, codes binary, vector binary"), "lists")
-    held = np.zeros(len(index.centres), dtype=np.int64)
-    for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row a list
-        held[r["list"]] = r["n"]
-    sizes = {c: -(-int(m) // block) for c, m in enumerate(held)}
-
-    def probe(batches):
-        return _probe_batches(batches, index, held, max(CANDIDATES, k + 1))
-
-    blocks = F.element_at(F.array(*[F.lit(sizes.get(c, 0)) for c in range(len(index.centres))]), F.col("list") + 1)
-    first = np.r_[0, np.cumsum([sizes.get(c, 0) for c in range(len(index.centres))])].astype(int).tolist()
-    start = F.element_at(F.array(*[F.lit(s) for s in first]), F.col("list") + 1)
-    members = indexed.withColumn("shard", (start + F.pmod(F.xxhash64("vec_id"), blocks)).cast("int")).select("shard", "list", "vec_id", "codes", "vector")
-    probing = rows.filter(F.col("vec_id") % every == 0).mapInArrow(probe, "list int, query_ids binary, queries binary")
-    probing = probing.filter(blocks > 0).select(F.explode(F.sequence(start, start + blocks - 1)).alias("shard"), "query_ids", "queries")
-    dim = len(fitted[0])
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "shard", "top"]
+    index = fit(sample, n, k)
+    # As many shards as keep all cores at work, more where they would be too large.
+    most = max(1, min(shard_rows, max(1024, -(-n // (2 * spark.sparkContext.defaultParallelism)))))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own, codes = index.encode(matrix(b.column(1)))
+                columns = [b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes])]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "list", "codes"])
+
+    coded = written(rows.mapInArrow(encode, "vec_id long, list int, codes binary"), "codes")
+    sizes = np.zeros(len(index.centres), dtype=np.int64)
+    for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row a list
+        sizes[r["list"]] = r["n"]
+    shards, least = Shards.of(sizes, most), max(CANDIDATES, k + 1)
+    place = spark.createDataFrame(
+        [(c, int(shards.first[r]), int(shards.pieces[r])) for c, r in enumerate(shards.run_of)], "list int, first int, pieces int"
+    )
+    # A row a list, about the square root of the table's rows.
+    placed = coded.join(F.broadcast(place), "list").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "pieces")).cast("int"))
+    placed = written(placed.select("shard", "list", "vec_id", "codes"), "index")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _probe_batches(batches, index, sizes, shards, least)
+
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    blocks = max(1, -(-queries // tile_rows(dim)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    probing = asked.mapInArrow(probe, PROBING).select("shard", block, "query_id", "lists", "embedding")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+
+    def shorten(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return TopLists(0, 1, np.float32).lists(np.zeros(0, np.int64), 0, pa.float32())
+        codes = np.frombuffer(b"".join(left["codes"].to_pylist()), dtype=np.uint8).reshape(left.num_rows, -1)
+        query_ids, lists = right["query_id"].to_numpy(), [x.values.to_numpy() for x in right["lists"]]
+        found = short_lists(index, left["list"].to_numpy(), left["vec_id"].to_numpy(), codes, query_ids, matrix(right["embedding"]), lists, max(SHORTLIST, k))
+        return found.lists(query_ids, key[0].as_py(), pa.float32())
+
+    members = placed.select("shard", every_block, "list", "vec_id", "codes")
+    lists = members.groupBy("shard", "block").cogroup(probing.groupBy("shard", "block")).applyInArrow(shorten, LISTS)
+    chosen = written(merged(lists, max(SHORTLIST, k), shards.count), "short_lists")
+    return ranks(merged(reranked(rows, asked, chosen, k, most, tile_rows(dim)), k, max(1, -(-n // most))), -F.col("x.neg_score"))
+
+
+def reranked(rows: DataFrame, asked: DataFrame, chosen: DataFrame, k: int, most: int, queries_at_once: int) -> DataFrame:
+    """The k best of each query's chosen vectors, computed exactly from the original ones, as lists by shard.
+
+    Vectors are dealt into shards by a hash of their id; a query travels once to each shard that holds some of its chosen.
+    """
+    parts = max(1, -(-rows.count() // most))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("shard")
+    pairs = chosen.select("query_id", F.explode("top.vec_id").alias("vec_id")).select("query_id", shard, "vec_id")
+    wanted = pairs.groupBy("query_id", "shard").agg(F.collect_list("vec_id").alias("wanted"))
+    wanted = wanted.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id")
+    # At most as many requests a tile as a shard holds vectors, about; the vectors travel once for each tile of their shard.
+    tiles = written(wanted.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(queries_at_once)).cast("int").alias("tiles")), "tiles")
+    requests = wanted.join(F.broadcast(tiles), "shard")  # a row a shard
+    requests = requests.select("shard", F.pmod(F.xxhash64("query_id"), "tiles").cast("int").alias("tile"), "query_id", "wanted", "embedding")
+    held = rows.withColumn("shard", shard).join(F.broadcast(tiles), "shard")
+    held = held.select("shard", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "vec_id", "embedding")
+
+    def exact(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "top": pa.array([], ENTRY)})
-        ids = left["vec_id"].to_numpy()
-        codes = np.frombuffer(b"".join(left["codes"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        vectors = np.frombuffer(b"".join(left["vector"].to_pylist())).reshape(len(ids), dim)
-        query_ids = np.frombuffer(b"".join(right["query_ids"].to_pylist()), dtype=np.int64)
-        queries = np.frombuffer(b"".join(right["queries"].to_pylist())).reshape(len(query_ids), dim)
-        found = search_block(index, left["list"][0].as_py(), ids, codes, vectors, query_ids, queries, k)
-        shard = pa.array([key[0].as_py()] * len(found), pa.int32())
-        tops = pa.array([[{"neg_score": s, "vec_id": i} for s, i in t] for _, t in found], ENTRY)
-        return pa.table([pa.array([q for q, _ in found], pa.int64()), shard, tops], names=names)
-
-    lists = members.groupBy("shard").cogroup(probing.groupBy("shard")).applyInArrow(run, LISTS)
-    return ranks(merged(lists, k, first[-1]), -F.col("x.neg_score"))
+            return TopLists(0, k, np.float64).lists(np.zeros(0, np.int64), 0, pa.float64())
+        ids, vectors = left["vec_id"].to_numpy(), matrix(left["embedding"])
+        order = np.argsort(ids)
+        ids, vectors = ids[order], vectors[order]
+        best = TopLists(right.num_rows, k, np.float64)
+        for r, (names, query) in enumerate(zip(right["wanted"], matrix(right["embedding"]))):
+            names = np.sort(names.values.to_numpy())
+            scores = (vectors[np.searchsorted(ids, names)] * query).sum(axis=1)
+            top = np.argsort(-scores, kind="stable")[:k]
+            best.scores[r, : len(top)], best.ids[r, : len(top)] = scores[top], names[top]
+        return best.lists(right["query_id"].to_numpy(), key[0].as_py(), pa.float64())
+
+    return held.groupBy("shard", "tile").cogroup(requests.groupBy("shard", "tile")).applyInArrow(exact, EXACT)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparrowline.sources.scratch import new_folder, shared_folder, written  # noqa: F401  operators take them from here
+
 #: A word is a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,29 +29,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return by_position.select(*[F.col(f"_{at[n]}").alias(n) for n in names])
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="sparrowline-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or f'file://{_own_folder()}').rstrip('/')}/sparrowline"
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows written once to the shared folder and read back: later jobs start from there,
-    and a lost executor costs only its own tasks."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words of the whole text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

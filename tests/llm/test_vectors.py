@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sparrowline.llm import ann, exact_topk
-from sparrowline.llm.vectors import best_columns
+from sparrowline.llm.vectors import TopLists, best_columns, column_steps
 
 KIND = "vec_id long, embedding array<float>, score int, Embedding string"
 
@@ -21,12 +21,10 @@ def brute(rows, value, every, k, zero_ok):
             continue
         v = tuple(float(np.float32(x)) for x in v)
         fine[i] = min(fine.get(i, v), v)
-    sizes = [len(v) for v in fine.values()]
-    most = max(set(sizes), key=lambda s: (sizes.count(s), -s), default=0)
-    fine = {i: value(np.array(v)) for i, v in fine.items() if len(v) == most}
+    fine = {i: value(np.array(v)) for i, v in fine.items()}
     out = []
     for q in (i for i in fine if i % every == 0):
-        best = sorted((-(fine[q] * v).sum(), i) for i, v in fine.items() if i != q)[:k]
+        best = sorted((-(fine[q] * v).sum(), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -46,22 +44,44 @@ def test_best_columns_is_a_stable_sort():
         assert np.array_equal(best_columns(x, k), np.argsort(-x, axis=1, kind="stable")[:, :k])
 
 
-@pytest.mark.parametrize("shard_rows,block_rows", [(8192, 1024), (16, 4)])
-def test_exact_search_is_brute_force(spark, shard_rows, block_rows):
+@pytest.mark.parametrize("most_rows", [None, 64])
+def test_exact_search_is_brute_force(spark, most_rows):
     rows = odd_rows(np.random.default_rng(1), 200)
-    found = exact_topk.search(frame(spark, rows), shard_rows=shard_rows, block_rows=block_rows).collect()
+    found = exact_topk.search(frame(spark, rows), most_rows=most_rows).collect()
     want = brute(rows, lambda v: np.floor(64 * v), 20, 20, zero_ok=True)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == want
 
 
-def test_exact_search_with_few_rows_and_large_numbers(spark):
-    rows = [(0, [1e9, 1.0]), (20, [-1e9, 3.0]), (3, [1e9, -2.0])]
+def test_top_lists_are_those_of_a_whole_sort():
+    rng = np.random.default_rng(4)
+    scores, ids = rng.integers(0, 9, size=(20, 300)).astype(float), np.arange(300) * 3
+    best = TopLists(20, 7, np.float64)
+    for lo, hi in column_steps(300, 10, 64):
+        best.add(scores[:, lo:hi], ids[lo:hi])
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :7]
+    assert np.array_equal(best.ids, ids[order])
+    assert np.array_equal(best.scores, np.take_along_axis(scores, order, axis=1))
+
+
+def test_exact_search_ranks_large_numbers_truly(spark):
+    """Doubles cannot tell these scores apart."""
+    rows = [(0, [3e7, 1.0]), (20, [3e7, 2.0]), (3, [3e7, 3.0]), (4, [3e7, 2.0])]
     found = exact_topk.search(frame(spark, rows)).collect()
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found)
-    whole = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v in rows}
-    for q, _, i, s in got:
-        assert s == max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i]))))
-    assert [(q, i) for q, _, i, _ in got] == [(0, 3), (0, 20), (20, 0), (20, 3)] or len(got) == 4
+    whole = {i: [64 * int(x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20):
+        order = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(order)]
+    assert got == want
+
+
+def test_scores_that_no_long_holds_are_an_error(spark):
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        exact_topk.search(frame(spark, [(0, [1e18]), (1, [1e18])])).collect()
+
+
+def test_exact_search_with_few_rows(spark):
     assert exact_topk.search(frame(spark, [])).count() == 0
     assert exact_topk.search(frame(spark, [(0, [1.0])])).count() == 0
     assert exact_topk.search(frame(spark, [(1, [1.0]), (3, [2.0])])).count() == 0
@@ -69,7 +89,7 @@ def test_exact_search_with_few_rows_and_large_numbers(spark):
 
 def test_small_tables_are_searched_whole(spark):
     rows = odd_rows(np.random.default_rng(2), 300)
-    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame(spark, rows), block=64).collect())
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame(spark, rows), shard_rows=64).collect())
     want = brute(rows, lambda v: v, 20, 20, zero_ok=False)
     assert [w[:3] for w in found] == [w[:3] for w in want]
     assert np.allclose([w[3] for w in found], [w[3] for w in want], atol=1e-12)
@@ -78,14 +98,15 @@ def test_small_tables_are_searched_whole(spark):
 
 
 @pytest.mark.parametrize("clustered", [True, False])
-def test_recall_is_over_nine_tenths(spark, clustered):
+def test_recall_is_over_nine_tenths(spark, monkeypatch, clustered):
     rng = np.random.default_rng(3)
     n, dim = 6000, 32
     x = rng.normal(size=(n, dim))
     if clustered:
         x = 0.3 * x + rng.normal(size=(40, dim))[rng.integers(0, 40, n)]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    found = ann.search(frame(spark, rows), sample=3000, block=1000).collect()
+    monkeypatch.setattr(ann, "SAMPLE_LEAST", 2000)
+    found = ann.search(frame(spark, rows), shard_rows=1000).collect()
     want = {(q, i) for q, _, i, _ in brute(rows, lambda v: v, 20, 20, zero_ok=False)}
     assert len(found) == len(want)
     assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.9 * len(want)
@@ -111,7 +132,7 @@ def test_lists_are_skipped_at_any_size_and_no_query_lacks_rows(spark, monkeypatc
 
     monkeypatch.setattr(ann, "fit", one_list)
     rows = far_groups(np.random.default_rng(5), n)
-    found = ann.search(frame(spark, rows), block=1000).collect()
+    found = ann.search(frame(spark, rows), shard_rows=1000).collect()
     assert made[0].probes == 1 < len(made[0].centres)
     assert len(found) == 240 * 20
 
