@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowline.llm.common import written
-from sparrowline.llm.vectors import TopLists, best_columns, by_dimension, column_steps, first_of_id, matrix, merged, ranks, tile_rows
+from sparrowline.llm.vectors import TopLists, best_columns, by_dimension, steps, first_of_id, matrix, merged, ranks, tile_rows
 
 #: Bounds of the rows that the index is fitted on.
 LIST_SAMPLE, SAMPLE_LEAST, SAMPLE_MOST = 32, 20_000, 1 << 20
 CODES, CODED_SAMPLE = 256, 8192
 PROBED, CANDIDATES, SHORTLIST = 0.96, 512, 100
 #: Rows of a shard at most, and queries of a tile at most, about.
-SHARD_ROWS, QUERIES_AT_ONCE, ROWS_AT_ONCE = 65_536, 64, 8192
+SHARD_ROWS, QUERIES_AT_ONCE, ROWS_AT_ONCE = 65_536, 64, 1024
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -185,25 +185,28 @@ def _probe_batches(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.nd
 def short_lists(index: Index, own: np.ndarray, ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], most: int) -> TopLists:
     """For each query the best of a shard's members in the lists that it probes, by distance tables."""
     order = np.argsort(ids)
-    own, ids, codes = own[order], ids[order], codes[order]
+    own, ids, codes = own[order], ids[order], np.ascontiguousarray(codes[order].T.astype(np.intp))
     here, place = np.unique(own, return_inverse=True)
     out = TopLists(len(query_ids), most, np.float32)
     alike = np.argsort([x[0] if len(x) else -1 for x in lists], kind="stable")  # queries of the same lists together
     for lo in range(0, len(query_ids), QUERIES_AT_ONCE):
         part = alike[lo : lo + QUERIES_AT_ONCE]
-        met = np.zeros((len(here), len(part)), dtype=bool)
-        for j, q in enumerate(part):
-            met[np.isin(here, lists[q]), j] = True
+        met = np.stack([np.isin(here, lists[q]) for q in part], axis=1)
         rows = np.flatnonzero(met.any(axis=1)[place])
-        tables, base = index.tables(queries[part]), (index.centres[here] @ queries[part].T).astype(np.float32)
+        tables = index.tables(queries[part])
+        base = np.where(met, index.centres[here] @ queries[part].T, -np.inf).astype(np.float32)
+        itself = np.searchsorted(ids[rows], query_ids[part])
         best = TopLists(len(part), most, np.float32)
-        for a, b in column_steps(len(rows), 4 * most, ROWS_AT_ONCE):
+        step = np.empty((ROWS_AT_ONCE, len(part)), dtype=np.float32)
+        for a, b in steps(len(rows), 4 * most, ROWS_AT_ONCE):
             some = rows[a:b]
             about = base[place[some]]
-            for m, table in enumerate(tables):
-                about += table[codes[some, m]]
-            about[~met[place[some]] | (ids[some, None] == query_ids[part])] = -np.inf
-            best.add(np.ascontiguousarray(about.T), ids[some])
+            for table, code in zip(tables, codes):
+                about += np.take(table, code[some], axis=0, out=step[: len(some)], mode="clip")
+            q = np.flatnonzero((itself >= a) & (itself < b))
+            q = q[ids[rows[itself[q]]] == query_ids[part[q]]]
+            about[itself[q] - a, q] = -np.inf
+            best.add(about, ids[some])
         out.scores[part], out.ids[part] = best.scores, best.ids
     return out
 

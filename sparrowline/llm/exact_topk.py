@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowline.llm.vectors import TopLists, by_dimension, column_steps, matrix, merged, ranks, tile_rows
+from sparrowline.llm.vectors import TopLists, by_dimension, steps, matrix, merged, ranks, tile_rows
 
-QUERIES_AT_ONCE, ROWS_AT_ONCE = 512, 8192
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 512, 4096
 LISTS = "query_id long, shard int, top array<struct<neg_score:long,vec_id:long>>"
 
 
@@ -55,11 +55,11 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     for a in range(0, len(query_ids), QUERIES_AT_ONCE):
         part = slice(a, a + QUERIES_AT_ONCE)
         best = TopLists(len(query_ids[part]), k, kind)
-        for lo, hi in column_steps(len(ids), 4 * k, ROWS_AT_ONCE):
-            scores = queries[part] @ vectors[lo:hi].T
+        for lo, hi in steps(len(ids), 4 * k, ROWS_AT_ONCE):
+            scores = vectors[lo:hi] @ queries[part].T
             at = np.flatnonzero((own[part] >= lo) & (own[part] < hi))
             at = at[ids[own[part][at]] == query_ids[part][at]]
-            scores[at, own[part][at] - lo] = best.least
+            scores[own[part][at] - lo, at] = best.least
             best.add(scores, ids[lo:hi])
         out.scores[part], out.ids[part] = best.scores, best.ids
     return out

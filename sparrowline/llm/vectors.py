@@ -83,17 +83,19 @@ class TopLists:
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores[query, id]; ids come in ascending order over all calls."""
+        """scores[id, query]; ids come in ascending order over all calls."""
         # An equal score of a later, so larger, id changes nothing: only what is above a query's k-th counts.
-        row, col = np.nonzero(scores > self.scores[:, -1:])
+        at, row = np.nonzero(scores > self.scores[:, -1])
         if not len(row):
             return
         some = np.unique(row)
         held = np.repeat(some, self.k)
         row = np.concatenate([held, row])
-        new = np.concatenate([self.scores[some].ravel(), scores[row[len(held) :], col]])
-        named = np.concatenate([self.ids[some].ravel(), ids[col]])
-        order = np.lexsort((named, -new, row))
+        new = np.concatenate([self.scores[some].ravel(), scores[at, row[len(held) :]]])
+        named = np.concatenate([self.ids[some].ravel(), ids[at]])
+        # Held entries come first and the others by id, so a stable sort keeps ties in the order of ids.
+        order = np.argsort(-new, kind="stable")
+        order = order[np.argsort(row[order].astype(np.int16 if len(self.ids) < 1 << 15 else np.int64), kind="stable")]
         first = np.searchsorted(row[order], some)
         take = order[first[:, None] + np.arange(self.k)]
         self.scores[some], self.ids[some] = new[take], named[take]
@@ -112,8 +114,8 @@ class TopLists:
         )
 
 
-def column_steps(n: int, first: int, most: int) -> list[tuple[int, int]]:
-    """Runs of columns, each as long as all before it, from `first` to `most`: each then adds few to the top lists."""
+def steps(n: int, first: int, most: int) -> list[tuple[int, int]]:
+    """Runs of candidates, each as long as all before it, from `first` to `most`: each then adds few to the top lists."""
     out, lo = [], 0
     while lo < n:
         hi = min(n, lo + min(most, max(first, lo)))

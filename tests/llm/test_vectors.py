@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sparrowline.llm import ann, exact_topk
-from sparrowline.llm.vectors import TopLists, best_columns, column_steps
+from sparrowline.llm.vectors import TopLists, best_columns, steps
 
 KIND = "vec_id long, embedding array<float>, score int, Embedding string"
 
@@ -56,8 +56,8 @@ def test_top_lists_are_those_of_a_whole_sort():
     rng = np.random.default_rng(4)
     scores, ids = rng.integers(0, 9, size=(20, 300)).astype(float), np.arange(300) * 3
     best = TopLists(20, 7, np.float64)
-    for lo, hi in column_steps(300, 10, 64):
-        best.add(scores[:, lo:hi], ids[lo:hi])
+    for lo, hi in steps(300, 10, 64):
+        best.add(scores[:, lo:hi].T, ids[lo:hi])
     order = np.argsort(-scores, axis=1, kind="stable")[:, :7]
     assert np.array_equal(best.ids, ids[order])
     assert np.array_equal(best.scores, np.take_along_axis(scores, order, axis=1))
