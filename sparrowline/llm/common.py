@@ -54,6 +54,13 @@ def matched(rows: DataFrame, table: DataFrame, by: list[str], n: str, share: int
     return rows.join(F.broadcast(large), by).unionByName(others)
 
 
+def one_of_twins(rows: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """One row, whole, for each value of the keys: that with the smallest hash of its columns `names`, so that
+    reruns take the same. An aggregation, which combines in each task first."""
+    columns = F.struct(*names)
+    return rows.groupBy(*keys).agg(F.min_by(columns, F.xxhash64(F.to_json(columns))).alias("_one")).select("_one.*")
+
+
 def ranked(df: DataFrame, key: str, coarse: str, tie: Column, fine: list[Column], cell_rows: int = 4096) -> DataFrame:
     """Adds `rank`: the row's place, from 1, in its group `key`, no group ever being in one task.
 

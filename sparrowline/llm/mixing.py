@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparrowline.llm.common import pick, quantised, ranked, word_count, written
+from sparrowline.llm.common import one_of_twins, pick, quantised, ranked, word_count, written
 
 
 def hash_number(text: Column) -> Column:
@@ -92,7 +92,7 @@ def mix(
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it (not at all, once or more)."""
     took = mix(docs, **options)
-    # Rows that are equal in id and text are interchangeable: their copies are added up and dealt to one of them.
+    # Copies of rows that are equal in id and text are added up; one of these rows, the same at each run, is emitted for all.
     took = written(
         took.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix"
     )
@@ -101,9 +101,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows = docs.toDF(*names).withColumn("_hash", F.xxhash64(key_text))
     same = key_id.eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
     rows = rows.join(took.filter("_copies > 0"), same)
-    if not took.filter("_rows > 1").isEmpty():
-        twins = W.partitionBy(key_id, "_hash").orderBy("_hash")
-        rows = rows.withColumn("_twin", F.row_number().over(twins)).filter("_twin = 1")
+    if not took.filter("_copies > 0 AND _rows > 1").isEmpty():
+        twins = one_of_twins(rows.filter("_rows > 1"), [*names, "_copies"], ["doc_id", "text_hash"])
+        rows = rows.filter("_rows = 1").select(*names, "_copies").unionByName(twins)
     return (
         rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
         .select(*names)

@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparrowline.llm.common import matched, pick, written
+from sparrowline.llm.common import matched, one_of_twins, pick, written
 
 BITS, RADIUS, SEED, WORDS = 64, 3, 42, 3
 #: Texts are cut into pieces of about so many bytes, between words, which bounds a task's memory.
@@ -50,25 +49,45 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _hashes(shingles) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+def shingle_runs(text: bytes | None, words: int) -> Iterator[list[bytes]]:
+    """All shingles of a text, in lists of bounded size; the whole sequence where there are fewer words."""
+    carried: list[bytes] = []
+    some = False
+    for found in _pieces(text or b""):
+        found = carried + found
+        shingles = list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
+        if shingles:
+            some = True
+            yield shingles
+        carried = found[max(0, len(found) - words + 1) :]
+    if carried and not some:
+        yield [b" ".join(carried)]
 
 
-def fingerprint(text: bytes | None) -> int:
-    """The fingerprint of one text, unsigned."""
-    ones, n, carried = np.zeros(BITS, dtype=np.int64), 0, []
-    for words in _pieces(text or b""):
-        words = carried + words
-        h = _hashes(map(b" ".join, zip(words, words[1:], words[2:])))
+def xxh64(shingles: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=len(shingles))[:, None]
+
+
+def xxh3_128(shingles: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), dtype="<u8").reshape(-1, 2)
+
+
+def fingerprint_words(text: bytes | None, words: int, hashes) -> np.ndarray:
+    """The fingerprint of one text, 64 bits to a number."""
+    ones, n = 0, 0
+    for shingles in shingle_runs(text, words):
+        h = hashes(shingles)
         for i in range(0, len(h), 32768):
-            part = h[i : i + 32768]
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
+            part = np.ascontiguousarray(h[i : i + 32768])
+            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+            ones = ones + np.add.reduce(bits, axis=0, dtype=np.uint16).astype(np.int64)
         n += len(h)
-        carried = words[-(WORDS - 1) :]
-    if not n and carried:
-        return xxhash.xxh64_intdigest(b" ".join(carried), SEED)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8") if n else np.zeros(2, dtype="<u8")
+
+
+def fingerprint(text: bytes | None) -> int:
+    """The fingerprint of one text by three words and XXH64, unsigned."""
+    return int(fingerprint_words(text, WORDS, xxh64)[0])
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +109,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def bit_planes(fps: np.ndarray, spare: int) -> np.ndarray:
-    """[64, words]: bit b of fingerprint i is bit i % 64 of word i // 64 in plane b; `spare` words of zeros follow."""
+    """[bits, words]: bit b of fingerprint i is bit i % 64 of word i // 64 in plane b; `spare` words of zeros follow.
+
+    fps: a row a fingerprint, 64 bits to a number.
+    """
     n = -(-len(fps) // 64) * 64
-    padded = np.zeros(n, dtype="<u8")
+    padded = np.zeros((n, fps.shape[1]), dtype="<u8")
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
-    return np.concatenate([planes, np.zeros((BITS, spare), dtype="<u8")], axis=1)
+    return np.concatenate([planes, np.zeros((len(planes), spare), dtype="<u8")], axis=1)
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -115,16 +137,17 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def linked(fps: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """For each place the smallest place that it is linked with, directly or not, inside its group.
+def close_pairs(fps: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of the places i < j of a group that differ in `radius` bits at most.
 
     `groups` holds the groups' numbers, equal ones together and larger groups first. Place i is
-    compared with i + d for d = 1, 2, ..., for all places at once, bit plane by bit plane.
+    compared with i + d for d = 1, 2, ..., for all places at once, bit plane by bit plane: two planes and
+    the lowest counter make a sum and a carry, which goes up the counters. Words whose 64 pairs
+    have all run over the counters are abandoned.
     """
     n = len(fps)
-    label = np.arange(n)
     if n < 2:
-        return label
+        return
     cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
     sizes = np.diff(cuts)
     planes = bit_planes(fps, spare=int(sizes[0]) // 64 + 2)
@@ -137,8 +160,9 @@ def linked(fps: np.ndarray, groups: np.ndarray) -> np.ndarray:
         word = np.flatnonzero(mask)
         mask = mask[word]
         skip, by = divmod(d, 64)
-        one, two, over = (np.zeros(len(word), dtype="<u8") for _ in range(3))
-        for p in range(0, BITS, 2):
+        counters = [np.zeros(len(word), dtype="<u8") for _ in range(radius.bit_length())]
+        over = np.zeros(len(word), dtype="<u8")
+        for p in range(0, len(planes), 2):
             x, y = (
                 planes[q, word]
                 ^ (
@@ -148,56 +172,75 @@ def linked(fps: np.ndarray, groups: np.ndarray) -> np.ndarray:
                 )
                 for q in (p, p + 1)
             )
-            half = one ^ x
-            carry = (one & x) | (half & y)
-            one = half ^ y
-            over |= two & carry
-            two ^= carry
+            half = counters[0] ^ x
+            carry = (counters[0] & x) | (half & y)
+            counters[0] = half ^ y
+            for k in range(1, len(counters)):
+                counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            over |= carry
             if p % 8 == 6:
                 alive = (mask & ~over) != 0
                 if not alive.all():
-                    word, mask, one, two, over = (a[alive] for a in (word, mask, one, two, over))
+                    word, mask, over = (a[alive] for a in (word, mask, over))
+                    counters = [c[alive] for c in counters]
                 if not len(word):
                     break
         if len(word):
             lanes = np.unpackbits((mask & ~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             at, lane = np.nonzero(lanes)
-            i = word[at] * 64 + lane
-            _merge(label, i, i + d)
+            bits = sum(((c[at] >> lane.astype(np.uint64)) & np.uint64(1)).astype(np.int64) << k for k, c in enumerate(counters))
+            i = (word[at] * 64 + lane)[bits <= radius]
+            yield i, i + d, bits[bits <= radius]
+
+
+def linked(fps: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """For each place the smallest place that it is linked with, directly or not, inside its group."""
+    label = np.arange(len(fps))
+    for i, j, _ in close_pairs(fps[:, None], groups, RADIUS):
+        _merge(label, i, j)
     return label
 
 
-def _link_rows(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    """One edge for each fingerprint that is linked inside its bucket. keys: the buckets' numbers, in runs."""
+def large_first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and numbers of the buckets with several rows, larger buckets first. keys: the buckets' numbers, in runs."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    large_first = np.argsort(-sizes, kind="stable")
-    large_first = large_first[sizes[large_first] > 1]
-    take = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in large_first] or [np.zeros(0, int)])
-    groups = np.repeat(np.arange(len(large_first)), sizes[large_first])
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 1]
+    take = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in order] or [np.zeros(0, int)])
+    return take, np.repeat(np.arange(len(order)), sizes[order])
+
+
+def _link_rows(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    """One edge for each fingerprint that is linked inside its bucket."""
+    take, groups = large_first(keys)
     chosen = fps[take]
     label = linked(chosen.view(np.uint64), groups)
     at = np.flatnonzero(label != np.arange(len(label)))
     return pa.RecordBatch.from_arrays([pa.array(chosen[at]), pa.array(chosen[label[at]])], names=["a", "b"])
 
 
-def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by bucket; whole buckets are compared, many at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def whole_buckets(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch]:
+    """`compare(keys, *columns)` of whole buckets, many at a time. Rows arrive sorted by bucket, their first column."""
+    held: list[list[np.ndarray]] = []
     rows = 0
     for b in batches:
-        held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
         rows += b.num_rows
         if rows < 32768:
             continue
-        keys, fps = (np.concatenate(x) for x in zip(*held))
-        other = np.flatnonzero(keys != keys[-1])
+        columns = [np.concatenate(x) for x in zip(*held)]
+        other = np.flatnonzero(columns[0] != columns[0][-1])
         last = int(other[-1]) + 1 if len(other) else 0
         if last:
-            yield _link_rows(keys[:last], fps[:last])
-        held, rows = [(keys[last:], fps[last:])], len(keys) - last
+            yield compare(*(c[:last] for c in columns))
+        held, rows = [[c[last:] for c in columns]], len(columns[0]) - last
     if rows:
-        yield _link_rows(*(np.concatenate(x) for x in zip(*held)))
+        yield compare(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return whole_buckets(batches, _link_rows)
 
 
 def block_masks(distinct: int, radius: int = RADIUS) -> list[int]:
@@ -209,28 +252,29 @@ def block_masks(distinct: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in combinations(block, keep)]
 
 
-def edges(distinct_fps: DataFrame, tile: int = 4096) -> DataFrame:
-    """a, b: fingerprints linked inside a bucket; together they connect all that links connect."""
-    masks = block_masks(distinct_fps.count())
+def bucketed(nodes: DataFrame, masks: list[int], tile: int = 4096) -> DataFrame:
+    """bucket and the columns of nodes(fp, ...), sorted by bucket: nodes meet where they agree in all bits of a mask.
+
+    A bucket above `tile` nodes is cut into tiles of two chunks, so that no task gets it whole
+    and every pair still meets.
+    """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct_fps.select(
-        "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "key")
-    )
-    per = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = nodes.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "key"))
+    per = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     chunks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    dealt = keyed.join(per, ["t", "key"]).select("t", "key", "fp", chunks.alias("chunks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    dealt = matched(keyed, per, ["t", "key"], "n").select("t", "key", *nodes.columns, chunks.alias("chunks"))
+    own = F.pmod(F.xxhash64(*nodes.columns), F.col("chunks")).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))
     )
-    whole = dealt.filter("chunks = 1").select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    cut = dealt.filter("chunks > 1").select("t", "key", F.explode(tiles).alias("x"), "fp").select("t", "key", "x.i", "x.j", "fp")
-    met = (
-        whole.union(cut)
-        .repartition("t", "key", "i", "j")
-        .sortWithinPartitions("t", "key", "i", "j", "fp")
-        .select(F.xxhash64("t", "key", "i", "j").alias("bucket"), "fp")
-    )
+    met = dealt.select("t", "key", F.explode(tiles).alias("x"), *nodes.columns).select("t", "key", "x.i", "x.j", *nodes.columns)
+    met = met.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", *nodes.columns)
+    return met.select(F.xxhash64("t", "key", "i", "j").alias("bucket"), *nodes.columns)
+
+
+def edges(distinct_fps: DataFrame, tile: int = 4096) -> DataFrame:
+    """a, b: fingerprints linked inside a bucket; together they connect all that links connect."""
+    met = bucketed(distinct_fps, block_masks(distinct_fps.count()), tile)
     return met.mapInArrow(_compare_batches, "a long, b long").distinct()
 
 
@@ -280,9 +324,9 @@ def hex_digits(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` but for near-duplicates: of each component the document with the smallest id stays."""
-    found = written(clusters(docs).select("doc_id", "text_hash", "root"), "clusters")
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` but for near-duplicates, by found(doc_id, text_hash, root): of each root the
+    document with the smallest id stays, of several rows with it the one with the smallest hash of its text, then of all columns."""
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = written(found.groupBy("root").agg(F.min(name).alias("first"), F.count("*").alias("rows")), "first")
     stays = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_hash") == F.col("first.text_hash"))
@@ -294,11 +338,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     )
     names = [f"_{i}" for i in range(len(docs.columns))]
     key_id, key_text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
-    rows = docs.toDF(*names).withColumn("_hash", F.xxhash64(key_text))
-    goes = judged.filter(~F.col("stays")).select("doc_id", "text_hash")
-    same = key_id.cast("long").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
-    kept = rows.join(goes, same, "left_anti")
-    if not judged.filter("stays AND n > 1").isEmpty():  # rows equal in id and text: one stays
-        twins = W.partitionBy(key_id, "_hash").orderBy("_hash")
-        kept = kept.withColumn("_twin", F.row_number().over(twins)).filter("_twin = 1")
-    return kept.select(*names).toDF(*docs.columns)
+    rows = docs.toDF(*names).withColumns({"_id": key_id.cast("long"), "_hash": F.xxhash64(key_text)})
+
+    def same(table: DataFrame) -> Column:
+        return F.col("_id").eqNullSafe(table["doc_id"]) & (F.col("_hash") == table["text_hash"])
+
+    goes, again = judged.filter(~F.col("stays")), judged.filter("stays AND n > 1")
+    kept = rows.join(goes, same(goes), "left_anti")
+    if again.isEmpty():
+        return kept.select(*names).toDF(*docs.columns)
+    twins = one_of_twins(kept.join(again, same(again), "left_semi"), names, ["_id", "_hash"])
+    return kept.join(again, same(again), "left_anti").select(*names).unionByName(twins).toDF(*docs.columns)
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` but for near-duplicates by `clusters`."""
+    return one_of_each(docs, written(clusters(docs).select("doc_id", "text_hash", "root"), "clusters"))

@@ -8,7 +8,7 @@ import pytest
 
 from sparrowline.llm.common import word_count
 from sparrowline.llm.mixing import mix, mixed
-from sparrowline.llm.packing import boundaries, pack
+from sparrowline.llm.packing import boundaries, pack, packed
 
 
 def frame(spark, rows):
@@ -107,6 +107,32 @@ def test_boundaries_are_the_best_of_all(seed):
     assert boundaries([], [], [], 4) == []
 
 
+def test_boundaries_are_exact_for_many_and_large_lengths():
+    rng = random.Random(11)
+    upper = sorted(rng.sample(range(60_000), 700))
+    count = [rng.choice([1, 1, 2, 5, 1000]) for _ in upper]
+    total = [c * u for c, u in zip(count, upper)]
+    n, pad = len(upper), {}
+    for j in range(1, n + 1):
+        c = t = 0
+        for i in range(j - 1, -1, -1):
+            c, t = c + count[i], t + total[i]
+            pad[i, j] = c * upper[j - 1] - t
+    best = [0] + [pad[0, j] for j in range(1, n + 1)]
+    for k in range(2, 8):
+        best = [0] + [min(best[i] + pad[i, j] for i in range(j)) for j in range(1, n + 1)]
+        found = boundaries(upper, count, total, k)
+        assert len(found) == k and padding(upper, count, total, [upper.index(u) for u in found]) == best[n]
+
+
+def test_documents_are_packed_with_what_they_are(spark):
+    rows = [(i, "w " * n, "s") for i, n in enumerate([5000, 5001, 5003, 9000, 3, 3])] + [(2, "w " * 5003, "s")] * 2
+    found = packed(frame(spark, rows), buckets=3, token_budget=100).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in found) == Counter(rows)
+    assert sorted(r.copy for r in found if r.doc_id == 2) == [1, 2, 3]
+    assert {r.padded_length for r in found} == {3, 5003, 9000}
+
+
 def test_batches_fill_their_budget(spark):
     rng = random.Random(3)
     rows = odd_rows(rng)
