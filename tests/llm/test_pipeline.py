@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparrowline.llm import packing, simhash, toxicity
+from sparrowline.llm import near_duplicates, packing, simhash, toxicity
 from sparrowline.llm.common import matched
 
 SF = "/root/testdata/sf0.001"
@@ -81,14 +81,19 @@ def test_the_whole_is_its_stages_by_brute_force(spark):
     judged = {(r.doc_id, r.predicted) for r in toxicity.score(docs, labels).collect()}
     clean = {d for d, p in judged if p == 0}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in clean}
-    prints = {d: simhash.fingerprint(None if t is None else t.encode()) for d, t in texts.items()}
-    root = {d: d for d in prints}
+    shingles = {d: near_duplicates.shingle_hashes(None if t is None else t.encode()) for d, t in texts.items()}
+    sets = {d: set(s.tolist()) for d, s in shingles.items()}
+    alike = {
+        (a, b) for a in sets for b in sets
+        if len(sets[a] & sets[b]) >= near_duplicates.SIMILARITY * len(sets[a] | sets[b])
+    }
+    root = {d: d for d in sets}
     changed = True
     while changed:
         changed = False
         for a in root:
             for b in root:
-                if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS and root[b] < root[a]:
+                if (a, b) in alike and root[b] < root[a]:
                     root[a], changed = root[b], True
     kept = {d for d in root if root[d] == d}
     assert 0 < len(kept) < len(clean) <= len(judged)
@@ -107,8 +112,9 @@ def test_the_whole_is_its_stages_by_brute_force(spark):
     held = Counter((r.bucket, r.batch) for r in rows)
     for r in rows:
         assert held[r.bucket, r.batch] * r.padded_length <= max(65536, r.padded_length)
-    columns = packing.pack(docs).columns
-    assert all(set(columns) == set(r.asDict()) for r in rows[:1])
+    assert all(texts[r.doc_id] == r.text and sources[r.doc_id] == r.source for r in rows)
+    assert {r.copy for r in rows} <= {1, 2}
+    assert {*packing.pack(docs).columns, "text", "source", "copy"} == set(rows[0].asDict())
 
 
 def test_frequent_keys_are_joined_like_others(spark):
