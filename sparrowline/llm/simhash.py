@@ -35,6 +35,8 @@ from sparrowline.llm.common import matched, one_of_twins, pick, written
 BITS, RADIUS, SEED, WORDS = 64, 3, 42, 3
 #: Texts are cut into pieces of about so many bytes, between words, which bounds a task's memory.
 PIECE = 1 << 20
+#: Rows whose buckets are compared at a time.
+PORTION = 1 << 18
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -227,7 +229,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.Rec
     for b in batches:
         held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
         rows += b.num_rows
-        if rows < 32768:
+        if rows < PORTION:
             continue
         columns = [np.concatenate(x) for x in zip(*held)]
         other = np.flatnonzero(columns[0] != columns[0][-1])
