@@ -1,92 +1,123 @@
-"""Dates and times in free text, as column expressions. The date of collection is always given."""
+"""Dates and times in free text. The date of collection is always given.
+
+Free texts are read in Arrow batches by Python's patterns, whose white space and digits are those
+of Unicode: one pass a text gives its day, time of day and days left at once. Fixed formats and
+everything counted from a known day are column expressions.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 OUT = "yyyy-MM-dd HH:mm:ss"
 
-# How postings write dates, periods, days left and times.
+# How postings write dates (in the order in which they are tried), periods, days left and times.
 TILDES = "[~〜]"
-ENGLISH = (
-    r"(?i)(?<![A-Za-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?\s*,?\s*((?:19|20)\d{2})"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+DATES = (
+    rf"(?i)(?<![A-Za-z])(?P<m>{'|'.join(MONTHS)})[a-z]*\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s*(?P<y>(?:19|20)\d{{2}})",
+    r"(?P<y>(?:19|20)\d{2})\s*[.\-/년]\s*(?P<m>\d{1,2})\s*[.\-/월]\s*(?P<d>\d{1,2})",
+    r"(?<![\d.])(?P<y>\d{2})\s*[.\-/]\s*(?P<m>\d{1,2})\s*[.\-/]\s*(?P<d>\d{1,2})(?!\d)",
+    r"(?<![\d.])(?P<m>\d{1,2})\s*(?:[./]|월)\s*(?P<d>\d{1,2})(?!\d)",
 )
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-WITH_YEAR = r"((?:19|20)\d{2})\s*[.\-/년]\s*(\d{1,2})\s*[.\-/월]\s*(\d{1,2})"
-SHORT_YEAR = r"(?<![\d.])(\d{2})\s*[.\-/]\s*(\d{1,2})\s*[.\-/]\s*(\d{1,2})(?!\d)"
-WITHOUT_YEAR = r"(?<![\d.])(\d{1,2})\s*(?:[./]|월)\s*(\d{1,2})(?!\d)"
-DAYS_LEFT = r"(?i)(?<![A-Za-z])D\s*-\s*(?:(\d{1,3})(?!\d)|day)"
-TODAY = r"(오늘|금일|내일)\s*마감"
-COUNTED = r"(?i)\(?\s*(?:(?<![A-Za-z])D\s*-\s*(?:\d{1,3}(?!\d)|day)|(?:오늘|금일|내일)\s*마감)\s*\)?"
-CLOCK = r"(?i)(오전|오후|AM|PM)?\s*(\d{1,2})\s*(?::\s*(\d{2})|시(?:\s*(\d{1,2})\s*분)?)"
+DAYS_LEFT = r"(?<![A-Za-z])D\s*-\s*(?:(?P<days>\d{1,3})(?!\d)|day)"
+CLOSING = r"(?P<word>오늘|금일|내일)\s*마감"
+CLOCK = r"(?i)(?P<half>오전|오후|AM|PM)?\s*(?P<hour>\d{1,2})\s*(?::\s*(?P<minute>\d{2})|시(?:\s*(?P<minutes>\d{1,2})\s*분)?)"
+AFTERNOON, TOMORROW = ("오후", "PM"), "내일"
 NO_DEADLINE_YEAR = 2100
 #: A date without year that lies further back than this is one of next year.
 BACK_DAYS = 183
 
+_DATES = [re.compile(p) for p in DATES]
+_LEFT = re.compile(f"(?i){DAYS_LEFT}|{CLOSING}")
+_LEFT_BESIDE = re.compile(rf"(?i)\(?\s*(?:{DAYS_LEFT}|{CLOSING})\s*\)?")
+_CLOCK = re.compile(CLOCK)
+
+
+class Reading(NamedTuple):
+    """What a text says: its first date, the time of day after it, and the day that its days left mean."""
+
+    day: dt.date | None
+    clock: dt.time | None
+    counted: dt.date | None
+
 
-def _day(year: Column, month: Column, day: Column) -> Column:
-    """A calendar day, null where there is none."""
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.try_to_date(F.when((year != "") & (month != "") & (day != ""), text), "yyyy-MM-dd")
+def _days(text: str, collected: dt.date) -> Iterator[tuple[dt.date, int]]:
+    """Each way of writing a date that the text has: the day, if it is one, and where it ends."""
+    for found in filter(None, (p.search(text) for p in _DATES)):
+        said = found.groupdict()
+        month = said["m"] if said["m"].isdecimal() else MONTHS.index(said["m"].lower()) + 1
+        year = int(said.get("y") or collected.year)
+        try:
+            day = dt.date(year + 2000 if year < 100 else year, int(month), int(said["d"]))
+            if "y" not in said and (collected - day).days > BACK_DAYS:
+                day = day.replace(year=year + 1)
+        except ValueError:
+            continue
+        yield day, found.end()
 
 
-def _after(text: Column, pattern: str) -> Column:
-    """What follows the first match."""
-    return F.substring(text, F.regexp_instr(text, F.lit(pattern)) + F.length(F.regexp_substr(text, F.lit(pattern))), F.length(text) + 1)
+@functools.lru_cache(1 << 16)
+def reading(text: str, collected: dt.date) -> Reading:
+    day, end = next(_days(text, collected), (None, 0))
+    clock = counted = None
+    if day and (at := _CLOCK.search(text, end)):
+        hour, minute = int(at["hour"]), int(at["minute"] or at["minutes"] or 0)
+        hour += 12 if (at["half"] or "").upper() in AFTERNOON and hour < 12 else 0
+        clock = dt.time(hour, minute) if hour < 24 and minute < 60 else None
+    if left := _LEFT.search(text):
+        number = next((m for m in _LEFT.finditer(text) if not m["word"]), None)  # D-n comes before words
+        ahead = int(number["days"] or 0) if number else int(left["word"] == TOMORROW)
+        counted = collected + dt.timedelta(days=ahead)
+    return Reading(day, clock, counted)
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def moment_of(text: str, collected: dt.date, end: bool) -> str | None:
+    """Date and time that a text holds: see `loose_moment`."""
+    found = reading(text, collected)
+    if end and (parts := re.split(TILDES, text, maxsplit=1))[1:]:
+        later = reading(parts[1], collected)
+        found = later if later.day else found
+    whole = dt.time(23, 59, 59) if end else dt.time()
+    if found.day:
+        return f"{found.day} {found.clock or whole}"
+    return f"{found.counted} {whole}" if end and found.counted else None
 
 
-def _found(text: Column, collected: Column) -> Column:
-    """(day, after) of the first date that the text writes, by the kinds of writing in turn; null where there is none."""
+def settled_text(text: str, collected: dt.date) -> str:
+    """The text without days left, or the day that they mean: see `settle_counted`."""
+    found = reading(text, collected)
+    if not found.counted:
+        return text
+    return _LEFT_BESIDE.sub(" ", text).strip() if found.day else str(found.counted)
 
-    def groups(pattern: str) -> list[Column]:
-        return [F.regexp_extract(text, pattern, i) for i in range(1, 3 if pattern == WITHOUT_YEAR else 4)]
 
-    def candidate(day: Column, pattern: str) -> Column:
-        return F.struct(day.alias("day"), _after(text, pattern).alias("after"))
+def _texts(texts: pd.Series, days: pd.Series, read) -> pd.Series:
+    return pd.Series([None if t is None or pd.isna(d) else read(t, d) for t, d in zip(texts, days)], dtype=object)
 
-    month, day, year = groups(ENGLISH)
-    number = ((F.position(F.lower(month), F.lit(MONTHS)) + 2) / 3).cast("int").cast("string")
-    english = _day(year, F.when(month != "", number).otherwise(""), day)
-    year, month, day = groups(SHORT_YEAR)
-    short = _day(F.when(year != "", F.concat(F.lit("20"), year)).otherwise(""), month, day)
-    month, day = groups(WITHOUT_YEAR)
-    this = _day(F.year(collected).cast("string"), month, day)
-    following = _day((F.year(collected) + 1).cast("string"), month, day)
-    rolled = F.when(this < F.date_sub(collected, BACK_DAYS), following).otherwise(this)
-    tries = F.array(
-        candidate(english, ENGLISH),
-        candidate(_day(*groups(WITH_YEAR)), WITH_YEAR),
-        candidate(short, SHORT_YEAR),
-        candidate(rolled, WITHOUT_YEAR),
-    )
-    return F.get(F.filter(tries, lambda c: c["day"].isNotNull()), F.lit(0))
 
+@F.pandas_udf(StringType())
+def _start(texts: pd.Series, days: pd.Series) -> pd.Series:
+    return _texts(texts, days, lambda t, d: moment_of(t, d, False))
 
-def _counted(text: Column, collected: Column) -> Column:
-    """The day that `D-12`, `D-day` or a word for today or tomorrow means, counted from collection."""
-    left = F.regexp_extract(text, DAYS_LEFT, 1)
-    word = F.regexp_extract(text, TODAY, 1)
-    by_number = F.date_add(collected, F.when(left == "", 0).otherwise(left.try_cast("int")))
-    by_word = F.date_add(collected, F.when(word == "내일", 1).otherwise(0))
-    return F.when(F.regexp_like(text, F.lit(DAYS_LEFT)), by_number).when(F.regexp_like(text, F.lit(TODAY)), by_word)
 
+@F.pandas_udf(StringType())
+def _end(texts: pd.Series, days: pd.Series) -> pd.Series:
+    return _texts(texts, days, lambda t, d: moment_of(t, d, True))
 
-def _clock(text: Column) -> Column:
-    """The first time of day as HH:mm:ss; null where there is none or it cannot be."""
-    half, hour, a, b = (F.regexp_extract(text, CLOCK, i) for i in (1, 2, 3, 4))
-    h = hour.try_cast("int")
-    h = F.when(F.upper(half).isin("오후", "PM") & (h < 12), h + 12).otherwise(h)
-    m = F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")), F.lit("0")).try_cast("int")
-    return F.when((h < 24) & (m < 60), F.format_string("%02d:%02d:00", h, m))
+
+@F.pandas_udf(StringType())
+def _settled(texts: pd.Series, days: pd.Series) -> pd.Series:
+    return _texts(texts, days, settled_text)
 
 
 def loose_moment(text: Column, collected: Column, end: bool = False) -> Column:
@@ -95,38 +126,23 @@ def loose_moment(text: Column, collected: Column, end: bool = False) -> Column:
     For an end, a period's later part counts if it has a date, days left count from collection,
     and a day without time ends at 23:59:59.
     """
-    whole = F.lit("23:59:59" if end else "00:00:00")
-
-    def moment(found: Column, t: Column) -> Column:
-        written = F.concat_ws(" ", F.date_format(found["day"], "yyyy-MM-dd"), F.coalesce(let(found["after"], _clock), whole))
-        if not end:
-            return F.when(found.isNotNull(), written)
-        by_count = let(_counted(t, collected), lambda d: F.when(d.isNotNull(), F.concat_ws(" ", F.date_format(d, "yyyy-MM-dd"), whole)))
-        return F.when(found.isNotNull(), written).otherwise(by_count)
+    return (_end if end else _start)(text, collected)
 
-    def read(t: Column) -> Column:
-        return let(_found(t, collected), lambda found: moment(found, t))
 
-    if not end:
-        return let(text, read)
+@F.pandas_udf(StringType())
+def loose_day(texts: pd.Series, days: pd.Series) -> pd.Series:
+    """The day of an end that a text holds, as text; null where it holds none."""
+    return _texts(texts, days, lambda t, d: (moment_of(t, d, True) or "")[:10] or None)
 
-    def later(t: Column) -> Column:
-        tail = F.get(F.split(t, TILDES, 2), F.lit(1))
-        return let(tail, lambda x: F.when(_found(x, collected).isNotNull(), x).otherwise(t))
 
-    return let(let(text, later), read)
+def register(spark: SparkSession) -> None:
+    """`loose_day(text, collected)` as a function of SQL."""
+    spark.udf.register("loose_day", loose_day)
 
 
 def settle_counted(text: Column, collected: Column) -> Column:
     """Days left removed beside a date, or replaced by the date they mean."""
-
-    def settle(t: Column) -> Column:
-        has = F.regexp_like(t, F.lit(DAYS_LEFT)) | F.regexp_like(t, F.lit(TODAY))
-        alone = F.coalesce(F.date_format(_counted(t, collected), "yyyy-MM-dd"), t)
-        beside = F.trim(F.regexp_replace(t, COUNTED, " "))
-        return F.when(~has, t).when(_found(t, collected).isNotNull(), beside).otherwise(alone)
-
-    return let(text, settle)
+    return _settled(text, collected)
 
 
 def plain_tilde(text: Column) -> Column:

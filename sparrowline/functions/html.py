@@ -203,10 +203,36 @@ def detail_fields(text: str, selectors: tuple) -> dict[str, str | None]:
     return {name: (lines(nodes[0]) or None) if nodes else None for name, nodes in found.items()}
 
 
+@_column("map<string,int>")
+def selector_counts(text: str, selectors: tuple) -> dict[str, int]:
+    """How many elements each of some (name, selector) pairs finds."""
+    root = parse(text)
+    return {name: len(select(root, s)) for name, s in selectors}
+
+
+@_column("boolean")
+def images_to_read(text: str, most: int = 400) -> bool:
+    """The page has images, and the text of its body is shorter than `most`."""
+    root = parse(text)
+    body = next((n for n in root.nodes() if n.tag == "body"), root)
+    return any(n.tag == "img" for n in body.nodes()) and len(flat(body)) < most
+
+
+@_column("map<string,string>")
+def page_parts(text: str, base: str) -> dict[str, str | None]:
+    """What a page shows, its lines, its HTML with known tags only and its image, of one parse."""
+    root = parse(text)
+    body = next((n for n in root.nodes() if n.tag == "body"), root)
+    return {"visible": flat(body), "blocks": lines(root), "html": shown_html(root, base), "image": image_of(root)}
+
+
 @_column("string")
 def page_image(text: str) -> str | None:
     """The page's own image for sharing, else its best icon: touch icons first, then the largest."""
-    root = parse(text)
+    return image_of(parse(text))
+
+
+def image_of(root: Node) -> str | None:
     for n in root.nodes():
         if n.tag == "meta" and n.attrs.get("property") == "og:image" and n.attrs.get("content"):
             return n.attrs["content"]
@@ -227,7 +253,7 @@ def json_ld(text: str, kind: str) -> list[str]:
         if node.tag != "script" or node.attrs.get("type") != "application/ld+json":
             continue
         try:
-            todo = [json.loads("".join(c for c in node.children if isinstance(c, str)))]
+            todo = [json_value("".join(c for c in node.children if isinstance(c, str)))]
         except ValueError:
             continue
         while todo:
@@ -247,26 +273,41 @@ def canonical_json(x) -> str:
     return json.dumps(x, ensure_ascii=False, sort_keys=True)
 
 
+def _shown(node: Node, inside: str, base: str) -> str:
+    """An element of what it holds: its own tag if that is known, nothing if it is empty."""
+    if node.tag not in KEPT:
+        return inside
+    said = ""
+    for name in KEPT_ATTRIBUTES.get(node.tag, ()):
+        value = node.attrs.get(name) or (node.attrs.get("data-src", "") if name == "src" else "")
+        if value and not value.lower().lstrip().startswith("javascript:"):
+            said += f' {name}="{entities.escape(urljoin(base, value) if name in ("href", "src") else value)}"'
+    if node.tag in VOID:
+        return f"<{node.tag}{said}>" if node.tag == "br" or said else ""
+    return f"<{node.tag}{said}>{inside}</{node.tag}>" if inside.strip() else ""
+
+
 @_column("string")
 def sanitized(text: str, base: str) -> str:
-    """Only known tags and attributes, links made absolute, empty elements left out."""
-
-    def show(node: Node) -> str:
-        if node.tag in HIDDEN:
-            return ""
-        inside = "".join(re.sub(r"\s+", " ", entities.escape(c, quote=False)) if isinstance(c, str) else show(c) for c in node.children)
-        if node.tag not in KEPT:
-            return inside
-        said = ""
-        for name in KEPT_ATTRIBUTES.get(node.tag, ()):
-            value = node.attrs.get(name) or (node.attrs.get("data-src", "") if name == "src" else "")
-            if value and not value.lower().lstrip().startswith("javascript:"):
-                said += f' {name}="{entities.escape(urljoin(base, value) if name in ("href", "src") else value)}"'
-        if node.tag in VOID:
-            return f"<{node.tag}{said}>" if node.tag == "br" or said else ""
-        return f"<{node.tag}{said}>{inside}</{node.tag}>" if inside.strip() else ""
-
-    return show(parse(text)).strip()
+    """Only known tags and attributes, links made absolute, empty elements left out. Pages may be nested at any depth."""
+    return shown_html(parse(text), base)
+
+
+def shown_html(root: Node, base: str) -> str:
+    open_ = [(root, iter(root.children), [])]
+    while True:
+        node, rest, parts = open_[-1]
+        child = next(rest, None)
+        if child is None:
+            open_.pop()
+            shown = _shown(node, "".join(parts), base)
+            if not open_:
+                return shown.strip()
+            open_[-1][2].append(shown)
+        elif isinstance(child, str):
+            parts.append(re.sub(r"\s+", " ", entities.escape(child, quote=False)))
+        elif child.tag not in HIDDEN:
+            open_.append((child, iter(child.children), []))
 
 
 @_column("string")
@@ -294,30 +335,38 @@ def canonical_json_hash(text: pd.Series) -> pd.Series:
 
     def one(t):
         try:
-            return hashlib.sha256(canonical_json(json.loads(t)).encode()).hexdigest()
-        except (TypeError, ValueError):
+            return hashlib.sha256(canonical_json(json_value(t)).encode()).hexdigest()
+        except (ValueError, RecursionError):
             return None
 
     return text.map(one)
 
 
-def flattened(x, path: str = "") -> Iterator[tuple[str, str]]:
-    """(path, text) of all leaves of a JSON value; places in lists are written *."""
-    if isinstance(x, dict):
-        for k, v in x.items():
-            yield from flattened(v, f"{path}.{k}" if path else str(k))
-    elif isinstance(x, list):
-        for v in x:
-            yield from flattened(v, f"{path}.*" if path else "*")
-    elif x is not None and str(x).strip():
-        yield path, str(x).lower() if isinstance(x, bool) else str(x)
+def json_value(text: str | None):
+    """What a JSON text says; a ValueError for what is none, or is nested deeper than the reader goes."""
+    try:
+        return json.loads(text)
+    except (TypeError, RecursionError) as e:
+        raise ValueError(str(e)) from e
+
+
+def flattened(value, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path, text) of all leaves of a JSON value, in order; places in lists are written *."""
+    todo = [(path, value)]
+    while todo:
+        at, x = todo.pop()
+        if isinstance(x, (dict, list)):
+            inside = x.items() if isinstance(x, dict) else (("*", v) for v in x)
+            todo += [(f"{at}.{k}" if at else str(k), v) for k, v in inside][::-1]
+        elif x is not None and str(x).strip():
+            yield at, str(x).lower() if isinstance(x, bool) else str(x)
 
 
 @_column("array<struct<path:string,value:string>>")
 def json_leaves(text: str) -> list[dict]:
     """All leaves of a JSON text; none for what is no JSON."""
     try:
-        return [{"path": p, "value": v} for p, v in flattened(json.loads(text))]
+        return [{"path": p, "value": v} for p, v in flattened(json_value(text))]
     except ValueError:
         return []
 
@@ -329,7 +378,7 @@ LINK_OR_CODE = re.compile(r"https?://\S+|[A-Z0-9_]{2,}|[\d.:\-/]+|true|false")
 def payload_text(text: str) -> str:
     """`key: text` lines of a payload without links and codes, each line once."""
     try:
-        leaves = flattened(json.loads(text))
+        leaves = flattened(json_value(text))
     except ValueError:
         return ""
     said = (f"{p.split('.')[-1] if p.split('.')[-1] != '*' else p.split('.')[-2]}: {v.strip()}" for p, v in leaves if p and not LINK_OR_CODE.fullmatch(v.strip()) and p.strip("*."))

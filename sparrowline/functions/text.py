@@ -27,7 +27,8 @@ NOTHING_LISTED = (
     r"(?i)\bno\s+(?:current\s+|open\s+|available\s+)?(?:open\s+)?(?:positions?|openings?|jobs?|vacancies|roles?|results?)\b"
     r"|\bthere\s+are\s+(?:currently\s+)?no\b",
 )
-TALENT_POOL = r"인재풀|인력풀|talentpool"
+# What titles of talent pools hold, without white space and in lower case.
+TALENT_POOL = ("인재pool", "인재풀", "talentpool", "인재등록", "인재db", "db등록", "상시등록")
 
 
 def filled(c: Column) -> Column:
@@ -244,7 +245,8 @@ def has_legal_form(name: Column) -> Column:
 
 
 def is_talent_pool(title: Column) -> Column:
-    return F.regexp_like(F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)\s+", "")), F.lit(TALENT_POOL))
+    tight = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)\s+", ""))
+    return F.regexp_like(tight, F.lit("|".join(TALENT_POOL)))
 
 
 def without_order(name: Column) -> Column:

@@ -45,19 +45,28 @@ def fill_date(value: Column, by_model: Column, model_decides: Column, collected:
     return out if end else F.coalesce(out, F.date_format(collected, "yyyy-MM-dd 00:00:00"))
 
 
-def canonical_names(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """names(parent, name) with `canonical`: among the parent's companies and itself that are the same
-    but for legal forms, the name without one, then the first registered; else the name as it is."""
+def best_names(companies: DataFrame) -> DataFrame:
+    """parent, key, best: of a parent's companies and itself that are the same but for legal forms,
+    the one without a legal form, then the first registered."""
     group = companies.select(F.col("parent_name").alias("parent"), "name", "id").filter("parent IS NOT NULL")
     group = group.union(companies.select(F.col("name").alias("parent"), "name", "id")).distinct()
     best = group.groupBy("parent", T.company_key(F.col("name")).alias("key")).agg(
         F.min(F.struct(T.has_legal_form(F.col("name")).alias("formal"), "id", "name")).alias("best")
     )
-    keyed = names.withColumn("key", T.company_key(F.trim("name")))
-    found = keyed.join(best.filter("key <> ''"), ["parent", "key"], "left")
-    own = F.trim("name")
+    return best.filter("key <> ''")
+
+
+def with_canonical(rows: DataFrame, companies: DataFrame, name: str) -> DataFrame:
+    """rows(parent, name) with `canonical`: the best name of its parent's companies, else the name as it is."""
+    own = F.trim(F.col(name))
+    found = rows.withColumn("_key", T.company_key(own)).join(best_names(companies).withColumnRenamed("key", "_key"), ["parent", "_key"], "left")
     better = F.col("best.formal") & ~T.has_legal_form(own)
-    return found.withColumn("canonical", F.when(F.col("best").isNull() | better, own).otherwise(F.col("best.name"))).drop("key", "best")
+    return found.withColumn("canonical", F.when(F.col("best").isNull() | better, own).otherwise(F.col("best.name"))).drop("_key", "best")
+
+
+def canonical_names(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """names(parent, name) with `canonical`."""
+    return with_canonical(names, companies, "name")
 
 
 def settle_company(name: Column, canonical: Column, parent: Column, affiliates: Column) -> Column:
@@ -132,8 +141,7 @@ def normalize(raw: DataFrame, rules: Sequence[Rule], classifications: DataFrame,
         layers[f] = fill_date(F.col(f), F.col(f"c_{f}"), F.col("dates_by_ai"), F.col("collected"), end=f == END)
     rows = rows.withColumns(layers)
 
-    names = canonical_names(rows.select("parent", F.col("company_name").alias("name")).filter("parent IS NOT NULL AND name IS NOT NULL").distinct(), companies)
-    rows = rows.join(names.withColumnRenamed("name", "company_name"), ["parent", "company_name"], "left")
+    rows = with_canonical(rows, companies, "company_name")
     rows = rows.withColumns(
         {
             "company_name": settle_company(F.col("company_name"), F.col("canonical"), F.col("parent"), F.col("affiliates")),

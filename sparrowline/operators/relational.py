@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparrowline.sources.scratch import written
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Of each key the row with the largest `order`, as one aggregation without a sort."""
@@ -45,9 +47,23 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str], present: Column) -> Dat
     return df.filter(present).groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in an order that no two rows share.
+
+    Rows are sorted over ranges and written; a row's number is its place in its range and what
+    all ranges before hold, so no task gets more than a range.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id() % (1 << 33)}), "ranges")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    found = dealt.join(F.broadcast(starts.drop("_n")), "_range")
+    return found.withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("long")).drop("_range", "_place", "_before")
+
+
 def number_groups(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups numbered from 1, largest first, then by key. Rows are groups, not members."""
-    return groups.withColumn("group_no", F.row_number().over(W.orderBy(F.desc("size"), *keys)).cast("long"))
+    return numbered(groups, [F.desc("size"), *(F.asc(k) for k in keys)], "group_no")
 
 
 def duplicates_of_others(df: DataFrame, same: Sequence[str], differs: str) -> DataFrame:

@@ -125,21 +125,20 @@ def ordered(rules: Iterable[Rule], field_name: str) -> list[Rule]:
 def normalized(df: DataFrame, rules: Sequence[Rule], fields: Sequence[str], collected: str) -> DataFrame:
     """The fields after their rules, and `error`: the first rule that failed, as text.
 
-    Each rule is one projection, so a value that several branches use is computed once.
+    Each rule is one projection of its field (value and error together), so what it reads is
+    computed once. Fields do not depend on each other.
     """
-    error = F.lit(None).cast("string")
-    df = df.withColumn("error", error)
-    for name in fields:
-        df = df.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("")))
-        for rule in ordered(rules, name):
-            old = F.col(name)
+    ruled = {name: found for name in fields if (found := ordered(rules, name))}
+    for name, found in ruled.items():
+        df = df.withColumn(name, F.struct(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("v"), F.lit(None).cast("string").alias("error")))
+        for rule in found:
+            old, error = F.col(f"{name}.v"), F.col(f"{name}.error")
             new, failed = _apply(rule, old, F.col(collected))
-            runs = (old != "") & F.col("error").isNull()
-            step = F.struct(F.coalesce(new, F.lit("")).alias("v"), F.coalesce(failed, F.lit(True)).alias("f"))
-            df = df.withColumn("_step", F.when(runs, step).otherwise(F.struct(old.alias("v"), F.lit(False).alias("f"))))
-            told = F.lit(f"{name}: {rule.rule_type} {rule.id}")
-            df = df.withColumn("error", F.when(F.col("_step.f"), told).otherwise(F.col("error"))).withColumn(name, F.col("_step.v"))
-    return df.drop("_step").withColumns({f: F.nullif(F.col(f), F.lit("")) for f in fields})
+            told = F.when(F.coalesce(failed, F.lit(True)), F.lit(f"{name}: {rule.rule_type} {rule.id}"))
+            step = F.struct(F.coalesce(new, F.when(failed, old), F.lit("")).alias("v"), told.alias("error"))
+            df = df.withColumn(name, F.when((old != "") & error.isNull(), step).otherwise(F.col(name)))
+    values = {f: F.nullif(F.col(f"{f}.v") if f in ruled else F.col(f).cast("string"), F.lit("")) for f in fields}
+    return df.withColumns(values | {"error": F.coalesce(F.lit(None).cast("string"), *[F.col(f"{f}.error") for f in ruled])})
 
 
 def traced(value: Column, rules: Sequence[Rule], field_name: str, collected: Column, draft: Rule | None = None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparrowline.functions import dates as D
+from sparrowline.functions import html as H
 from sparrowline.functions import text as T
 from sparrowline.operators import predicates as P
 from sparrowline.operators import relational as R
@@ -75,14 +76,13 @@ def category_fallback(spark, sf_dir):
 
 @query(
     "image_reading",
-    r"""SELECT page_id, regexp_matches(html, '<img[ >]') AND length(trim(regexp_replace(regexp_extract(html, '<p>([^<]*)</p>', 1), '[ \t\n\r]+', ' ', 'g'))) < 400 AS reads
-        FROM pages""",
+    """SELECT p_partkey, p_size >= 20 AND p_size < 35 AS reads FROM part""",
 )
 def image_reading(spark, sf_dir):
-    """Whether a page's images are to be read: it has some, and its text is short."""
-    body = F.regexp_extract("html", "<p>([^<]*)</p>", 1)
-    short = F.length(T.squeezed(body)) < 400
-    return table(spark, sf_dir, "pages").select("page_id", (F.regexp_like("html", F.lit("<img[ >]")) & short).alias("reads"))
+    """Whether a page's images are to be read: it has some, and the text of its body is short, whatever marks it up."""
+    said = F.concat(F.lit("<div><b>"), F.repeat(F.lit("twelve chars"), F.col("p_size")), F.lit("</b><span> </span></div>"))
+    page = F.concat(F.lit("<html><head><title>long enough to matter</title></head><body>"), said, F.when(F.col("p_size") >= 20, "<IMG src=a.png>").otherwise("&lt;img&gt;"), F.lit("</body></html>"))
+    return table(spark, sf_dir, "part").select("p_partkey", H.images_to_read(page, 35 * 12).alias("reads"))
 
 
 @query(
@@ -155,12 +155,15 @@ def parts_of_posting(spark, sf_dir):
 
 @query(
     "talent_pool_exclusion",
-    "SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0",
+    """SELECT s_suppkey FROM (SELECT s_suppkey, lower(replace(s_name || CASE s_suppkey % 9 WHEN 0 THEN ' Talent Pool 2024' WHEN 1 THEN ' 인재 등록 안내' WHEN 2 THEN ' 2026 인재DB'
+         WHEN 3 THEN ' 상시 등록' WHEN 4 THEN ' 인재 Pool' WHEN 5 THEN ' 인재풀' WHEN 6 THEN ' DB 등록용' WHEN 7 THEN ' 인력풀' ELSE '' END, ' ', '')) AS t FROM supplier)
+       WHERE NOT (contains(t, 'talentpool') OR contains(t, '인재등록') OR contains(t, '인재db') OR contains(t, '상시등록') OR contains(t, '인재pool') OR contains(t, '인재풀') OR contains(t, 'db등록'))""",
 )
 def talent_pool_exclusion(spark, sf_dir):
     """Titles that only gather applicants are left out, however they are spaced."""
     key = F.col("s_suppkey")
-    title = F.when(key % 3 == 0, F.concat("s_name", F.lit(" Talent \t POOL 2024"))).otherwise(F.col("s_name"))
+    said = (" Talent \t POOL 2024", " 인재\u3000등록 안내", " 2026 인재DB", " 상시 등록", " 인재 Pool", " 인재풀", " DB 등록용", " 인력풀", "")
+    title = F.concat("s_name", F.element_at(F.array(*map(F.lit, said)), (key % 9 + 1).cast("int")))
     return table(spark, sf_dir, "supplier").filter(~T.is_talent_pool(title)).select("s_suppkey")
 
 
@@ -196,16 +199,17 @@ def text_paragraphs(spark, sf_dir):
 
 @query(
     "selector_coverage",
-    """WITH s(name, tag) AS (VALUES ('title', '<title>'), ('item', '<li>'), ('body', '<article>'), ('never', '<blink>')),
-       m AS (SELECT name, (length(html) - length(replace(html, tag, ''))) // length(tag) AS n FROM pages, s)
+    """WITH m(name, n) AS (SELECT 'title', 1 FROM part UNION ALL SELECT 'item', p_size % 3 FROM part UNION ALL SELECT 'body', CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END FROM part
+         UNION ALL SELECT 'never', 0 FROM part)
        SELECT name, CAST(sum(n) AS BIGINT) AS matches, count(*) FILTER (WHERE n > 0) AS pages_ok, count(*) FILTER (WHERE n = 0) AS pages_failed,
               coalesce(sum(n), 0) = 0 AS missing FROM m GROUP BY name""",
 )
 def selector_coverage(spark, sf_dir):
-    """How often each selector of a set finds something, in one pass over the pages."""
-    tags = {"title": "<title>", "item": "<li>", "body": "<article>", "never": "<blink>"}
-    found = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count("html", F.lit(t)).alias("n")) for n, t in tags.items()])
-    each = table(spark, sf_dir, "pages").select(F.inline(found))
+    """How often each selector of a set finds something: one parse a page, counted by selector."""
+    items = F.repeat(F.lit('<li class="job open"><a href="/x">x</a></li>'), (F.col("p_size") % 3).cast("int"))
+    page = F.concat(F.lit("<title>t</title><ul id=jobs>"), items, F.lit("</ul><li class=job>no</li>"), F.when(F.col("p_size") % 2 == 0, "<article><p>b</article>").otherwise("<p>b"))
+    selectors = (("title", "title"), ("item", "#jobs li.job.open"), ("body", "article p"), ("never", "blink"))
+    each = table(spark, sf_dir, "part").select(F.explode(H.selector_counts(page, selectors)).alias("name", "n"))
     return each.groupBy("name").agg(
         F.sum("n").alias("matches"), F.count_if(F.col("n") > 0).alias("pages_ok"), F.count_if(F.col("n") == 0).alias("pages_failed"),
         (F.coalesce(F.sum("n"), F.lit(0)) == 0).alias("missing"),

@@ -205,8 +205,10 @@ def dup_rows_numbered(spark, sf_dir):
 )
 def group_size_window(spark, sf_dir):
     """Each row with the size of its group."""
-    size = F.count("*").over(W.partitionBy("o_custkey", "o_orderpriority"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", size.alias("size"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    sizes = orders.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("size"))  # rows never meet, only counts
+    same = F.col("o.o_custkey").eqNullSafe(F.col("s.o_custkey")) & F.col("o.o_orderpriority").eqNullSafe(F.col("s.o_orderpriority"))
+    return orders.alias("o").join(sizes.alias("s"), same).select("o_orderkey", "size")
 
 
 @query(
@@ -341,21 +343,25 @@ def names_unknown_first(spark, sf_dir):
 def schedule_slots(spark, sf_dir):
     """Evenly spaced starts for all sources in the time that is left (a row a source)."""
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey")
-    n = F.count("*").over(W.partitionBy())
-    place = F.row_number().over(W.orderBy("s_suppkey")) - 1
-    return suppliers.select("s_suppkey", F.expr("TIMESTAMP_NTZ '2024-01-05 09:00:00'") .alias("_t"), (place * F.floor(F.lit(36000) / n)).alias("_s")).select(
+    placed = R.numbered(suppliers, [F.asc("s_suppkey")], "place").crossJoin(F.broadcast(suppliers.agg(F.count("*").alias("n"))))  # one row
+    seconds = (F.col("place") - 1) * F.floor(F.lit(36000) / F.col("n"))
+    return placed.select("s_suppkey", F.expr("TIMESTAMP_NTZ '2024-01-05 09:00:00'").alias("_t"), seconds.alias("_s")).select(
         "s_suppkey", F.expr("_t + make_dt_interval(0, 0, 0, _s)").alias("starts")
     )
 
 
 @query(
     "price_resolution",
-    """SELECT k AS model, arg_max(p, s) AS price FROM (VALUES ('a', 1.0::DOUBLE, 0), ('b', 2.0::DOUBLE, 0), ('b', 3.0::DOUBLE, 1), ('c', 4.0::DOUBLE, 1), ('a', 5.0::DOUBLE, 2)) t(k, p, s) GROUP BY k""",
+    """SELECT p_partkey, CASE WHEN p_size > 40 THEN round(p_retailprice / 2, 2) WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49) THEN 49.0
+         WHEN p_brand < 'Brand#3' THEN p_retailprice END AS price FROM part WHERE p_size > 40 OR p_brand < 'Brand#3' OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)""",
 )
 def price_resolution(spark, sf_dir):
     """Prices of several sources; the last source that has one counts."""
+    parts = table(spark, sf_dir, "part")
+    sold = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
     frames = [
-        spark.createDataFrame(rows, "model string, price double")
-        for rows in ([("a", 1.0), ("b", 2.0)], [("b", 3.0), ("c", 4.0)], [("a", 5.0)])
+        parts.filter("p_brand < 'Brand#3'").select("p_partkey", F.col("p_retailprice").alias("price")),
+        parts.join(sold, "p_partkey", "left_semi").select("p_partkey", F.lit(49.0).alias("price")),
+        parts.filter("p_size > 40").select("p_partkey", F.round(F.col("p_retailprice") / 2, 2).alias("price")),
     ]
-    return R.first_of_priority(frames, "model")
+    return R.first_of_priority(frames, "p_partkey")

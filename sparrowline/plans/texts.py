@@ -45,10 +45,10 @@ def url_no_fragment(spark, sf_dir):
 NOISE_SQL = r"""[\s·•◦○●□■▪▶▷–—\-*_.,;:!?()\[\]{}<>"''`~/\\|]+"""
 
 
-@query("loose_text", rf"SELECT doc_id, lower(regexp_replace(text, '{NOISE_SQL}', '', 'g')) AS loose FROM documents WHERE lang = 'en'")
+@query("loose_text", rf"SELECT doc_id, lower(regexp_replace(text, '{NOISE_SQL}', '', 'g')) AS loose FROM documents")
 def loose_text(spark, sf_dir):
     """Texts as comparisons see them."""
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", T.loose(F.col("text")).alias("loose"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.loose(F.col("text")).alias("loose"))
 
 
 @query(
@@ -67,11 +67,13 @@ def grounding_missing_lines(spark, sf_dir):
 
 @query(
     "repeat_fold",
-    "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE text || chr(10) || 'x' END) AS folded FROM documents WHERE text NOT LIKE '%' || chr(10) || '%' AND text <> 'x'",
+    """WITH t AS (SELECT doc_id, text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN text ELSE 'x' END AS v FROM documents),
+            p AS (SELECT *, string_split(v, chr(10)) AS s FROM t), h AS (SELECT *, len(s) // 2 AS half FROM p)
+       SELECT doc_id, md5(CASE WHEN len(s) % 2 = 0 AND s[1:half] = s[half + 1:] THEN array_to_string(s[1:half], chr(10)) ELSE v END) AS folded FROM h""",
 )
 def repeat_fold(spark, sf_dir):
     """A value that says everything twice, said once."""
-    docs = table(spark, sf_dir, "documents").filter("NOT contains(text, chr(10)) AND text <> 'x'")
+    docs = table(spark, sf_dir, "documents")
     twice = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.lit("x")))
     return docs.select("doc_id", F.md5(T.fold_repeat(twice)).alias("folded"))
 
@@ -428,16 +430,17 @@ def payload_flatten(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.explode(H.json_leaves(payload)).alias("leaf")).select("event_id", "leaf.*")
 
 
-@query("span_resolve", "SELECT doc_id, substr(text, 3, 40) AS span FROM documents WHERE regexp_matches(substr(text, 1, 42), '^[A-Za-z ]{42}$') AND substr(text, 3, 1) <> ' ' AND substr(text, 42, 1) <> ' ' AND position(lower(replace(substr(text, 3, 40), ' ', '')) IN lower(replace(text, ' ', ''))) = 3 - (length(substr(text, 1, 2)) - length(replace(substr(text, 1, 2), ' ', '')))")
+@query(
+    "span_resolve",
+    """SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN '(Posting no. ' || doc_id || ')' END AS span FROM documents""",
+)
 def span_resolve(spark, sf_dir):
-    """The exact piece of a text that a loosely copied piece stands for."""
-    docs = table(spark, sf_dir, "documents").filter(F.regexp_like(F.substring("text", 1, 42), F.lit("^[A-Za-z ]{42}$")))
-    piece = F.substring("text", 3, 40)
-    tight = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
-    head = F.substring("text", 1, 2)
-    docs = docs.filter((F.substring(piece, 1, 1) != " ") & (F.substring(piece, 40, 1) != " "))
-    docs = docs.filter(F.position(tight(piece), tight(F.col("text"))) == 3 - (F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))))
-    return docs.select("doc_id", H.resolved_span("text", F.upper(F.replace(piece, F.lit(" "), F.lit(" - ")))).alias("span"))
+    """The exact piece of a text that a loosely copied piece stands for, wherever it stands; null where the text has none."""
+    piece = F.concat(F.lit("(Posting no. "), F.col("doc_id"), F.lit(")"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    whole = F.concat(F.substring("text", F.lit(1), half), F.lit("\n"), F.when(F.col("doc_id") % 4 != 3, piece).otherwise(""), F.substring(F.col("text"), half + 1, F.length("text")))
+    loosely = F.concat(F.lit("( POSTING - no "), F.col("doc_id"), F.lit(" )"))
+    return table(spark, sf_dir, "documents").select("doc_id", H.resolved_span(F.coalesce(whole, piece), loosely).alias("span"))
 
 
 @query(

@@ -39,6 +39,12 @@ LOOSE = [
     ("d - DAY", None, "2024-12-10 23:59:59"),
     ("내일 마감", None, "2024-12-11 23:59:59"),
     ("2024.10.31 (D-32)", "2024-10-31 00:00:00", "2024-10-31 23:59:59"),
+    ("2026.\u00a09.\u00a020", "2026-09-20 00:00:00", "2026-09-20 23:59:59"),  # spaces beyond ASCII
+    ("2026.\u30009.\u300020 23:\u300059", "2026-09-20 23:59:00", "2026-09-20 23:59:00"),
+    ("2024.2.30, 24.3.1", "2024-03-01 00:00:00", "2024-03-01 23:59:59"),  # no day, so the next way of writing counts
+    ("Feb 30, 2024", None, None),
+    ("오늘 마감 D-3", None, "2024-12-13 23:59:59"),
+    ("9/20 ~ 상시 D-1", "2024-09-20 00:00:00", "2024-09-20 23:59:59"),
     ("always", None, None),
     ("", None, None),
     (None, None, None),
@@ -59,6 +65,12 @@ def test_counted_days_are_settled(spark):
     assert {r.t: r.s for r in df.select("t", D.settle_counted(F.col("t"), F.lit(ON)).alias("s")).collect()} == cases
 
 
+def test_loose_day_is_a_function_of_sql(spark):
+    D.register(spark)
+    rows = spark.sql("SELECT loose_day(t, DATE '2024-12-10') AS d FROM VALUES ('1/10'), ('D-3'), (''), (NULL), ('open') AS x(t)").collect()
+    assert [r.d for r in rows] == ["2025-01-10", "2024-12-13", None, None, None]
+
+
 def test_formats_and_letters():
     assert D.spark_format("%Y.%m.%d %H:%M") == "yyyy.M.d H:m"
     assert D.spark_format("100%% %Yx") == "100% yyyy'x'"
@@ -240,7 +252,10 @@ def test_columns_of_text(spark):
     assert value(T.stated(lit("공고에 명시 없음."))) is None and value(T.stated(lit(" a  b "))) == "a b"
     assert value(T.company_key(lit("(주)Samp-le 전기"))) == "sample전기"
     assert value(T.without_order(lit("3차시 Backend"))) == "Backend" and value(T.without_order(lit("Backend 2"))) == "Backend 2"
-    assert value(T.is_talent_pool(lit("2024 인재 풀 등록"))) and not value(T.is_talent_pool(lit(None)))
+    for title in ("2024 인재 풀 등록", "인재등록 안내", "2026 인재DB", "[본사] 상시 인재 Pool 등록", "인재 상시 DB 등록용", "상시등록", "Talent\u3000Pool"):
+        assert value(T.is_talent_pool(lit(title))), title
+    for title in (None, "", "인재 채용", "인력풀 담당자", "Pool manager"):
+        assert not value(T.is_talent_pool(lit(title))), title
     items = F.array(F.struct(lit("a").alias("name"), lit("the  'quote'").alias("quote")), F.struct(lit("b").alias("name"), lit("absent").alias("quote")))
     kept, lost = T.grounded_names(items, lit("all of thequote here"))
     assert [r.name for r in value(kept)] == ["a"] and value(lost) == ["b"]
@@ -291,3 +306,24 @@ def test_streaming_state_is_the_batch_state(spark, tmp_path):
     last = {r.user_id: r.streak for r in sorted(ST_rows, key=lambda r: r.last_id)}
     batch = R.streaks(spark.createDataFrame(rows, schema), "user_id", "id", F.col("failed"))
     assert last == {r.user_id: r.streak for r in batch.collect()}
+
+
+def test_deep_pages_and_payloads_end_no_job(spark):
+    page = "<div>" * 5000 + "<p>in</p><script>x</script>" + "</div>" * 5000
+    payload = '{"a":' + "[" * 400 + '"in"' + "]" * 400 + "}"
+    row = spark.range(1).select(
+        H.sanitized(F.lit(page), "https://a.example/").alias("html"), H.visible_text(F.lit(page)).alias("text"),
+        H.json_leaves(F.lit(payload)).alias("leaves"), H.json_leaves(F.lit("[" * 100_000)).alias("none"),
+        H.payload_text(F.lit("[" * 100_000)).alias("said"), H.canonical_json_hash(F.lit("[" * 100_000)).alias("hash"),
+        H.page_parts(F.lit(page), "https://a.example/").alias("parts"),
+    ).first()
+    assert (row.html, row.text, row.none, row.said, row.hash) == ("<p>in</p>", "in", [], "", None)
+    assert [(x.path, x.value) for x in row.leaves] == [("a" + ".*" * 400, "in")]
+    assert tuple(row.parts[k] for k in ("html", "visible", "blocks", "image")) == ("<p>in</p>", "in", "in", None)
+
+
+def test_numbers_of_rows_are_places_of_a_sort(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    found = R.numbered(rows, [F.desc("x")], "n").collect()
+    assert {(r.x, r.n) for r in found} == {(x, 1000 - x) for x in range(1000)}
+    assert R.numbered(rows.limit(0), [F.desc("x")], "n").count() == 0
