@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparrowline.llm.common import pick
-from sparrowline.llm.license_texts import PHRASES, TEMPLATES
+from sparrowline.llm.license_texts import NAMES, PHRASES, TEMPLATES
 
 #: Words are made of 0-9, a-z and everything beyond ASCII; A-Z are lower-cased; all other bytes part words.
 AS_WORDS = bytes(
@@ -46,6 +46,11 @@ def words_of(text: str) -> list[str]:
     return text.encode().translate(AS_WORDS).decode().split()
 
 
+def place_of(words: list[str], inside: list[str]) -> tuple[int, int] | None:
+    """Where words first stand together inside others: from, to; none if they do not."""
+    return next(((i, i + len(words)) for i in range(len(inside)) if inside[i : i + len(words)] == words), None)
+
+
 class Automaton:
     """Generalised suffix automaton of token sequences, with the ends of each template by state."""
 
@@ -129,6 +134,9 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         self.phrase_labels = [label for label, _ in phrases]
         texts = [words_of(t) for _, t in templates]
+        self.names = [
+            [at for of, name in NAMES if of == label and (at := place_of(words_of(name), words))] for label, words in zip(self.labels, texts)
+        ]
         base = [words_of(t) for _, t in phrases]
         self.ids: dict[bytes, int] = {}
         for w in (w for t in [*texts, *base] for w in t):
@@ -200,6 +208,8 @@ class Scanner:
         """For each label the largest share of one of its templates that a chain covers."""
         best: dict[str, float] = dict.fromkeys(out.base_labels, 1.0)
         for t, anchors in out.anchors.items():
+            if self.names[t] and not any(b <= lo and hi <= b + n for lo, hi in self.names[t] for _, b, n in anchors):
+                continue
             share = chain(sorted(set(anchors)), self.sizes[t]) / self.sizes[t]
             best[self.labels[t]] = max(best.get(self.labels[t], 0.0), share)
         return best

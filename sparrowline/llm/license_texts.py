@@ -8,6 +8,20 @@ PHRASES = [
     ("mit", "mit license"),
 ]
 
+#: Names of licenses, as they stand in their wordings: (label, words).
+NAMES = [
+    ("mit", "mit license"),
+    ("apache", "apache license"),
+    ("apache", "www apache org licenses"),
+    ("gpl", "gnu general public license"),
+    ("lgpl", "gnu lesser general public license"),
+    ("mpl", "mozilla public license"),
+    ("cc-by", "commons attribution 4"),
+    ("cc-by-sa", "attribution sharealike"),
+    ("cc-by-nc", "attribution noncommercial"),
+    ("cc-by-nc", "cc by nc"),
+]
+
 #: Wordings of which a part may be missing or changed: (label, text).
 TEMPLATES = [
     (

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from sparrowline.llm import license_scan as L
 from sparrowline.llm.license_texts import PHRASES, TEMPLATES
 
@@ -96,3 +98,24 @@ def test_rows_in_and_out(spark):
     assert (by[2].n_words, by[2].first_word, by[2].labels, by[2].score) == (0, None, "", 0.0)
     assert by[4].first_word == 200003 and by[4].labels == "apache"
     assert L.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("this package is released under the BSD License", ""),
+        ("released under the terms that follow", ""),
+        ("Released under the MIT License.", "mit"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("This work is licensed under a commercial agreement, version 3", ""),
+        ("This work is licensed under the GNU Free Documentation License, version 3", ""),
+        ("you may not use this file except in compliance with the License. You may obtain a copy of the License at example.com", ""),
+    ],
+)
+def test_wordings_of_other_licenses_give_no_label(text, labels):
+    scan = L.Scanner()
+    found = scan.scan(text.encode())
+    shares = scan.covered(found)
+    assert ",".join(sorted(found.base_labels | {k for k, s in shares.items() if s >= L.COVERED})) == labels
