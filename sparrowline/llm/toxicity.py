@@ -40,8 +40,8 @@ from sparrowline.llm.common import pick, written
 from sparrowline.llm.simhash import fingerprint
 from sparrowline.llm.toxic_words import DIGITS, LOOKALIKES, SEEDS, SIGNS
 
-#: Bounds of what is learned from and of what is learned.
-LABELLED, ENTRIES, EXCEPTIONS = 20_000, 4_000, 2_000
+#: Bound of the labelled rows that are learned from; it bounds the lexicon as well.
+LABELLED = 20_000
 SEED_DOCS = 4.0
 #: An entry is in so many toxic documents, with so large a likelihood ratio and so large log-odds, at least.
 LEAST_DOCS, LEAST_RATIO, LEAST_ODDS = 5, 30.0, 1.0
@@ -245,8 +245,6 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexic
         .filter(t >= LEAST_DOCS)
         .withColumns({"odds": odds, "ratio": ratio})
         .filter((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO))
-        .orderBy(F.desc("ratio"), "term")
-        .limit(ENTRIES)
         .collect()
     )
     entries = {r.term: r.odds for r in stands_out}
@@ -259,11 +257,9 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexic
         _sums(for_words, lambda words: _phrases_of(lexicon, words))
         .withColumn("odds", odds)
         .filter((c >= LEAST_DOCS) & (F.col("odds") < 0))
-        .orderBy(F.desc("clean"), "term")
-        .limit(EXCEPTIONS)
         .collect()
     )
-    lexicon = Lexicon(lexicon.entries, [r.term for r in spared])
+    lexicon = Lexicon(lexicon.entries, sorted(r.term for r in spared))
 
     def run(batches):
         for b in batches:

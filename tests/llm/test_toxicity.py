@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +109,47 @@ def test_only_near_copies_count_once(spark):
     rows = [(i, f"{t} {ends}", 1) for i, t in enumerate(texts)] + [(9, f"{texts[0]}  {ends}", 1), (10, f"{texts[0]} {ends}", 0)]
     found = T.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, toxic int")).collect()
     assert sorted((r.text, r.toxic) for r in found) == sorted((t, c) for i, t, c in rows if i != 9)
+
+
+def test_entries_and_exceptions_are_those_of_plain_counts(spark):
+    """Counts, likelihood ratio, odds and exceptions by dictionaries over the rows that words are learned from."""
+    rows = corpus(random.Random(4), 900)
+    docs, labels = frames(spark, rows)
+    lexicon = T.learn(docs, labels)
+    marked = spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(doc_id, 'curve'), 3) = 0 AS curve").collect()
+    curve = {r.doc_id for r in marked if r.curve}
+    first = {}
+    for i, t, x in rows:
+        if not held_out(i) and i not in curve:
+            first.setdefault((T.fingerprint(t.encode()), x), t)
+    used = [(T.folded(t), x) for (_, x), t in first.items()]
+    size = Counter(x for _, x in used)
+    count = {}
+    for words, x in used:
+        terms = {w + " " for w in words if len(w) >= 3} | {w[:k] for w in words for k in range(4, 11) if k < len(w)}
+        for term in terms:
+            count.setdefault(term, [0, 0])[x] += 1
+
+    def odds(c, t):
+        return math.log((t + 0.5) / (size[1] + 1)) - math.log((c + 0.5) / (size[0] + 1))
+
+    def ratio(c, t):
+        n, share = c + t, lambda k: size[k] / (size[0] + size[1])
+        return 2 * (t * math.log(max(t, 0.5) / (n * share(1))) + c * math.log(max(c, 0.5) / (n * share(0))))
+
+    want = {e: odds(*ct) for e, ct in count.items() if ct[1] >= T.LEAST_DOCS and ratio(*ct) >= T.LEAST_RATIO and odds(*ct) >= T.LEAST_ODDS}
+    found = {text + " " * whole: w for text, whole, w in lexicon.entries}
+    seeds = {T.folded(s)[0] + " " for s in T.SEEDS}
+    assert set(want) <= set(found) <= set(want) | seeds and len(want) > 3
+    assert all(math.isclose(found[e], w, abs_tol=1e-9) for e, w in want.items())
+    assert all(e in seeds or e in want for e in found)
+    plain = T.Lexicon(lexicon.entries)
+    near = {}
+    for words, x in used:
+        text = " ".join(words)
+        starts = {len(" ".join(words[:k])) + (k > 0): k for k in range(len(words))}
+        hit = {starts[at] for at, _, _ in T.matches(plain, words)}
+        assert all(text.startswith(words[k], len(" ".join(words[:k])) + (k > 0)) for k in hit)
+        for pair in {f"{words[j]} {words[j + 1]}" for k in hit for j in (k - 1, k) if 0 <= j < len(words) - 1}:
+            near.setdefault(pair, [0, 0])[x] += 1
+    assert lexicon.exceptions == sorted(p for p, (c, t) in near.items() if c >= T.LEAST_DOCS and odds(c, t) < 0)
