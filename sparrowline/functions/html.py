@@ -409,3 +409,29 @@ def resolved_span(source: pd.Series, piece: pd.Series) -> pd.Series:
         return s[lo:hi]
 
     return pd.Series([one(s, p) for s, p in zip(source, piece)])
+
+
+@_column("array<struct<path:string,size:int,index:int,key:string,value:string>>")
+def json_entries(text: str, deepest: int = 6, least: int = 2) -> list[dict]:
+    """Values of the objects in each list of objects of a JSON text: the list's path and size, the object's place, the key.
+
+    Lists inside lists, lists of other things and lists of fewer than `least` objects are left out.
+    """
+    out: list[dict] = []
+    try:
+        todo = [("", json_value(text), 0)]
+    except ValueError:
+        return out
+    while todo:
+        path, x, depth = todo.pop()
+        if not isinstance(x, dict) or depth > deepest:
+            continue
+        for k, v in x.items():
+            at = f"{path}.{k}" if path else str(k)
+            if not isinstance(v, list):
+                todo.append((at, v, depth + 1))
+            elif len(v) >= least and all(isinstance(e, dict) for e in v):
+                for i, entry in enumerate(v):
+                    found = [{"path": at, "size": len(v), "index": i, "key": p, "value": w.strip()} for p, w in flattened(entry)]
+                    out += [f for f in found if "*" not in f["key"]]
+    return out

@@ -155,3 +155,44 @@ def edit_formats(c: Column, dropped: str, added: Sequence[str]) -> Column:
 def close_orphans(status: Column) -> Column:
     """Runs that never ended count as timed out."""
     return F.coalesce(status, F.lit("timeout"))
+
+
+def seeded(table: DataFrame, seed: DataFrame) -> DataFrame:
+    """The table, or the seed's rows where it has none at all; rows that people changed are never mixed with a seed."""
+    any_row = table.limit(1).agg(F.count("*").alias("_n"))  # one row
+    fresh = seed.select(*table.columns).crossJoin(F.broadcast(any_row)).filter("_n = 0").drop("_n")
+    return table.unionByName(fresh)
+
+
+def rewrite(old: DataFrame, new: DataFrame, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """Rows written again in place: all columns but the `kept` ones come from `new`, new keys are added,
+    and keys that `new` does not have stay as they are."""
+    j = _aligned(old, new, keys)
+    written = F.col("n").isNotNull()
+    columns = [c for c in old.columns if c not in keys]
+    values = [F.when(written & F.lit(c not in kept), F.col(f"n.{c}") if c in new.columns else F.lit(None)).otherwise(F.col(f"o.{c}")).alias(c) for c in columns]
+    return j.select(*keys, *values)
+
+
+def merge_rules(ours: DataFrame, theirs: DataFrame, readable: Column, renamed: dict[str, str | None]) -> tuple[DataFrame, DataFrame]:
+    """(all rules, counts added and skipped) of rules(id, field_name, rule_type, rule_config_json, priority, ...).
+
+    Two rules are the same if field, type, configuration and priority are; the first of several counts. Former field names become
+    the present ones, and rules of a field that is gone (None), or that this version cannot read, are skipped.
+    """
+    same = ["field_name", "rule_type", "rule_config_json", "priority"]
+    names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair]) if renamed else F.create_map().cast("map<string,string>")
+    field = F.when(F.map_contains_key(names, F.col("field_name")), F.try_element_at(names, F.col("field_name"))).otherwise(F.col("field_name"))
+    fits = theirs.withColumn("field_name", field).filter("field_name IS NOT NULL").filter(readable)
+    first = fits.groupBy(*same).agg(F.min_by(F.struct(*[c for c in theirs.columns if c not in same]), F.col("id")).alias("_r")).select(*same, "_r.*")
+    fresh = first.join(ours.select(*same), same, "left_anti")
+    added = numbered(fresh, "id").crossJoin(F.broadcast(ours.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))))
+    added = added.withColumn("id", F.col("_last") + F.col("_n")).select(*ours.columns)
+    counts = theirs.agg(F.count("*").alias("_all")).crossJoin(F.broadcast(added.agg(F.count("*").alias("added"))))
+    return ours.unionByName(added), counts.select("added", (F.col("_all") - F.col("added")).alias("skipped"))
+
+
+def renamed_inside(facts: DataFrame, names: DataFrame, column: str, parent: str) -> DataFrame:
+    """The facts with a column's names changed by names(parent, old, new), each only inside its own parent."""
+    mapped = facts.join(names.select(F.col("parent").alias(parent), F.col("old").alias(column), "new"), [parent, column], "left")
+    return mapped.withColumn(column, F.coalesce("new", column)).select(*facts.columns)
