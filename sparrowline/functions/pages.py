@@ -17,7 +17,7 @@ FURNITURE, FURNITURE_CLASSES = {"header", "footer", "nav", "aside"}, ("aside", "
 PLACEHOLDER = re.compile(r"\{([A-Za-z_][A-Za-z0-9_:.-]*)(?:\|arg(\d+))?\}")
 QUOTED, CALL = re.compile(r"'([^']*)'|\"([^\"]*)\""), re.compile(r"\(([^()]*)\)")
 KEPT_IN_URL = "/?:=&%+#"
-LABEL_EDGE = " :： \t\n"
+LABEL_EDGE = " :\uff1a\xa0\t\n"
 DEADLINE = r"(?:서류\s*)?(?:접수|지원|모집|채용)?\s*마감\s*(?:일|일시|기한|날짜)?", r"(?:서류\s*)?(?:접수|지원|모집|채용)\s*기간"
 ONE_DATE = (
     r"\d{2,4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}\s*일?\.?(?:\s*\(\s*[월화수목금토일]\s*\))?"
@@ -34,7 +34,7 @@ def above(node: Node) -> Iterator[Node]:
 
 
 def tight(text: str) -> str:
-    return re.sub(r"[\s​]+", "", text)
+    return re.sub(r"[\s\u200b]+", "", text)
 
 
 def images(node: Node) -> list[str]:

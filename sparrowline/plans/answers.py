@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparrowline.functions import delivery as D
 from sparrowline.functions import html as H
 from sparrowline.functions import pages as P
 from sparrowline.operators import answers as A
@@ -13,6 +14,7 @@ from sparrowline.operators import merge as M
 from sparrowline.operators import review as V
 from sparrowline.plans.registry import query
 from sparrowline.plans.states import rule
+from sparrowline.sources import outbound as O
 from sparrowline.sources.tables import table
 
 TREE = {"north": ["n1", "n2"], "south": ["s1", "other south"]}
@@ -375,3 +377,56 @@ def list_inference(spark, sf_dir):
     best = I.list_of_titles(found, titles)
     own = found.join(best.select("site", "request", "path"), ["site", "request", "path"], "left_semi")
     return best.join(I.id_and_template(own, links), "site").select("site", "path", "size", "hits", "key", "template")
+
+
+@query(
+    "delivery_html_made",
+    """SELECT p_partkey, CASE WHEN p_partkey % 9 = 8 THEN NULL ELSE '<div><h2>' || p_name || '</h2><p>one<br>two</p><img src="https://a.example/i/' || p_partkey || '.png" alt="a"> plain <a href="mailto:a@b.example">m</a></div>'
+              || '<div>' || repeat(p_type, 20) || '</div>' END AS html FROM part""",
+)
+def delivery_html_made(spark, sf_dir):
+    """Pages made of the table's rows as they go out: lazy images, line breaks, no scripts, empty blocks, unsafe links and repeats."""
+    key, long = F.col("p_partkey"), F.repeat(F.col("p_type"), 20)
+    page = _page(
+        "<section class=x>\n <h2>", F.col("p_name"), "</h2> <p style='white-space: pre-line'>\none\ntwo\n</p><p> <span> </span></p><img src='data:x' data-original='/i/", key,
+        ".png' alt='a'> <font>plain</font>\n\u200b<a href='mailto:a@b.example'>m</a><a href='javascript:x()'></a></section><script>x</script><!-- c -->",
+        "<div>", long, "</div><footer>f</footer><div>", long, "</div>",
+    )
+    page = F.when(key % 9 == 8, "<div> <p>&nbsp;</p><script>x</script></div>").otherwise(page)
+    return table(spark, sf_dir, "part").select("p_partkey", D.delivery_html(page, "https://a.example/list").alias("html"))
+
+
+@query(
+    "piece_resolution",
+    """SELECT p_partkey, '(' || p_name || ')' || chr(10) || p_brand || chr(10) || 'last line, whole' AS value, CAST(1 AS INTEGER) AS whole_lines, CAST(1 AS INTEGER) AS lost FROM part""",
+)
+def piece_resolution(spark, sf_dir):
+    """Copied pieces as the source has them: in their own line, in another one, as a whole line, or lost; each once."""
+    source = _page("First (", F.col("p_name"), ").\n", F.col("p_brand"), " and more\nlast line, whole")
+    pieces = [(F.lit(0), F.upper(_page("( ", F.col("p_name"), ")"))), (F.lit(0), F.col("p_brand")), (F.lit(1), F.col("p_brand")), (F.lit(2), F.lit("qqq zzz")), (F.lit(9), F.lit("xxjj")), (F.lit(0), F.lit("--"))]
+    given = F.array(*[F.struct(n.alias("line"), text.alias("text")) for n, text in pieces])
+    return table(spark, sf_dir, "part").select("p_partkey", D.resolved_pieces(source, given).alias("r")).select("p_partkey", "r.*")
+
+
+@query(
+    "outbound_fields",
+    """SELECT p_partkey, CASE WHEN k % 2 = 0 THEN p_name ELSE p_brand END AS company, CASE WHEN k % 2 = 0 THEN p_brand END AS parent, CASE k % 3 WHEN 0 THEN 'DEV' END AS field, CASE k % 3 WHEN 0 THEN 'DEV_WEB' END AS role,
+              CASE k % 4 WHEN 0 THEN 'PERIOD' WHEN 1 THEN 'ALWAYS_OPEN' END AS kind, CASE WHEN k % 4 <> 1 THEN '2024-01-02T23:59:59' END AS ends,
+              CASE WHEN k % 5 = 0 THEN 'n1' END AS sub_region, CASE WHEN p_size >= 1 THEN CAST(p_size AS INTEGER) END AS years, 33 AS names
+       FROM (SELECT *, p_partkey AS k FROM part)""",
+)
+def outbound_fields(spark, sf_dir):
+    """All fields that go out, checked: company or parent, the contract's names of roles, choices, regions inside regions, no end of what is always open."""
+    k = F.col("p_partkey")
+    columns = {c for group in (O.TEXTS, O.CHOICES, O.COUNTS, O.MOMENTS, O.FLAGS) for c in group.values()}
+    c = {name: F.lit(" ") for name in columns} | {
+        "company_name": F.when(k % 2 == 0, F.col("p_name")), "parent_company_name": F.col("p_brand"),
+        "job_field": F.lit("development"), "job_role": _choice(k, "web", "other", ""), "recruitment_type": _choice(k, "PERIOD", "ALWAYS_OPEN", "former", " "),
+        "recruitment_end_at": F.lit("2024-01-02 23:59:59"), "region": F.lit("north"), "sub_region": _choice(k, "n1", "s1", "", "n9", "x"), "experience_min_years": F.col("p_size").cast("string"),
+    }
+    allowed = {column: ["north", "south"] if column == "region" else ["PERIOD", "ALWAYS_OPEN"] for column in O.CHOICES.values()}
+    body = O.payload(c, allowed, TREE, {("development", "web"): ("DEV", "DEV_WEB")})
+    names = {"company": "companyName", "parent": "parentCompanyName", "field": "jobField", "role": "jobRole", "kind": "recruitmentType", "ends": "recruitmentEndAt", "sub_region": "subRegion"}
+    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("b"))
+    return rows.select("p_partkey", *[F.get_json_object("b", f"$.{v}").alias(n) for n, v in names.items()],
+                       F.get_json_object("b", "$.experienceMinYears").cast("int").alias("years"), F.size(F.json_object_keys("b")).alias("names"))

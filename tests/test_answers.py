@@ -104,3 +104,17 @@ def test_nothing_is_inferred_from_little(spark):
     assert I.list_of_titles(found, spark.createDataFrame([("s", "One job here"), ("s", "Two")], "site string, title string")).count() == 0
     links = spark.createDataFrame([("s", 0, "https://x/12345"), ("s", 1, "https://x/123456")], "site string, place int, link string")
     assert I.id_and_template(found, links).count() == 0  # the same link for both
+
+
+def test_delivered_pages():
+    from sparrowline.functions.delivery import cleaned, located
+
+    deep = "<div>" * 3000 + "<p>in</p>" + "</div>" * 3000
+    assert cleaned(deep, "https://a.example/").count("<div>") == 3000
+    assert cleaned("", "https://a.example/") is None and cleaned("<p> </p><form>x</form>", "https://a.example/") is None
+    body = "<div><p>" + "word " * 30 + "</p></div>"
+    assert cleaned(body + "<hr>" + body, "https://a.example/") == cleaned(body, "https://a.example/") + "<hr>"
+    assert cleaned("<td></td><pre>a\n  b</pre><a href='#x'>t</a>", "https://a.example/") == "<td></td><pre>a\n  b</pre>t"
+    assert cleaned("<img src='data:x'><p>a&lt;b &amp; c</p>", "https://a.example/") == "<p>a&lt;b &amp; c</p>"
+    assert located("at HQ (Seoul 63 building).", "hq seoul-63 Building") == "HQ (Seoul 63 building)"
+    assert located("a (must) license", "(must) license") == "(must) license" and located("abc", "x") is None and located("ab", "b") is None
