@@ -14,6 +14,7 @@ from sparrowline.functions.text import NOTHING_LISTED
 
 # Parts of a page around a posting; how placeholders, calls and ids are written; what a link keeps as it is.
 FURNITURE, FURNITURE_CLASSES = {"header", "footer", "nav", "aside"}, ("aside", "footer", "gnb")
+NOISE = {"script", "style", "noscript", "template", "svg", "iframe", "link", "meta"}
 PLACEHOLDER = re.compile(r"\{([A-Za-z_][A-Za-z0-9_:.-]*)(?:\|arg(\d+))?\}")
 QUOTED, CALL = re.compile(r"'([^']*)'|\"([^\"]*)\""), re.compile(r"\(([^()]*)\)")
 KEPT_IN_URL = "/?:=&%+#"
@@ -232,3 +233,54 @@ def nothing_listed(text: str) -> str | None:
     """The words by which a page says that nothing is listed; null where it does not."""
     said = flat(parse(text))
     return next((m[0] for p in NOTHING_LISTED if (m := re.search(p, said))), None)
+
+
+def _names(node: Node) -> list[str]:
+    """Selectors that fit an element, the most particular first."""
+    classes = [c for c in node.attrs.get("class", "").split() if re.fullmatch(r"[\w-]+", c)]
+    return [node.tag + "".join(f".{c}" for c in classes), *(f"{node.tag}.{c}" for c in classes), node.tag]
+
+
+@_column("string")
+def repeating_item(text: str, item: str, title: str, steps: int = 6) -> str:
+    """The selector of a list's items, each with exactly one title: the given one if it is so; else that of the nearest
+    ancestors of the titles, one for each title, that no other element fits; else the given one."""
+    root = parse(text)
+    titles, items = select(root, title), select(root, item)
+    if len(titles) < 2 or (items and len(items) == len(titles) and all(len(select(n, title)) == 1 for n in items)):
+        return item
+    for step in range(steps):
+        around = [next((up for i, up in enumerate(above(t)) if i == step), None) for t in titles]
+        if None in around or not around[0].tag or len({id(n) for n in around}) < len(titles):
+            break
+        for name in _names(around[0]):
+            if {id(n) for n in select(root, name)} == {id(n) for n in around}:
+                return name
+    return item
+
+
+@_column("string")
+def reduced(text: str, siblings: int = 3, most: int = 20_000) -> str:
+    """A page's structure for a reader: tags with id and class, texts, the first few of siblings that look alike, cut at a length."""
+    out: list[str] = []
+    size, todo = 0, [parse(text)]
+    while todo and size < most:
+        x = todo.pop()
+        if isinstance(x, str):
+            piece = re.sub(r"\s+", " ", x)
+        else:
+            said = "".join(f' {k}="{x.attrs[k]}"' for k in ("id", "class", "href") if x.attrs.get(k))
+            piece = f"<{x.tag}{said}>" if x.tag else ""
+            alike: dict[tuple, int] = {}
+            inside: list[Node | str] = []
+            for c in x.children:
+                if isinstance(c, Node):
+                    kind = (c.tag, c.attrs.get("class"))
+                    alike[kind] = alike.get(kind, 0) + 1
+                    if c.tag in NOISE or alike[kind] > siblings:
+                        continue
+                inside.append(c)
+            todo += [*([f"</{x.tag}>"] if x.tag else []), *reversed(inside)]
+        out.append(piece)
+        size += len(piece)
+    return "".join(out)[:most].strip()

@@ -53,3 +53,27 @@ def id_and_template(found: DataFrame, links: DataFrame) -> DataFrame:
     link, size = F.col("b.one.link"), F.length("b.one.value")
     template = F.concat(F.substring(link, F.lit(1), at - 1), F.lit("{id}"), F.substring(link, at + size, F.length(link)))
     return best.select("site", F.col("b.key").alias("key"), template.alias("template"))
+
+
+def paths_by_value(leaves: DataFrame, wanted: DataFrame, dated: list[str], least: int = LEAST) -> DataFrame:
+    """field, path, hits: the path of leaves(item, path, value) that holds wanted(item, field, value) for most items, `least` of
+    them at least; then the shortest and first path. Fields in `dated` need the same day only, however it is written."""
+    day = F.regexp_replace(F.regexp_extract("value", r"((?:19|20)\d{2}\D{0,3}\d{2}\D{0,3}\d{2})", 1), r"\D", "")
+    same = F.when(F.col("field").isin(dated), day)
+    asked = wanted.withColumn("_key", F.coalesce(F.nullif(same, F.lit("")), T.squeezed(F.col("value")))).filter("_key <> ''").select("item", "field", "_key")
+    given = F.array(T.squeezed(F.col("value")), F.nullif(day, F.lit("")))
+    found = leaves.select("item", "path", F.explode(F.array_distinct(F.array_compact(given))).alias("_key"))
+    hits = found.join(asked, ["item", "_key"]).groupBy("field", "path").agg(F.count_distinct("item").alias("hits")).filter(F.col("hits") >= least)
+    order = F.struct((-F.col("hits")).alias("h"), F.length("path").alias("l"), "path")
+    return hits.groupBy("field").agg(F.min_by(F.struct("path", "hits"), order).alias("b")).select("field", "b.*")
+
+
+def paths_by_name(leaves: DataFrame, hints: dict[str, list[str]], longer: dict[str, int]) -> DataFrame:
+    """field, path: the path of leaves(path, value) whose last key has the earliest of a field's hints in it; then one that does
+    not end in `en`, the least deep, the first. `longer`: fields whose value needs some length at least."""
+    key = F.lower(F.element_at(F.split("path", r"\."), -1))
+    known = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("rank"), F.lit(h).alias("hint"), F.lit(longer.get(f, 0)).alias("least")) for f, hs in hints.items() for i, h in enumerate(hs)])
+    found = leaves.groupBy("path").agg(F.max(F.length("value")).alias("size")).select("path", "size", key.alias("key"), F.explode(known).alias("h")).select("*", "h.*")
+    found = found.filter(F.contains("key", F.col("hint")) & (F.col("size") >= F.col("least")))
+    order = F.struct("rank", F.endswith("key", F.lit("en")).alias("e"), F.size(F.split("path", r"\.")).alias("d"), "path")
+    return found.groupBy("field").agg(F.min_by("path", order).alias("path"))

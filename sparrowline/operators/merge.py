@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowline.functions.text import content_hash
 from sparrowline.operators.relational import latest
 
 
@@ -129,6 +130,27 @@ def import_rows(ours: DataFrame, theirs: DataFrame, natural: Sequence[str], row_
     return rows, ids.join(rows.select(*natural, F.col(row_id).alias("our_id")), list(natural)).select("their_id", "our_id")
 
 
+def import_linked(
+    ours: tuple[DataFrame, DataFrame], theirs: tuple[DataFrame, DataFrame], natural: tuple[Sequence[str], Sequence[str]], row_id: str, foreign: str, hashed: dict[str, Sequence[str]]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parents, children, counts) of two databases of parents and children(foreign: a parent's id).
+
+    Both are known by natural keys, a child within its parent. Children get our parents' ids, and hashes of
+    `hashed` (column: what it covers) are computed again before they are compared. counts: entity, added, known.
+    """
+    parents, ids = import_rows(ours[0], theirs[0], natural[0], row_id)
+    moved = theirs[1].join(ids.select(F.col("their_id").alias(foreign), "our_id"), foreign).withColumn(foreign, F.col("our_id")).drop("our_id")
+    moved = moved.withColumns({h: content_hash([F.col(c).cast("string") for c in covered]) for h, covered in hashed.items()})
+    children, _ = import_rows(ours[1], moved, [foreign, *natural[1]], row_id)
+    told = []
+    for name, before, after, given in (("parents", ours[0], parents, theirs[0]), ("children", ours[1], children, theirs[1])):
+        sizes = [df.agg(F.count("*").alias(n)) for df, n in ((before, "_before"), (after, "_after"), (given, "_given"))]
+        row = sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2])  # one row each
+        added = F.col("_after") - F.col("_before")
+        told.append(row.select(F.lit(name).alias("entity"), added.alias("added"), (F.col("_given") - added).alias("known")))
+    return parents, children, told[0].union(told[1])
+
+
 def numbered(df: DataFrame, order: str, name: str = "_n", each: int = 100_000) -> DataFrame:
     """Rows numbered from 1 by a whole-number column: by ranges of it, then inside each range."""
     from pyspark.sql import Window as W

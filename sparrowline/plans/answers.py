@@ -430,3 +430,83 @@ def outbound_fields(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("b"))
     return rows.select("p_partkey", *[F.get_json_object("b", f"$.{v}").alias(n) for n, v in names.items()],
                        F.get_json_object("b", "$.experienceMinYears").cast("int").alias("years"), F.size(F.json_object_keys("b")).alias("names"))
+
+
+@query(
+    "import_linked_entities",
+    """WITH pt AS (SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey % 2 = 0), po AS (SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey % 3 = 0),
+       ids AS (SELECT t.id AS their_id, coalesce(o.id, (SELECT max(id) FROM po) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY t.id)) AS our_id FROM pt t LEFT JOIN po o USING (c_name)),
+       co AS (SELECT o_custkey AS parent_id, o_clerk, o_orderkey FROM (SELECT *, o_orderstatus || o_orderkey AS o_clerk FROM orders) WHERE o_custkey % 3 = 0 AND o_orderkey % 5 = 0),
+       ct AS (SELECT our_id AS parent_id, o_clerk, o_orderkey FROM (SELECT *, o_orderstatus || o_orderkey AS o_clerk FROM orders) JOIN ids ON their_id = o_custkey WHERE o_orderkey % 4 = 0)
+       SELECT parent_id, o_clerk AS name, sha256(parent_id || chr(31) || o_clerk) AS hash FROM (SELECT parent_id, o_clerk FROM co UNION SELECT parent_id, o_clerk FROM ct)""",
+)
+def import_linked_entities(spark, sf_dir):
+    """Another database's parents and their children: found by natural key or added, the children under our parents' ids, their hashes computed again."""
+    parents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    name = F.concat("o_orderstatus", "o_orderkey")
+    children = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent_id"), name.alias("name"))
+    hashed = children.withColumn("hash", M.content_hash([F.col(c).cast("string") for c in ("parent_id", "name")]))
+    ours = parents.filter("id % 3 = 0"), hashed.filter("parent_id % 3 = 0 AND id % 5 = 0")
+    theirs = parents.filter("id % 2 = 0"), hashed.filter("parent_id % 2 = 0 AND id % 4 = 0").withColumn("hash", F.lit("of their id"))
+    _, rows, _ = M.import_linked(ours, theirs, (["c_name"], ["name"]), "id", "parent_id", {"hash": ["parent_id", "name"]})
+    return rows.select("parent_id", "name", "hash")
+
+
+@query(
+    "paths_by_value",
+    """SELECT 'no' AS field, 'k' AS path, count(*) AS hits FROM events UNION ALL SELECT 'on', 'l.*.on', count(*) FROM events""",
+)
+def paths_by_value(spark, sf_dir):
+    """Which paths of the payloads hold known values, some compared by day, with enough items behind them."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("item"), F.get_json_object("props", "$.k").alias("k"), "ts")
+    body = _page('{"k": "', F.col("k"), '", "l": [{"on": "', F.date_format("ts", "yyyy.MM.dd HH:mm"), '"}], "again": {"k": "x', F.col("k"), '"}}')
+    leaves = events.select("item", F.explode(H.json_leaves(body)).alias("e")).select("item", "e.*")
+    wanted = {"no": F.col("k"), "on": F.date_format("ts", "yyyy-MM-dd"), "never": F.lit("qqzz")}
+    asked = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in wanted.items()])
+    return I.paths_by_value(leaves, events.select("item", F.explode(asked).alias("a")).select("item", "a.*"), ["on"])
+
+
+@query(
+    "paths_by_name",
+    "SELECT * FROM (VALUES ('title', 'data.jobName'), ('body', 'data.text.bodyHtml'), ('end', 'data.endDate')) t(field, path)",
+)
+def paths_by_name(spark, sf_dir):
+    """Which paths of the payloads look like a posting's fields, by their names."""
+    body = _page('{"data": {"jobName": "', F.col("p_name"), '", "jobNameEn": "x", "endDate": "2024", "text": {"bodyHtml": "', F.repeat(F.col("p_type"), 30), '"}, "body": "short"}, "name": {"a": 1}}')
+    leaves = table(spark, sf_dir, "part").select(F.explode(H.json_leaves(body)).alias("e")).select("e.*")
+    return I.paths_by_name(leaves, {"title": ["title", "name"], "body": ["body", "text"], "end": ["close", "end"], "none": ["zzz"]}, {"body": 50})
+
+
+@query(
+    "item_selector_narrowed",
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'li.job' WHEN 1 THEN 'div.open' ELSE 'li' END AS item FROM part""",
+)
+def item_selector_narrowed(spark, sf_dir):
+    """Selectors of list items that hold one title each: kept, narrowed, or left as they are where nothing fits."""
+    k = F.col("p_partkey") % 3
+    jobs = "".join(f'<li class="job"><b class="t">{n}</b></li>' for n in "abc")
+    cards = "".join(f'<div class="card{n} open"><b class="t">{n}</b><p>x</p></div>' for n in "ab")
+    page = F.when(k == 0, f"<ul><li>menu</li>{jobs}</ul>").when(k == 1, f'<div class="list">{cards}<div>ad</div></div>').otherwise('<li><b class="t">1</b><b class="t">2</b></li>')
+    item = P.repeating_item(F.concat(page, F.lit("<i>"), F.col("p_name"), F.lit("</i>")), "li", ".t")
+    return table(spark, sf_dir, "part").select("p_partkey", item.alias("item"))
+
+
+@query(
+    "page_reduced",
+    "SELECT p_partkey, '<ul id=\"l\"><li class=\"j\">' || p_name || '</li><li class=\"j\">b</li></ul><p>end</p>' AS html FROM part".replace("\\", ""),
+)
+def page_reduced(spark, sf_dir):
+    """A page's structure without scripts, with the first two of its list's items."""
+    page = _page("<style>x</style><ul id=l style='y'><li class=j>", F.col("p_name"), "</li><li class=j>b</li><li class=j>c</li><li class=j>d</li></ul><script>z</script><p>end</p>")
+    return table(spark, sf_dir, "part").select("p_partkey", P.reduced(page, 2).alias("html"))
+
+
+@query(
+    "scalar_lookup",
+    """SELECT o_orderkey, (SELECT c.c_name FROM customer c WHERE c.c_custkey = o.o_custkey) AS name, (SELECT max(l.l_quantity) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS most FROM orders o""",
+)
+def scalar_lookup(spark, sf_dir):
+    """One value of another table for each row: joined on its key, or on a key that was made unique first."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    most = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").alias("most"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left").join(most, "o_orderkey", "left").select("o_orderkey", "name", "most")
