@@ -118,3 +118,20 @@ def test_clusters_and_deduplicate_with_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 8]
     empty = documents(spark, [])
     assert simhash.clusters(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
+
+
+def test_a_hot_bucket_and_a_hub_are_split_without_adaptive_execution(spark):
+    """Half of all fingerprints agree in a block and hang on one hub; joins may not lean on skew joins."""
+    rng = random.Random(12)
+    hub = rng.getrandbits(64)
+    near = {hub} | {hub ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(600)}
+    others = {rng.getrandbits(64) for _ in range(600)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in near | others]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = simhash.components(simhash.edges(spark.createDataFrame([(f,) for f in signed], "fp long"), tile=64)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    root = {r.node % (1 << 64): r.root for r in found}
+    assert len({root.get(f, f - (1 << 64) if f >> 63 else f) for f in near}) == 1
+    assert not set(root) & others
