@@ -121,7 +121,8 @@ CLASSIFIED = ("recruitment_headcount", "experience_type", "employment_type", "ex
 
 
 def normalize(raw: DataFrame, rules: Sequence[Rule], classifications: DataFrame, overrides: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, failures) of raw rows (raw_job_id, source_url, collected date, parent, affiliates, FIELDS).
+    """(postings, failures) of raw rows (raw_job_id, source_url, collected date, parent, affiliates, FIELDS, and site_icon and
+    cover_image_url where the site has them). A registered logo, the company's or the parent's, comes before the site's icon.
 
     `classifications`: raw_job_id, part, role, posting_title, dates_by_ai and c_ columns of the
     fields; `overrides`: raw_job_id, part, field_name, value; `companies`: id, name, parent_name, logo_url.
@@ -153,9 +154,11 @@ def normalize(raw: DataFrame, rules: Sequence[Rule], classifications: DataFrame,
     rows = rows.withColumns({f: overridden(f, F.col(f)) for f in FIELDS})
     own = companies.select(F.col("name").alias("company_name"), F.col("logo_url").alias("_own"))
     top = companies.select(F.col("name").alias("parent"), F.col("logo_url").alias("_top"))
-    rows = rows.join(own, "company_name", "left").join(top, "parent", "left").withColumn("logo_url", F.coalesce(T.filled(F.col("_own")), T.filled(F.col("_top"))))
+    rows = rows.join(own, "company_name", "left").join(top, "parent", "left")
+    site = {c: T.filled(F.col(c)) if c in raw.columns else F.lit(None).cast("string") for c in ("site_icon", "cover_image_url")}
+    rows = rows.withColumns({"logo_url": F.coalesce(T.filled(F.col("_own")), T.filled(F.col("_top")), site["site_icon"]), "cover_image_url": site["cover_image_url"]})
     last = settled({f: F.col(f) for f in FIELDS})
-    return rows.select("raw_job_id", "part", "source_url", F.col("parent").alias("parent_company_name"), "logo_url", *[c.alias(n) for n, c in last.items()]), failures
+    return rows.select("raw_job_id", "part", "source_url", F.col("parent").alias("parent_company_name"), "logo_url", "cover_image_url", *[c.alias(n) for n, c in last.items()]), failures
 
 
 def provenance(edited: Column, by_model: Column, classified: Column, collected: Column) -> Column:
