@@ -94,7 +94,7 @@ def moment_of(text: str, collected: dt.date, end: bool) -> str | None:
 
 
 def settled_text(text: str, collected: dt.date) -> str:
-    """The text without days left, or the day that they mean: see `settle_counted`."""
+    """The text without days left, or the day that they mean: see `without_days_left`."""
     found = reading(text, collected)
     if not found.counted:
         return text
@@ -140,7 +140,7 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("loose_day", loose_day)
 
 
-def settle_counted(text: Column, collected: Column) -> Column:
+def without_days_left(text: Column, collected: Column) -> Column:
     """Days left removed beside a date, or replaced by the date they mean."""
     return _settled(text, collected)
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import parse_qsl, quote, urlsplit
+from urllib.parse import parse_qsl, quote, urljoin, urlsplit
 
 from sparrowline.functions.html import Node, _column, flat, lines, parse, select
 from sparrowline.functions.text import NOTHING_LISTED
@@ -25,6 +25,8 @@ ONE_DATE = (
     r"(?:\s*\(?\s*(?:오전|오후|AM|PM)?\s*\d{1,2}\s*[:시]\s*(?:\d{2})?\s*분?\s*\)?)?"
 )
 DATE_SPAN = re.compile(rf"{ONE_DATE}(?:\s*[~〜\-]\s*{ONE_DATE})?")
+HAS_DATE, OPEN_PERIOD = re.compile(r"\d{2,4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}"), re.compile(r"[~〜]\s*$")
+NEAR_LEVELS, NEAR_TEXT = 6, 300
 ANCESTORS, LONGEST_VALUE, ID_LENGTH, ID_NODES = 3, 200, (3, 64), 40
 
 
@@ -59,8 +61,8 @@ def bodies(root: Node, body: str) -> list[Node]:
     return out
 
 
-def _without_furniture(node: Node) -> str:
-    """The lines of an element without the page's own parts in it."""
+def without_furniture(node: Node) -> Node:
+    """A copy of an element without the page's own parts in it."""
     copy = Node(node.tag, node.attrs, None)
     todo = [(node, copy)]
     while todo:
@@ -71,7 +73,7 @@ def _without_furniture(node: Node) -> str:
                 todo.append((c, new.children[-1]))
             elif isinstance(c, str):
                 new.children.append(c)
-    return lines(copy)
+    return copy
 
 
 @_column("string")
@@ -85,7 +87,7 @@ def source_text(text: str, body: str) -> str:
     around = common[0] if common else None
     if around is None or around.tag in ("body", "html", ""):
         return "\n".join(lines(n) for n in found)
-    return _without_furniture(around)
+    return lines(without_furniture(around))
 
 
 def _cell_beside(node: Node, label: str) -> Node | None:
@@ -123,7 +125,11 @@ def labelled_info(text: str, labels: tuple, known: str = "") -> dict[str, str]:
 @_column("string")
 def labelled_deadline(text: str) -> str:
     """The date or period right after a deadline's label, in its cell or the next; labels of deadlines before those of periods."""
-    cells = list(_labels(parse(text)))
+    return deadline_in(parse(text))
+
+
+def deadline_in(root: Node) -> str:
+    cells = list(_labels(root))
     for pattern in DEADLINE:
         for node, said in cells:
             if not (head := re.match(pattern, said)):
@@ -137,6 +143,49 @@ def labelled_deadline(text: str) -> str:
     return ""
 
 
+def _body_near(title: Node) -> Node | None:
+    """The nearest ancestor of a title that has enough text beside it, or a picture; none where that is the page."""
+    size = len(tight(flat(title)))
+    for level, up in enumerate(above(title)):
+        if level >= NEAR_LEVELS or up.tag in ("body", "html", ""):
+            return None
+        own = without_furniture(up)
+        if len(tight(flat(own))) - size >= NEAR_TEXT or any(x and not x.lower().endswith(".svg") for x in images(own)):
+            return own
+    return None
+
+
+@_column("map<string,string>")
+def posting_detail(text: str, selectors: tuple) -> dict[str, str]:
+    """Fields of a detail page by (name, selector) pairs, `title` and `body` among them, empty where nothing is found.
+
+    A deadline that holds no date, or only the start of a period, is looked for by its label; a body that its selector misses
+    is looked for near the title. `_unread` names what a posting cannot do without and has not: title, and a body of text or images.
+    """
+    root, chosen = parse(text), dict(selectors)
+    found = {name: "\n".join(lines(n) for n in bodies(root, s)) if name == "body" else flat(next(iter(select(root, s)), Node("", {}, None))) for name, s in selectors}
+    end = found.get("recruitment_end_at", "")
+    if not HAS_DATE.search(end) or OPEN_PERIOD.search(end):
+        found["recruitment_end_at"] = deadline_in(root) or end
+    pictured = any(any(images(n)) for n in bodies(root, chosen["body"]))
+    if not found["body"] and not pictured and found["title"] and (near := _body_near(select(root, chosen["title"])[0])):
+        found["body"], pictured = lines(near), any(images(near))
+    return found | {"_unread": ",".join([*(["title"] if not found["title"] else []), *(["body"] if not found["body"] and not pictured else [])])}
+
+
+@_column("array<struct<index:int,title:string,link:string,date:string,company:string,failed:string>>")
+def posting_items(text: str, item: str, title: str, link: str, date: str, company: str, base: str) -> list[dict]:
+    """Items of a list page: place, title, absolute link, date and company. `failed` says what keeps an item from being read (title, link),
+    which then stands beside the good ones. Without a link's selector the list page itself is the link."""
+    out = []
+    for i, node in enumerate(select(parse(text), item)):
+        said = {name: flat(next(iter(select(node, s)), Node("", {}, None))) if s else "" for name, s in (("title", title), ("date", date), ("company", company))}
+        url, why = item_link(node, link, "") if link else (base, None)
+        failed = ",".join([*([] if said["title"] else ["title"]), *(["link"] if why else [])]) or None
+        out.append({"index": i, **said, "link": urljoin(base, url) if url else None, "failed": failed})
+    return out
+
+
 def argument(call: str, number: int) -> str:
     """The n-th quoted argument of a call, counted from 1; of a call without quotes the n-th number."""
     found = [a or b for a, b in QUOTED.findall(call)]

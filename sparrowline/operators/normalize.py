@@ -128,7 +128,7 @@ def normalize(raw: DataFrame, rules: Sequence[Rule], classifications: DataFrame,
     fields; `overrides`: raw_job_id, part, field_name, value; `companies`: id, name, parent_name, logo_url.
     """
     start, end = dates.period_split(dates.plain_tilde(F.col(START)), dates.plain_tilde(F.col(END)))
-    raw = raw.withColumns({START: start, END: dates.settle_counted(end, F.col("collected"))})
+    raw = raw.withColumns({START: start, END: dates.without_days_left(end, F.col("collected"))})
     ruled = normalized(raw, rules, FIELDS, "collected")
     failures = ruled.filter("error IS NOT NULL").select("raw_job_id", "error")
 

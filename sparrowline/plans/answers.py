@@ -510,3 +510,33 @@ def scalar_lookup(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
     most = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").alias("most"))
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left").join(most, "o_orderkey", "left").select("o_orderkey", "name", "most")
+
+
+@query(
+    "posting_details",
+    """SELECT p_partkey, p_name AS title, CASE k WHEN 0 THEN p_type WHEN 1 THEN p_name || chr(10) || chr(10) || repeat(p_type || ' ', 60) || 'end' ELSE '' END AS body,
+              CASE k WHEN 0 THEN '2024.01.02' WHEN 1 THEN '2024.10.31' ELSE 'soon' END AS ends, CASE k WHEN 2 THEN 'body' ELSE '' END AS unread
+       FROM (SELECT *, p_partkey % 3 AS k FROM part)""",
+)
+def posting_details(spark, sf_dir):
+    """Fields of detail pages by selector; a deadline by its label and a body near the title where selectors miss; what cannot be read."""
+    k, name = F.col("p_partkey") % 3, F.col("p_name")
+    good = _page("<div><h1>", name, "</h1><p class=b>", F.col("p_type"), "</p></div><i class=e>2024.01.02</i>")
+    missed = _page("<main><h1>", name, "</h1><p>", F.repeat(F.concat("p_type", F.lit(" ")), 60), "end</p><nav>menu</nav></main><i class=e>2024.09.01 ~</i><dl><dt>지원 마감일</dt><dd>2024.10.31</dd></dl>")
+    none = _page("<main><h1>", name, "</h1><p>short</p></main><i class=e>soon</i>")
+    page = F.when(k == 0, good).when(k == 1, missed).otherwise(none)
+    found = P.posting_detail(page, (("title", "h1"), ("body", ".b"), ("recruitment_end_at", ".e")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("f"))
+    return rows.select("p_partkey", *[F.col("f")[v].alias(n) for n, v in {"title": "title", "body": "body", "ends": "recruitment_end_at", "unread": "_unread"}.items()])
+
+
+@query(
+    "posting_list_failures",
+    """SELECT p_partkey, CAST(unnest([0, 1, 2]) AS INTEGER) AS index, unnest([p_name, 'no link', '']) AS title, unnest(['https://a.example/v/' || p_partkey, NULL, 'https://a.example/list/x']) AS link,
+              unnest([p_brand, '', '']) AS company, unnest([NULL, 'link', 'title']) AS failed FROM part""",
+)
+def posting_list_failures(spark, sf_dir):
+    """Items of list pages, those that cannot be read with the reason beside the others."""
+    page = _page("<li><a href='/v/", F.col("p_partkey"), "'><b>", F.col("p_name"), "</b></a><i>", F.col("p_brand"), "</i></li><li><b>no link</b><a href='#x'>y</a></li><li><a href='x'>z</a></li>")
+    items = P.posting_items(page, "li", "b", "a", "", "i", "https://a.example/list/")
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(items).alias("i")).select("p_partkey", "i.index", "i.title", "i.link", "i.company", "i.failed")

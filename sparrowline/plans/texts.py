@@ -306,7 +306,7 @@ def countdown_dates(spark, sf_dir):
     text = F.when(k == 0, F.concat(F.lit("(D-"), (F.col("o_custkey") % 100).cast("string"), F.lit(")"))).when(k == 1, "D - day").otherwise("내일 마감")
     on = F.to_date("o_orderdate")
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", D.settle_counted(text, on).alias("day"), D.loose_moment(text, on, end=True).alias("moment")
+        "o_orderkey", D.without_days_left(text, on).alias("day"), D.loose_moment(text, on, end=True).alias("moment")
     )
 
 

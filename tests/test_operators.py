@@ -62,7 +62,7 @@ def test_loose_dates(spark):
 def test_counted_days_are_settled(spark):
     cases = {"D-32": "2025-01-11", "2024.10.31 (D-3)": "2024.10.31", "오늘 마감": "2024-12-10", "open": "open", "ID-32": "ID-32"}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
-    assert {r.t: r.s for r in df.select("t", D.settle_counted(F.col("t"), F.lit(ON)).alias("s")).collect()} == cases
+    assert {r.t: r.s for r in df.select("t", D.without_days_left(F.col("t"), F.lit(ON)).alias("s")).collect()} == cases
 
 
 def test_loose_day_is_a_function_of_sql(spark):
