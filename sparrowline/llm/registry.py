@@ -78,6 +78,12 @@ def op10_exact_topk(spark, sf_dir):
     return search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_centroid_clusters(spark, sf_dir):
+    from sparrowline.llm.centroid_clusters import cluster
+
+    return cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     every = (
         op1_chat_format,
@@ -90,9 +96,15 @@ def queries():
         op8_token_files,
         op9_packing,
         op10_exact_topk,
+        op12_centroid_clusters,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql():
-    return {"op1_chat_format": sql.CHAT_FORMAT, "op2_mixing": sql.MIXING, "op10_exact_topk": sql.EXACT_TOPK}
+    return {
+        "op1_chat_format": sql.CHAT_FORMAT,
+        "op2_mixing": sql.MIXING,
+        "op10_exact_topk": sql.EXACT_TOPK,
+        "op12_centroid_clusters": sql.CLUSTERS,
+    }

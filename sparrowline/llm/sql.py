@@ -60,7 +60,7 @@ FROM sized GROUP BY conv_id
 EXACT_TOPK = r"""
 WITH first AS (
   SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
   GROUP BY vec_id),
 whole AS (SELECT vec_id, list_transform(v, lambda x: floor(64 * x)) AS v FROM first),
@@ -71,3 +71,38 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 20
 """
+
+
+def _clusters(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Rounds of centroid clustering, written out one after the other over (vector, component) rows."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "flat AS MATERIALIZED (SELECT r, unnest(range(len(x))) AS i, unnest(x) AS x FROM kept)",
+        f"""first AS (
+  SELECT x, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS c FROM kept ORDER BY c LIMIT {k})""",
+        "c0 AS MATERIALIZED (SELECT c, unnest(range(len(x))) AS i, unnest(x) AS x FROM first)",
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, min(d) AS d, arg_min(c, (d, c)) AS c FROM (
+    SELECT r, c, CAST(sum((f.x - m.x) * (f.x - m.x)) AS BIGINT) AS d FROM flat f JOIN c{n} m USING (i) GROUP BY r, c) GROUP BY r)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""c{n + 1} AS MATERIALIZED (
+  SELECT m.c, m.i, coalesce(s.x, m.x) AS x FROM c{n} m LEFT JOIN (
+    SELECT c, i, CAST((t - ((t % n) + n) % n) // n AS BIGINT) AS x FROM (SELECT c, i, sum(x) AS t, count(*) AS n FROM flat JOIN a{n} USING (r) GROUP BY c, i)) s
+  ON s.c = m.c AND s.i = m.i)"""
+            )
+    parts.append(f"digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (r) JOIN digests USING (c)
+"""
+
+
+CLUSTERS = _clusters()
