@@ -84,6 +84,12 @@ def op12_centroid_clusters(spark, sf_dir):
     return cluster(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    from sparrowline.llm.conversation_repair import repair_damaged
+
+    return repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 def queries():
     every = (
         op1_chat_format,
@@ -97,6 +103,7 @@ def queries():
         op9_packing,
         op10_exact_topk,
         op12_centroid_clusters,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
@@ -107,4 +114,5 @@ def oracle_sql():
         "op2_mixing": sql.MIXING,
         "op10_exact_topk": sql.EXACT_TOPK,
         "op12_centroid_clusters": sql.CLUSTERS,
+        "op13_conversation_repair": sql.REPAIR,
     }

@@ -106,3 +106,71 @@ FROM a{rounds} a JOIN kept USING (r) JOIN digests USING (c)
 
 
 CLUSTERS = _clusters()
+
+REPAIR = r"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+kinds AS (
+  SELECT k, xor(list_reduce([CAST(ascii(ch) AS BIGINT) FOR ch IN string_split(k, '')],
+                            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM (SELECT DISTINCT k FROM base), crc_table),
+damaged AS (
+  SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM base JOIN kinds USING (k) WHERE kind <> 0),
+numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+placed AS MATERIALIZED (
+  SELECT cid, turn, role, text, left(role, 1) AS initial, i,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open
+  FROM numbered),
+counted AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(again AND NOT blank) AS duplicate, count_if(open AND NOT blank AND NOT again) AS truncated, count(*) AS n
+  FROM placed GROUP BY cid),
+pairs AS (
+  SELECT cid, count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT cid, initial, lag(initial) OVER (PARTITION BY cid ORDER BY i) AS before FROM placed) GROUP BY cid),
+walks(cid, i, state, cost, audit, lines) AS (
+  SELECT cid, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM counted
+  UNION ALL
+  SELECT cid, i, state, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY cid, state ORDER BY cost, audit) AS place FROM (
+      SELECT s.cid, p.i, CASE e.edit WHEN 'D' THEN s.state WHEN 'R' THEN CASE WHEN s.state = 2 THEN 3 ELSE 2 END
+                              ELSE CASE p.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+             s.cost + CASE e.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END
+                    + CASE WHEN e.edit <> 'D' AND p.open AND NOT p.blank THEN 1 ELSE 0 END AS cost,
+             s.audit || e.edit AS audit,
+             CASE e.edit WHEN 'D' THEN s.lines
+                         WHEN 'R' THEN list_append(s.lines, CASE WHEN s.state = 2 THEN 'assistant:' ELSE 'user:' END || p.text)
+                         ELSE list_append(s.lines, p.role || ':' || p.text) END AS lines
+      FROM (
+        SELECT cid, i, CASE more WHEN 0 THEN state WHEN 1 THEN CASE WHEN state = 2 THEN 3 ELSE 2 END
+                                 ELSE CASE WHEN state = 2 THEN 2 ELSE 3 END END AS state,
+               cost + 2 * more AS cost, audit || repeat('I', more) AS audit,
+               list_concat(lines, CASE WHEN state = 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END[1:more]) AS lines
+        FROM walks, (VALUES (0), (1), (2)) AS inserts(more)) s
+      JOIN placed p ON p.cid = s.cid AND p.i = s.i + 1, (VALUES ('K'), ('R'), ('D')) AS e(edit)
+      WHERE CASE e.edit WHEN 'D' THEN true WHEN 'R' THEN NOT (p.blank OR p.again)
+            ELSE NOT (p.blank OR p.again) AND (p.initial = 's' AND s.state = 0 OR p.initial = 'u' AND s.state IN (0, 1, 3) OR p.initial = 'a' AND s.state = 2) END))
+  WHERE place = 1),
+ended AS (
+  SELECT w.cid, cost + 2 * length(tail) AS cost, audit || tail AS audit,
+         list_concat(lines, CASE tail WHEN '' THEN [] WHEN 'I' THEN ['assistant:'] ELSE ['user:', 'assistant:'] END) AS lines
+  FROM (SELECT *, CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS tail FROM walks) w JOIN counted c ON c.cid = w.cid AND c.n = w.i),
+least AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY cid ORDER BY cost, audit) = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, cid FROM base) LEFT JOIN counted USING (cid) LEFT JOIN pairs USING (cid) LEFT JOIN least USING (cid)
+"""
