@@ -78,6 +78,12 @@ def op10_exact_topk(spark, sf_dir):
     return search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_main_text(spark, sf_dir):
+    from sparrowline.llm.main_text import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op12_centroid_clusters(spark, sf_dir):
     from sparrowline.llm.centroid_clusters import cluster
 
@@ -102,6 +108,7 @@ def queries():
         op8_token_files,
         op9_packing,
         op10_exact_topk,
+        op11_main_text,
         op12_centroid_clusters,
         op13_conversation_repair,
     )
