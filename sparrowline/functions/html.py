@@ -1,8 +1,8 @@
 """Text, fields and lists out of HTML.
 
 A page is read once by the standard library's parser into a small tree; the functions are
-Arrow-batched. Selectors are a small part of CSS: tag, .class, #id, [attr], [attr=value], and
-descendants. Filter rows before these columns are made: they are the dear part of a plan.
+Arrow-batched. Selectors are those of `selectors`; one that is refused finds nothing, and its reason stands in the row
+where the function has a place for it. Filter rows before these columns are made: they are the dear part of a plan.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from datetime import datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -20,6 +21,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sparrowline.functions.selectors import Page, SelectorError, refusal
+
 # Tags that end a line, that hold no visible text, that are never closed.
 BLOCK = set("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 HIDDEN = {"script", "style", "noscript", "template"}
@@ -29,10 +32,11 @@ KEPT_ATTRIBUTES = {"a": ("href",), "img": ("src", "alt")}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "table")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.table: Page | None = None
         self.children: list[Node | str] = []
 
     def nodes(self) -> Iterator[Node]:
@@ -58,24 +62,29 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag in ("li", "p", "tr", "td", "th", "dt", "dd") and self.at.tag == tag:
-            self.at = self.at.parent
+            self.leave()
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
+
+    def leave(self):
+        self.open[self.at.tag] -= 1
+        self.at = self.at.parent
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
+        if self.open.get(tag):
+            while self.at.tag != tag:
+                self.leave()
+            self.leave()
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -88,50 +97,30 @@ def parse(text: str) -> Node:
     return tree.root
 
 
-PART = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[\w-]+(?:=[^\]]*)?\])*)")
+def table(node: Node) -> Page:
+    """The table of the page that a node is in, kept with its root."""
+    while node.parent:
+        node = node.parent
+    if node.table is None:
+        node.table = Page(node)
+    return node.table
 
 
-@functools.cache
-def selector(text: str) -> tuple:
-    out = []
-    for part in text.split():
-        m = PART.fullmatch(part)
-        if not m or not part:
-            raise ValueError(f"selector {text!r} is not supported")
-        tests = re.findall(r"([.#])([\w-]+)|\[([\w-]+)(?:=([^\]]*))?\]", m[2])
-        out.append((m[1] or "", tests))
-    return tuple(out)
-
-
-def _fits(node: Node, part: tuple) -> bool:
-    tag, tests = part
-    if tag and node.tag != tag.lower():
-        return False
-    for kind, name, attr, value in tests:
-        if kind == "." and name not in node.attrs.get("class", "").split():
-            return False
-        if kind == "#" and node.attrs.get("id") != name:
-            return False
-        if attr and (attr not in node.attrs or (value and node.attrs[attr] != value.strip("\"'"))):
-            return False
-    return True
-
-
-def select(root: Node, text: str) -> list[Node]:
-    """Nodes that a selector finds, in document order."""
-    *above, last = selector(text)
-    found = []
-    for node in root.nodes():
-        if node is root or not _fits(node, last):
-            continue
-        up, rest = node.parent, list(above)
-        while rest and up:
-            if _fits(up, rest[-1]):
-                rest.pop()
-            up = up.parent
-        if not rest:
-            found.append(node)
-    return found
+def select(scope: Node, text: str) -> list[Node]:
+    """Elements that a selector finds below a node, in document order; a selector's steps may reach above it.
+
+    The page's table is made at the first call and kept with its root: a tree that is changed
+    afterwards must not be selected from again.
+    """
+    return table(scope).select(text, scope)
+
+
+def found(scope: Node, text: str) -> list[Node]:
+    """The same, and nothing for a selector that is refused: `refusal` says why."""
+    try:
+        return select(scope, text)
+    except SelectorError:
+        return []
 
 
 def flat(node: Node) -> str:
@@ -188,8 +177,8 @@ def block_text(text: str) -> str:
 def list_items(text: str, item: str, title: str, base: str) -> list[dict]:
     """Items of a list page: place, title and absolute link (null where there is none)."""
     out = []
-    for i, node in enumerate(select(parse(text), item)):
-        named = select(node, title)
+    for i, node in enumerate(found(parse(text), item)):
+        named = found(node, title)
         link = next((n for n in node.nodes() if n.tag == "a" and n.attrs.get("href")), None)
         out.append({"index": i, "title": flat(named[0] if named else node), "link": urljoin(base, link.attrs["href"]) if link else None})
     return out
@@ -199,15 +188,22 @@ def list_items(text: str, item: str, title: str, base: str) -> list[dict]:
 def detail_fields(text: str, selectors: tuple) -> dict[str, str | None]:
     """Fields of a detail page by (name, selector) pairs; a field that is not found is null."""
     root = parse(text)
-    found = {name: select(root, s) for name, s in selectors}
-    return {name: (lines(nodes[0]) or None) if nodes else None for name, nodes in found.items()}
+    by_name = {name: found(root, s) for name, s in selectors}
+    return {name: (lines(nodes[0]) or None) if nodes else None for name, nodes in by_name.items()}
 
 
 @_column("map<string,int>")
 def selector_counts(text: str, selectors: tuple) -> dict[str, int]:
     """How many elements each of some (name, selector) pairs finds."""
     root = parse(text)
-    return {name: len(select(root, s)) for name, s in selectors}
+    return {name: len(found(root, s)) for name, s in selectors}
+
+
+@_column("array<struct<selector:string,matches:int,reason:string>>")
+def selector_matches(text: str, selectors: tuple) -> list[dict]:
+    """How many elements each selector finds, or why it is refused."""
+    root = parse(text)
+    return [{"selector": s, "matches": None if why else len(select(root, s)), "reason": why} for s in selectors for why in [refusal(s)]]
 
 
 @_column("boolean")
@@ -371,18 +367,78 @@ def json_leaves(text: str) -> list[dict]:
         return []
 
 
-LINK_OR_CODE = re.compile(r"https?://\S+|[A-Z0-9_]{2,}|[\d.:\-/]+|true|false")
+# Fixed value: letters of the pages' language.
+LANGUAGE = re.compile(r"[가-힣]")
+# Fixed value: links and files; from so many letters of the language on, a line with one is a sentence.
+LINK = re.compile(r"https?://|www\.|\.(?:png|jpe?g|gif|svg|webp|pdf|docx?|hwp|xlsx?|zip)\b", re.IGNORECASE)
+LINK_SENTENCE = 4
+# Fixed value: what dates and times of day look like.
+DATE_SHAPE = re.compile(r"\d{2,4}[.\-/년]\s?\d{1,2}|\d{1,2}:\d{2}")
+# Fixed value: dates in digits only, by their length.
+DATE_DIGITS = {8: "%Y%m%d", 12: "%Y%m%d%H%M", 14: "%Y%m%d%H%M%S"}
+# Fixed value: keys whose four digits are a time of day.
+TIME_KEY = re.compile(r"(?:tm|time)$", re.IGNORECASE)
+# Fixed value: words for nothing.
+EMPTY_WORDS = {"null", "none", "true", "false", "undefined"}
+# Fixed value: the shortest line that counts as repeated.
+REPEATED = 8
+#: Codes of systems: signs of identifiers only, and a digit among them or no small letter.
+CODE = re.compile(r"(?=[^0-9]*[0-9])[A-Za-z0-9_.\-:/+#]+|[A-Z0-9_.\-:/+#]+")
+
+
+def _is_date(digits: str) -> bool:
+    try:
+        return digits.isdigit() and bool(datetime.strptime(digits, DATE_DIGITS[len(digits)]))
+    except (KeyError, ValueError):
+        return False
+
+
+def is_said(key: str, line: str) -> bool:
+    """A line of a payload that a reader is told: no link, and a sentence, a date, a time, or a word that is no code."""
+    if LINK.search(line) and len(LANGUAGE.findall(line)) < LINK_SENTENCE:
+        return False
+    if LANGUAGE.search(line) or re.search(r"\s", line):
+        return True
+    if DATE_SHAPE.search(line) or _is_date(line) or (TIME_KEY.search(key) and re.fullmatch(r"\d{4}", line)):
+        return True
+    return line.lower() not in EMPTY_WORDS and bool(re.search("[A-Za-z0-9]", line)) and not CODE.fullmatch(line)
+
+
+def payload_values(value) -> Iterator[tuple[str, str, tuple[int, ...]]]:
+    """(key, text, places in the lists above) of each text and number of a JSON value, in order; entries of a list have the list's key."""
+    todo: list[tuple] = [("", value, ())]
+    while todo:
+        key, x, places = todo.pop()
+        if isinstance(x, dict):
+            todo += [(str(k), v, places) for k, v in x.items()][::-1]
+        elif isinstance(x, list):
+            todo += [(key, v, (*places, i)) for i, v in enumerate(x)][::-1]
+        elif isinstance(x, str) or (isinstance(x, int | float) and not isinstance(x, bool)):
+            yield key, str(x), places
 
 
 @_column("string")
 def payload_text(text: str) -> str:
-    """`key: text` lines of a payload without links and codes, each line once."""
+    """What a payload tells a reader, a line each; the first line of a value has its key before it, markup is made lines.
+
+    A longer line stands once in each cell of the lists above it: what two entries share is kept in both. Empty for what is no JSON.
+    """
     try:
-        leaves = flattened(json_value(text))
+        value = json_value(text)
     except ValueError:
         return ""
-    said = (f"{p.split('.')[-1] if p.split('.')[-1] != '*' else p.split('.')[-2]}: {v.strip()}" for p, v in leaves if p and not LINK_OR_CODE.fullmatch(v.strip()) and p.strip("*."))
-    return "\n".join(dict.fromkeys(said))
+    out: list[str] = []
+    told: set[tuple] = set()
+    for key, said, places in payload_values(value):
+        first = f"{key}: " if key else ""
+        for line in filter(None, map(str.strip, html_text.plain(said).split("\n"))):
+            same = places, re.sub(r"\s+", " ", line)
+            if not is_said(key, line) or (len(same[1]) >= REPEATED and same in told):
+                continue
+            told.add(same)
+            out.append(first + line)
+            first = ""
+    return "\n".join(out)
 
 
 @F.pandas_udf(StringType())

@@ -9,25 +9,47 @@ import re
 from collections.abc import Iterator
 from urllib.parse import parse_qsl, quote, urljoin, urlsplit
 
-from sparrowline.functions.html import Node, _column, flat, lines, parse, select
+from sparrowline.functions.html import BLOCK, HIDDEN, Node, _column, flat, found, lines, parse, select, table
+from sparrowline.functions.selectors import refusal
 from sparrowline.functions.text import NOTHING_LISTED
 
-# Parts of a page around a posting; how placeholders, calls and ids are written; what a link keeps as it is.
+# Fixed value: parts of a page around a posting, by tag and by class.
 FURNITURE, FURNITURE_CLASSES = {"header", "footer", "nav", "aside"}, ("aside", "footer", "gnb")
+# Fixed value: elements that a reader of a page's structure has no use for.
 NOISE = {"script", "style", "noscript", "template", "svg", "iframe", "link", "meta"}
+# Fixed value: elements whose own text is no label.
+NO_LABEL = {"script", "style", "option", "button"}
+# Fixed value: placeholders of link templates.
 PLACEHOLDER = re.compile(r"\{([A-Za-z_][A-Za-z0-9_:.-]*)(?:\|arg(\d+))?\}")
+# Fixed value: arguments of calls.
 QUOTED, CALL = re.compile(r"'([^']*)'|\"([^\"]*)\""), re.compile(r"\(([^()]*)\)")
+# Fixed value: signs that stay as they are in a link.
 KEPT_IN_URL = "/?:=&%+#"
-LABEL_EDGE = " :\uff1a\xa0\t\n"
-DEADLINE = r"(?:서류\s*)?(?:접수|지원|모집|채용)?\s*마감\s*(?:일|일시|기한|날짜)?", r"(?:서류\s*)?(?:접수|지원|모집|채용)\s*기간"
+# Fixed value: signs around a label.
+LABEL_EDGE = " :：\u00a0\t\n"
+# Fixed value: labels of deadlines, then those of periods.
+DEADLINE = (
+    r"(?:서류\s*)?(?:접수|지원|모집|채용)?\s*마감\s*(?:일|일시|기한|날짜)?",
+    r"(?:서류\s*)?(?:접수|지원|모집|채용)\s*기간",
+)
+# Fixed value: a date, which may have its weekday and a time.
 ONE_DATE = (
-    r"\d{2,4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}\s*일?\.?(?:\s*\(\s*[월화수목금토일]\s*\))?"
+    r"\d{2,4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}\s*일?\.?"
+    r"(?:\s*\(\s*[월화수목금토일]\s*\))?"
     r"(?:\s*\(?\s*(?:오전|오후|AM|PM)?\s*\d{1,2}\s*[:시]\s*(?:\d{2})?\s*분?\s*\)?)?"
 )
+# Fixed value: a date, or a period of two.
 DATE_SPAN = re.compile(rf"{ONE_DATE}(?:\s*[~〜\-]\s*{ONE_DATE})?")
-HAS_DATE, OPEN_PERIOD = re.compile(r"\d{2,4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}"), re.compile(r"[~〜]\s*$")
+# Fixed value: what a text with a date has in it.
+HAS_DATE = re.compile(r"\d{2,4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}")
+# Fixed value: how a period without its end ends.
+OPEN_PERIOD = re.compile(r"[~〜]\s*$")
+# How far around a title its body may be, and how much text that has at least.
 NEAR_LEVELS, NEAR_TEXT = 6, 300
+# Ancestors that may hold an item's link, the longest value beside a label, lengths of ids, elements read for ids.
 ANCESTORS, LONGEST_VALUE, ID_LENGTH, ID_NODES = 3, 200, (3, 64), 40
+#: Characters from the start of an element in which a deadline and its label stand.
+HEAD = 400
 
 
 def above(node: Node) -> Iterator[Node]:
@@ -51,11 +73,14 @@ def is_furniture(node: Node) -> bool:
 
 def bodies(root: Node, body: str) -> list[Node]:
     """Elements of a selector, but for those inside another one, empty ones, and those that say what one before said."""
-    found, said = select(root, body), set()
-    inside, out = {id(n) for n in found}, []
-    for node in found:
+    said, out, outside = set(), [], 0
+    for node in found(root, body):
+        at = root.table.of_node[id(node)]
+        if at < outside:
+            continue
+        outside = root.table.end[at]
         key = tight(flat(node)) or "|".join(images(node))
-        if key and key not in said and not any(id(up) in inside for up in above(node)):
+        if key and key not in said:
             said.add(key)
             out.append(node)
     return out
@@ -80,43 +105,89 @@ def without_furniture(node: Node) -> Node:
 def source_text(text: str, body: str) -> str:
     """A posting's whole text: what is around its body, one element up; around several bodies the nearest element that
     holds all; the bodies themselves where that is the page. Empty where there is no body."""
-    found = bodies(parse(text), body)
-    if not found:
+    root = parse(text)
+    some = bodies(root, body)
+    if not some:
         return ""
-    common = [up for up in above(found[0]) if all(any(up is x for x in above(n)) for n in found[1:])]
-    around = common[0] if common else None
-    if around is None or around.tag in ("body", "html", ""):
-        return "\n".join(lines(n) for n in found)
-    return lines(without_furniture(around))
-
-
-def _cell_beside(node: Node, label: str) -> Node | None:
-    """The next element beside one that only holds the label, or beside what only wraps it."""
-    while node.parent and flat(node).strip(LABEL_EDGE) == label:
-        beside = [c for c in node.parent.children if isinstance(c, Node)]
-        at = next(i for i, c in enumerate(beside) if c is node)
-        if at + 1 < len(beside):
-            return beside[at + 1]
-        node = node.parent
-    return None
-
-
-def _labels(root: Node) -> Iterator[tuple[Node, str]]:
-    """Elements with a text of their own, outside the page's own parts, and that text."""
-    for node in root.nodes():
-        if any(isinstance(c, str) and c.strip() for c in node.children) and not any(map(is_furniture, (node, *above(node)))):
-            yield node, flat(node).strip(LABEL_EDGE)
+    page = root.table
+    last = page.of_node[id(some[-1])]
+    around = page.parent[page.of_node[id(some[0])]]
+    while page.end[around] <= last:
+        around = page.parent[around]
+    if page.nodes[around].tag in ("body", "html", ""):
+        return "\n".join(lines(n) for n in some)
+    return lines(without_furniture(page.nodes[around]))
+
+
+class Said:
+    """What each element of a page says, as spans of one text with single spaces: no element's text is put together twice."""
+
+    def __init__(self, root: Node):
+        self.page = page = table(root)
+        self.starts, self.ends = [0] * len(page), [0] * len(page)
+        self.own = bytearray(len(page))
+        parts: list[str] = []
+        size, spaced, todo = 0, True, [root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, int):
+                self.ends[x] = size
+                if page.nodes[x].tag in BLOCK and not spaced:
+                    parts.append(" ")
+                    size, spaced = size + 1, True
+            elif isinstance(x, str):
+                text = re.sub(r"\s+", " ", x)
+                text = text[1:] if spaced and text[:1] == " " else text
+                if text:
+                    parts.append(text)
+                    size, spaced = size + len(text), text[-1] == " "
+            elif x.tag not in HIDDEN:
+                at = page.of_node[id(x)]
+                if x.tag in BLOCK and not spaced:
+                    parts.append(" ")
+                    size, spaced = size + 1, True
+                self.starts[at] = self.ends[at] = size
+                self.own[at] = any(isinstance(c, str) and not c.isspace() for c in x.children)
+                todo += [at, *reversed(x.children)]
+        self.text = "".join(parts)
+        #: Whether an element is a part of the page around the posting, or in one.
+        self.aside = bytearray(len(page))
+        for at in range(1, len(page)):
+            self.aside[at] = self.aside[page.parent[at]] or is_furniture(page.nodes[at])
+
+    def of(self, at: int, most: int) -> str:
+        """The first characters that an element says, without the signs around a label."""
+        lo = self.starts[at]
+        return self.text[lo : min(self.ends[at], lo + most)].strip(LABEL_EDGE)
+
+    def labels(self) -> Iterator[int]:
+        """Elements with a text of their own, outside the page's own parts."""
+        for at in range(1, len(self.page)):
+            if self.own[at] and not self.aside[at] and self.page.nodes[at].tag not in NO_LABEL:
+                yield at
+
+    def beside(self, at: int, label: str) -> int | None:
+        """The next element beside one that only holds the label, or beside what only wraps it."""
+        page = self.page
+        while at and self.of(at, len(label) + 16) == label:
+            inside = page.children[page.parent[at]]
+            if page.place[at] < len(inside):
+                return inside[page.place[at]]
+            at = page.parent[at]
+        return None
 
 
 @_column("map<string,string>")
 def labelled_info(text: str, labels: tuple, known: str = "") -> dict[str, str]:
     """What stands beside each of some labels, but for what the known text says already; the first of each counts."""
-    seen, out = tight(known), {}
-    for node, label in _labels(parse(text)):
+    said = Said(parse(text))
+    seen, out, longest = tight(known), {}, max(map(len, labels), default=0)
+    for at in said.labels():
+        label = said.of(at, longest + 16)
         if label not in labels or label in out:
             continue
-        cell = _cell_beside(node, label)
-        value = flat(cell) if cell else ""
+        cell = said.beside(at, label)
+        value = said.text[said.starts[cell] : min(said.ends[cell], said.starts[cell] + LONGEST_VALUE + 3)].strip() if cell else ""
         if value and len(value) <= LONGEST_VALUE and tight(label + value) not in seen:
             out[label] = value
     return out
@@ -129,17 +200,17 @@ def labelled_deadline(text: str) -> str:
 
 
 def deadline_in(root: Node) -> str:
-    cells = list(_labels(root))
+    said = Said(root)
+    heads = [(at, said.of(at, HEAD)) for at in said.labels()]
     for pattern in DEADLINE:
-        for node, said in cells:
-            if not (head := re.match(pattern, said)):
+        for at, head in heads:
+            if not (m := re.match(pattern, head)):
                 continue
-            rest = said[head.end() :].strip(LABEL_EDGE)
-            if not rest:
-                cell = _cell_beside(node, said)
-                rest = flat(cell) if cell else ""
-            if at := DATE_SPAN.match(rest):
-                return at[0].strip()
+            rest = head[m.end() :].strip(LABEL_EDGE)
+            if not rest and (cell := said.beside(at, head)):
+                rest = said.of(cell, HEAD)
+            if date := DATE_SPAN.match(rest):
+                return date[0].strip()
     return ""
 
 
@@ -161,22 +232,33 @@ def posting_detail(text: str, selectors: tuple) -> dict[str, str]:
 
     A deadline that holds no date, or only the start of a period, is looked for by its label; a body that its selector misses
     is looked for near the title. `_unread` names what a posting cannot do without and has not: title, and a body of text or images.
+    `_refused` is there only where selectors are not understood, and says why.
     """
     root, chosen = parse(text), dict(selectors)
-    found = {name: "\n".join(lines(n) for n in bodies(root, s)) if name == "body" else flat(next(iter(select(root, s)), Node("", {}, None))) for name, s in selectors}
-    end = found.get("recruitment_end_at", "")
+    refused = {name: why for name, s in selectors if (why := refusal(s))}
+    whole = {name: "\n".join(lines(n) for n in bodies(root, s)) if name == "body" else flat(next(iter(found(root, s)), Node("", {}, None))) for name, s in selectors}
+    end = whole.get("recruitment_end_at", "")
     if not HAS_DATE.search(end) or OPEN_PERIOD.search(end):
-        found["recruitment_end_at"] = deadline_in(root) or end
+        whole["recruitment_end_at"] = deadline_in(root) or end
     pictured = any(any(images(n)) for n in bodies(root, chosen["body"]))
-    if not found["body"] and not pictured and found["title"] and (near := _body_near(select(root, chosen["title"])[0])):
-        found["body"], pictured = lines(near), any(images(near))
-    return found | {"_unread": ",".join([*(["title"] if not found["title"] else []), *(["body"] if not found["body"] and not pictured else [])])}
+    if not whole["body"] and not pictured and whole["title"] and (near := _body_near(select(root, chosen["title"])[0])):
+        whole["body"], pictured = lines(near), any(images(near))
+    unread = [*(["title"] if not whole["title"] else []), *(["body"] if not whole["body"] and not pictured else [])]
+    return whole | {"_unread": ",".join(unread)} | ({"_refused": "; ".join(f"{n}: {why}" for n, why in refused.items())} if refused else {})
+
+
+def _refused(**selectors: str) -> str | None:
+    """Why selectors are not understood, by name; empty ones ask for nothing."""
+    return "; ".join(f"{name}: {why}" for name, s in selectors.items() if s and (why := refusal(s))) or None
 
 
 @_column("array<struct<index:int,title:string,link:string,date:string,company:string,failed:string>>")
 def posting_items(text: str, item: str, title: str, link: str, date: str, company: str, base: str) -> list[dict]:
     """Items of a list page: place, title, absolute link, date and company. `failed` says what keeps an item from being read (title, link),
-    which then stands beside the good ones. Without a link's selector the list page itself is the link."""
+    which then stands beside the good ones. Without a link's selector the list page itself is the link. Selectors that are not
+    understood give one row that says why."""
+    if why := _refused(item=item, title=title, link=link, date=date, company=company):
+        return [{"index": None, "title": None, "link": None, "date": None, "company": None, "failed": why}]
     out = []
     for i, node in enumerate(select(parse(text), item)):
         said = {name: flat(next(iter(select(node, s)), Node("", {}, None))) if s else "" for name, s in (("title", title), ("date", date), ("company", company))}
@@ -203,12 +285,9 @@ def item_link(item: Node, link: str, template: str) -> tuple[str | None, str | N
     around it; its href, or the template filled with its attributes and arguments of their calls."""
     target = item
     if link:
-        parent = item
-        while parent.parent:
-            parent = parent.parent
-        fits = {id(n) for n in select(parent, link)}
-        near = [*(n for n in item.nodes() if n is not item), item, *list(above(item))[:ANCESTORS]]
-        target = next((n for n in near if id(n) in fits), None)
+        inside = select(item, link)
+        up = [n for n in (item, *list(above(item))[:ANCESTORS]) if n.parent and table(n).finds(link, n)]
+        target = next(iter([*inside, *up]), None)
         if target is None:
             return None, "no element"
     elif not template:
@@ -234,8 +313,10 @@ def item_link(item: Node, link: str, template: str) -> tuple[str | None, str | N
 @_column("array<struct<index:int,link:string,reason:string>>")
 def item_links(text: str, item: str, link: str, template: str = "") -> list[dict]:
     """The link of each of a list's items, or why it has none."""
-    found = (item_link(node, link, template) for node in select(parse(text), item))
-    return [{"index": i, "link": url, "reason": why} for i, (url, why) in enumerate(found)]
+    if why := _refused(item=item, link=link):
+        return [{"index": None, "link": None, "reason": why}]
+    each = (item_link(node, link, template) for node in select(parse(text), item))
+    return [{"index": i, "link": url, "reason": why} for i, (url, why) in enumerate(each)]
 
 
 def _is_id(value: str) -> bool:
@@ -267,6 +348,8 @@ def fragment_items(text: str, item: str, title: str, id_attribute: str, template
     """Items of a list that comes as a piece of HTML: place, id (`selector@attribute`), title and link by id; `failed`
     names what an item lacks, and it has no link then."""
     at, name = id_attribute.rsplit("@", 1)
+    if why := _refused(item=item, title=title, id=at):
+        return [{"index": None, "id": None, "title": None, "link": None, "failed": why}]
     out = []
     for i, node in enumerate(select(parse(text), item)):
         named = select(node, title)
@@ -295,7 +378,7 @@ def repeating_item(text: str, item: str, title: str, steps: int = 6) -> str:
     """The selector of a list's items, each with exactly one title: the given one if it is so; else that of the nearest
     ancestors of the titles, one for each title, that no other element fits; else the given one."""
     root = parse(text)
-    titles, items = select(root, title), select(root, item)
+    titles, items = found(root, title), found(root, item)
     if len(titles) < 2 or (items and len(items) == len(titles) and all(len(select(n, title)) == 1 for n in items)):
         return item
     for step in range(steps):
@@ -303,7 +386,7 @@ def repeating_item(text: str, item: str, title: str, steps: int = 6) -> str:
         if None in around or not around[0].tag or len({id(n) for n in around}) < len(titles):
             break
         for name in _names(around[0]):
-            if {id(n) for n in select(root, name)} == {id(n) for n in around}:
+            if {id(n) for n in found(root, name)} == {id(n) for n in around}:
                 return name
     return item
 

@@ -233,7 +233,7 @@ def test_html():
     assert H.labelled.plain("<p>Place: here</p>", ("place",)) == "here"
     icons = '<link rel="icon" sizes="64x64" href="b"><link rel="apple-touch-icon" href="c"><link rel="icon" sizes="128x128" href="d">'
     assert H.page_image.plain(icons) == "c" and H.page_image.plain(icons + '<meta property="og:image" content="e">') == "e"
-    assert H.payload_text.plain('{"a": {"title": "Some work", "url": "https://x", "code": "AB_1"}, "l": ["x y", "x y"]}') == "title: Some work\nl: x y"
+    assert H.payload_text.plain('{"a": {"title": "Some work", "url": "https://x", "code": "AB_1"}, "l": ["x y", "x y"]}') == "title: Some work\nl: x y\nl: x y"
 
 
 def test_columns_of_text(spark):
