@@ -18,29 +18,44 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sparrowline.functions.text import stripped
+
 OUT = "yyyy-MM-dd HH:mm:ss"
 
-# How postings write dates (in the order in which they are tried), periods, days left and times.
-TILDES = "[~〜]"
+# Fixed value: months in English, by their first letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-DATES = (
-    rf"(?i)(?<![A-Za-z])(?P<m>{'|'.join(MONTHS)})[a-z]*\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s*(?P<y>(?:19|20)\d{{2}})",
-    r"(?P<y>(?:19|20)\d{2})\s*[.\-/년]\s*(?P<m>\d{1,2})\s*[.\-/월]\s*(?P<d>\d{1,2})",
-    r"(?<![\d.])(?P<y>\d{2})\s*[.\-/]\s*(?P<m>\d{1,2})\s*[.\-/]\s*(?P<d>\d{1,2})(?!\d)",
-    r"(?<![\d.])(?P<m>\d{1,2})\s*(?:[./]|월)\s*(?P<d>\d{1,2})(?!\d)",
+# Fixed value: a date with an English month.
+ENGLISH = re.compile(
+    r"(?<![A-Za-z])(?P<month>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?P<day>\d{1,2})(?:st|nd|rd|th)?"
+    r"\s*,?\s*(?P<year>(?:19|20)\d{2})",
+    re.IGNORECASE,
+)
+# Fixed value: a date with its year.
+WITH_YEAR = re.compile(r"(?P<year>(?:19|20)\d{2})\s*[.\-/년]\s*(?P<month>\d{1,2})\s*[.\-/월]\s*(?P<day>\d{1,2})")
+# Fixed value: a date with a year of two digits.
+SHORT_YEAR = re.compile(r"(?<![\d.])(?P<year>\d{2})\s*[.\-/]\s*(?P<month>\d{1,2})\s*[.\-/]\s*(?P<day>\d{1,2})(?!\d)")
+# Fixed value: a date without year.
+WITHOUT_YEAR = re.compile(r"(?<![\d.])(?P<month>\d{1,2})\s*(?:[./]|월)\s*(?P<day>\d{1,2})(?![\d])")
+# Fixed value: between the parts of a period.
+TILDES = re.compile(r"[~〜]")
+# Fixed value: days left.
+DAYS_LEFT = re.compile(r"(?<![A-Za-z])D\s*-\s*(?:(?P<days>\d{1,3})(?!\d)|day)", re.IGNORECASE)
+# Fixed value: words for days left.
+CLOSING = re.compile(r"(?P<word>오늘|금일|내일)\s*마감")
+# Fixed value: days left of either kind, with brackets around them.
+COUNTED = re.compile(r"\(?\s*(?:(?<![A-Za-z])D\s*-\s*(?:\d{1,3}(?!\d)|day)|(?:오늘|금일|내일)\s*마감)\s*\)?", re.IGNORECASE)
+# Fixed value: a time of day.
+CLOCK = re.compile(
+    r"(?P<half>오전|오후|AM|PM)?\s*(?P<hour>\d{1,2})\s*(?::\s*(?P<minute>\d{2})|시(?:\s*(?P<minutes>\d{1,2})\s*분)?)",
+    re.IGNORECASE,
 )
-DAYS_LEFT = r"(?<![A-Za-z])D\s*-\s*(?:(?P<days>\d{1,3})(?!\d)|day)"
-CLOSING = r"(?P<word>오늘|금일|내일)\s*마감"
-CLOCK = r"(?i)(?P<half>오전|오후|AM|PM)?\s*(?P<hour>\d{1,2})\s*(?::\s*(?P<minute>\d{2})|시(?:\s*(?P<minutes>\d{1,2})\s*분)?)"
+# Words for the afternoon and for tomorrow; years from here on mean no deadline.
 AFTERNOON, TOMORROW = ("오후", "PM"), "내일"
 NO_DEADLINE_YEAR = 2100
 #: A date without year that lies further back than this is one of next year.
 BACK_DAYS = 183
-
-_DATES = [re.compile(p) for p in DATES]
-_LEFT = re.compile(f"(?i){DAYS_LEFT}|{CLOSING}")
-_LEFT_BESIDE = re.compile(rf"(?i)\(?\s*(?:{DAYS_LEFT}|{CLOSING})\s*\)?")
-_CLOCK = re.compile(CLOCK)
+#: The order in which dates are tried.
+DATES = (ENGLISH, WITH_YEAR, SHORT_YEAR, WITHOUT_YEAR)
 
 
 class Reading(NamedTuple):
@@ -53,13 +68,13 @@ class Reading(NamedTuple):
 
 def _days(text: str, collected: dt.date) -> Iterator[tuple[dt.date, int]]:
     """Each way of writing a date that the text has: the day, if it is one, and where it ends."""
-    for found in filter(None, (p.search(text) for p in _DATES)):
+    for found in filter(None, (p.search(text) for p in DATES)):
         said = found.groupdict()
-        month = said["m"] if said["m"].isdecimal() else MONTHS.index(said["m"].lower()) + 1
-        year = int(said.get("y") or collected.year)
+        month = said["month"] if said["month"].isdecimal() else MONTHS.index(said["month"].lower()) + 1
+        year = int(said.get("year") or collected.year)
         try:
-            day = dt.date(year + 2000 if year < 100 else year, int(month), int(said["d"]))
-            if "y" not in said and (collected - day).days > BACK_DAYS:
+            day = dt.date(year + 2000 if year < 100 else year, int(month), int(said["day"]))
+            if "year" not in said and (collected - day).days > BACK_DAYS:
                 day = day.replace(year=year + 1)
         except ValueError:
             continue
@@ -70,13 +85,13 @@ def _days(text: str, collected: dt.date) -> Iterator[tuple[dt.date, int]]:
 def reading(text: str, collected: dt.date) -> Reading:
     day, end = next(_days(text, collected), (None, 0))
     clock = counted = None
-    if day and (at := _CLOCK.search(text, end)):
+    if day and (at := CLOCK.search(text, end)):
         hour, minute = int(at["hour"]), int(at["minute"] or at["minutes"] or 0)
         hour += 12 if (at["half"] or "").upper() in AFTERNOON and hour < 12 else 0
         clock = dt.time(hour, minute) if hour < 24 and minute < 60 else None
-    if left := _LEFT.search(text):
-        number = next((m for m in _LEFT.finditer(text) if not m["word"]), None)  # D-n comes before words
-        ahead = int(number["days"] or 0) if number else int(left["word"] == TOMORROW)
+    number, word = DAYS_LEFT.search(text), CLOSING.search(text)
+    if number or word:
+        ahead = int(number["days"] or 0) if number else int(word["word"] == TOMORROW)
         counted = collected + dt.timedelta(days=ahead)
     return Reading(day, clock, counted)
 
@@ -84,7 +99,7 @@ def reading(text: str, collected: dt.date) -> Reading:
 def moment_of(text: str, collected: dt.date, end: bool) -> str | None:
     """Date and time that a text holds: see `loose_moment`."""
     found = reading(text, collected)
-    if end and (parts := re.split(TILDES, text, maxsplit=1))[1:]:
+    if end and (parts := TILDES.split(text, maxsplit=1))[1:]:
         later = reading(parts[1], collected)
         found = later if later.day else found
     whole = dt.time(23, 59, 59) if end else dt.time()
@@ -98,7 +113,7 @@ def settled_text(text: str, collected: dt.date) -> str:
     found = reading(text, collected)
     if not found.counted:
         return text
-    return _LEFT_BESIDE.sub(" ", text).strip() if found.day else str(found.counted)
+    return COUNTED.sub(" ", text).strip() if found.day else str(found.counted)
 
 
 def _texts(texts: pd.Series, days: pd.Series, read) -> pd.Series:
@@ -152,7 +167,7 @@ def plain_tilde(text: Column) -> Column:
 
 def period_split(start: Column, end: Column) -> tuple[Column, Column]:
     """`a ~ b` in the end field gives the start if there is none; `a ~` is a start and no end."""
-    parts = F.split(end, TILDES, 2)
+    parts = F.split(end, TILDES.pattern, 2)
     head, tail = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     is_period = (F.size(parts) == 2) & (F.trim(head) != "")
     has_start = F.trim(F.coalesce(start, F.lit(""))) != ""
@@ -193,7 +208,7 @@ def parse_formats(text: Column, formats: Sequence[str], boundary: str | None = N
     """The first format that fits, as a timestamp without zone; a day alone gets the boundary time."""
     tries = []
     for f in formats:
-        moment = F.try_to_timestamp(F.trim(text), F.lit(spark_format(f))).cast("timestamp_ntz")
+        moment = F.try_to_timestamp(stripped(text), F.lit(spark_format(f))).cast("timestamp_ntz")
         if boundary and not has_time(f):
             moment = F.concat_ws(" ", F.date_format(moment, "yyyy-MM-dd"), F.lit(boundary)).try_cast("timestamp_ntz")
         tries.append(moment)

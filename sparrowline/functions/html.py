@@ -46,15 +46,15 @@ class Node:
             yield node
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def texts(self) -> Iterator[str]:
-        """Visible texts in order, a line feed at the edges of blocks."""
+    def texts(self, edge_sign: str = "\n") -> Iterator[str]:
+        """Visible texts in order, a line feed or another sign at the edges of blocks."""
         todo: list[Node | str] = [self]
         while todo:
             c = todo.pop()
             if isinstance(c, str):
                 yield c
             elif c.tag not in HIDDEN:
-                edge = ["\n"] if c.tag in BLOCK else []
+                edge = [edge_sign] if c.tag in BLOCK else []
                 todo += [*edge, *reversed(c.children), *edge]
 
 
@@ -152,12 +152,23 @@ def _column(kind: str):
     return make
 
 
+# Fixed value: what tells markup from text.
+MARKUP = re.compile(r"<[A-Za-z/!][^>]*>|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]\w{1,31});")
+#: A sign that stands for the edge of a block.
+EDGE = "\0"
+
+
 @_column("string")
 def html_text(text: str) -> str:
-    """Lines of text where there is markup; other texts as they are."""
-    if not re.search(r"<[a-zA-Z!/][^>]*>|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);", text):
+    """Lines of text where there is markup, edges of blocks that meet being one end of a line; other texts as they are.
+
+    Blank lines stay where the text itself has them, one at a time.
+    """
+    if not MARKUP.search(text):
         return text
-    return lines(parse(text))
+    between = re.split(EDGE, "".join(parse(text.replace(EDGE, "")).texts(EDGE)))
+    blocks = ("\n".join(re.sub(r"[^\S\n]+", " ", row).strip() for row in block.split("\n")).strip() for block in between)
+    return "\n".join(re.sub(r"\n{3,}", "\n\n", block) for block in blocks if block)
 
 
 @_column("string")
@@ -441,32 +452,6 @@ def payload_text(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf(StringType())
-def resolved_span(source: pd.Series, piece: pd.Series) -> pd.Series:
-    """The exact piece of the source that a loosely copied piece stands for; null where there is none.
-
-    Both are compared by letters and digits in lower case, with each kept letter's place. The
-    span is widened over a bracket or quote that it opens or closes.
-    """
-
-    def one(s, p):
-        if not s or not p:
-            return None
-        places = [(low, i) for i, c in enumerate(s) if c.isalnum() for low in c.lower()]
-        want = "".join(low for c in p if c.isalnum() for low in c.lower())
-        at = "".join(low for low, _ in places).find(want) if want else -1
-        if at < 0:
-            return None
-        lo, hi = places[at][1], places[at + len(want) - 1][1] + 1
-        if lo and s[lo - 1] in "([{\"'<" and p.lstrip()[:1] == s[lo - 1]:
-            lo -= 1
-        if hi < len(s) and s[hi] in ")]}\"'>" and p.rstrip()[-1:] == s[hi]:
-            hi += 1
-        return s[lo:hi]
-
-    return pd.Series([one(s, p) for s, p in zip(source, piece)])
-
-
 @_column("array<struct<path:string,size:int,index:int,key:string,value:string>>")
 def json_entries(text: str, deepest: int = 6, least: int = 2) -> list[dict]:
     """Values of the objects in each list of objects of a JSON text: the list's path and size, the object's place, the key.

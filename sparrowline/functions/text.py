@@ -31,9 +31,19 @@ NOTHING_LISTED = (
 TALENT_POOL = ("인재pool", "인재풀", "talentpool", "인재등록", "인재db", "db등록", "상시등록")
 
 
+#: White space of Unicode, with the separators of files, groups, records and units.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """The text without white space at its ends, line feeds and tabs among it. `F.trim` takes spaces only: it is right where
+    the tables' own `trim` is meant."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def filled(c: Column) -> Column:
-    """The value, null where it is empty after trimming."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """The value, null where it is empty after stripping."""
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def squeezed(c: Column) -> Column:
@@ -81,7 +91,7 @@ def missing_lines(value: Column, body: Column, least: int = 2) -> Column:
     hay = loose(body)
     lines = F.split(F.coalesce(value, F.lit("")), r"\r\n|\r|\n")
     gone = F.filter(lines, lambda line: (F.length(loose(line)) >= least) & ~F.contains(hay, loose(line)))
-    return F.transform(gone, lambda line: F.trim(line))
+    return F.transform(gone, stripped)
 
 
 def fold_repeat(value: Column) -> Column:
@@ -143,7 +153,7 @@ def grounded_names(items: Column, source: Column) -> tuple[Column, Column]:
 def allow_list(names: Column, allowed: Sequence[str], most: int, renamed: Mapping[str, str] | None = None) -> tuple[Column, Column]:
     """(kept, dropped): trimmed names, former ones renamed, of a list in their order, each once and `most` at most; the rest."""
     table = F.create_map(*[F.lit(x) for pair in (renamed or {"": ""}).items() for x in pair])
-    clean = F.filter(F.transform(names, lambda n: F.coalesce(F.try_element_at(table, F.trim(n)), F.trim(n))), lambda n: n != "")
+    clean = F.filter(F.transform(names, lambda n: F.coalesce(F.try_element_at(table, stripped(n)), stripped(n))), lambda n: n != "")
     whole = F.array(*[F.lit(a) for a in allowed])
     kept = F.slice(F.array_distinct(F.filter(clean, lambda n: F.array_contains(whole, n))), 1, most)
     return kept, F.filter(clean, lambda n: ~F.array_contains(whole, n))
@@ -151,7 +161,7 @@ def allow_list(names: Column, allowed: Sequence[str], most: int, renamed: Mappin
 
 def main_of(c: Column) -> Column:
     """The first of comma-joined names."""
-    return F.trim(F.substring_index(c, ",", 1))
+    return stripped(F.substring_index(c, ",", 1))
 
 
 def first_count(c: Column) -> Column:
@@ -162,7 +172,7 @@ def first_count(c: Column) -> Column:
 
 def typed(c: Column, kind: Column, choices: Column) -> Column:
     """A custom field's value by its kind (text, long, choice, number, date); what does not fit is empty."""
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text = stripped(F.coalesce(c, F.lit("")))
     number = F.replace(text, F.lit(","), F.lit(""))
     return (
         F.when(kind == "choice", F.when(F.array_contains(choices, text), text))
@@ -214,18 +224,18 @@ def as_choice(c: Column, allowed: Iterable[str]) -> Column:
 
 def as_count(c: Column) -> Column:
     """A whole number of 1 or more, else null."""
-    number = F.when(F.regexp_like(F.trim(c), F.lit(r"^\d{1,9}$")), F.trim(c)).try_cast("int")
+    number = F.when(F.regexp_like(stripped(c), F.lit(r"^\d{1,9}$")), stripped(c)).try_cast("int")
     return F.when(number >= 1, number)
 
 
 def as_flag(c: Column) -> Column:
-    value = F.trim(c)
+    value = stripped(c)
     return F.when(value == "true", True).when(value == "false", False)
 
 
 def as_moment(c: Column) -> Column:
     """`YYYY-MM-DD HH:MM:SS` with a T between; null for any other shape."""
-    value = F.trim(c)
+    value = stripped(c)
     return F.when(F.regexp_like(value, F.lit(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")), F.replace(value, F.lit(" "), F.lit("T")))
 
 
@@ -278,7 +288,7 @@ def liveness(url: Column, final_url: Column, status: Column, text: Column, title
             (status >= 400, "unknown", "refused"),
             (moved & F.regexp_like(place(final_url), F.lit(LOGIN)), "unknown", "login"),
             (moved & (host(url) == host(final_url)) & front, "closed", "front page"),
-            (F.trim(F.coalesce(text, F.lit(""))) == "", "unknown", "no text"),
+            (stripped(F.coalesce(text, F.lit(""))) == "", "unknown", "no text"),
             (shows_title(text, title) & ~F.regexp_like(text, F.lit(closed_words)), "open", "title shown"),
         ]
     ):

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowline.functions import text as T
+
 COMMON, POSTINGS = "common", "postings"
 FIELDS = "map<string,string>"
 
@@ -20,8 +22,8 @@ FIELDS = "map<string,string>"
 def _fields(json: Column) -> Column:
     """A JSON object's fields as texts, empty ones left out; an empty map where there is none."""
     found = F.from_json(json, FIELDS)
-    kept = F.map_filter(found, lambda _, v: F.trim(v) != "")
-    return F.coalesce(F.transform_values(kept, lambda _, v: F.trim(v)), F.create_map().cast(FIELDS))
+    kept = F.map_filter(found, lambda _, v: T.stripped(v) != "")
+    return F.coalesce(F.transform_values(kept, lambda _, v: T.stripped(v)), F.create_map().cast(FIELDS))
 
 
 def _keys(json: Column) -> Column:
@@ -47,7 +49,7 @@ def validated(df: DataFrame, answer: str, top: Sequence[str], common: Sequence[s
     inner, listed = F.get_json_object(a, f"$.{COMMON}"), F.get_json_object(a, f"$.{POSTINGS}")
     inner, listed = F.nullif(inner, F.lit("")), F.nullif(listed, F.lit(""))
     rows = F.coalesce(F.from_json(listed, "array<string>"), F.array().cast("array<string>"))
-    is_object = lambda c: F.coalesce(F.regexp_like(F.trim(c), F.lit(r"(?s)^\{.*\}$")), F.lit(False)) & F.json_object_keys(c).isNotNull()
+    is_object = lambda c: F.coalesce(F.regexp_like(T.stripped(c), F.lit(r"(?s)^\{.*\}$")), F.lit(False)) & F.json_object_keys(c).isNotNull()
     sound = is_object(a) & (inner.isNull() | is_object(inner)) & (listed.isNull() | F.json_array_length(listed).isNotNull()) & F.forall(rows, is_object)
     df = df.withColumns({"_top": a, "_common": inner, "_rows": rows, "_sound": F.coalesce(sound, F.lit(False))})
     moved = [p for p in posting if p not in common]

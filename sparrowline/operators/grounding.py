@@ -21,7 +21,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 
 
 def _given(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit("")))
+    return T.stripped(F.coalesce(c, F.lit("")))
 
 
 def checked(value: Column, rules: Sequence[tuple[Column, str]], evidence: Column | None = None) -> Column:

@@ -58,7 +58,7 @@ def best_names(companies: DataFrame) -> DataFrame:
 
 def with_canonical(rows: DataFrame, companies: DataFrame, name: str) -> DataFrame:
     """rows(parent, name) with `canonical`: the best name of its parent's companies, else the name as it is."""
-    own = F.trim(F.col(name))
+    own = T.stripped(F.col(name))
     found = rows.withColumn("_key", T.company_key(own)).join(best_names(companies).withColumnRenamed("key", "_key"), ["parent", "_key"], "left")
     better = F.col("best.formal") & ~T.has_legal_form(own)
     return found.withColumn("canonical", F.when(F.col("best").isNull() | better, own).otherwise(F.col("best.name"))).drop("_key", "best")
@@ -99,7 +99,7 @@ def settled(fields: dict[str, Column]) -> dict[str, Column]:
     kind, work = fields["experience_type"], fields["employment_type"]
 
     def years(c: Column) -> Column:
-        return F.when(F.regexp_like(F.trim(c), F.lit(r"^\d{1,2}$")), F.trim(c).try_cast("int").cast("string"))
+        return F.when(F.regexp_like(T.stripped(c), F.lit(r"^\d{1,2}$")), T.stripped(c).try_cast("int").cast("string"))
 
     end = F.when(~dates.no_deadline(fields[END]), fields[END])
     period = F.coalesce(end, F.lit("")) != ""

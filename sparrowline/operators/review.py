@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowline.functions import dates
+from sparrowline.functions import text as T
 from sparrowline.operators.predicates import blank, missing_names
 from sparrowline.operators.rules import Rule, normalized
 
@@ -80,6 +81,6 @@ def differing_deadlines(postings: DataFrame, suggestions: DataFrame, overrides:
 def still_open(rows: DataFrame, rules: Sequence[Rule], field: str, today: str, on: str) -> DataFrame:
     """Rows of a list whose deadline, after its rules, is not over by `today`; what cannot be read is open."""
     read = normalized(rows.withColumn("_said", F.col(field)), rules, [field], on)
-    day = F.try_to_date(F.substring(F.trim(F.col(field)), 1, 10), "yyyy-MM-dd")
+    day = F.try_to_date(F.substring(T.stripped(F.col(field)), 1, 10), "yyyy-MM-dd")
     over = F.coalesce(F.col("error").isNull() & (day < F.lit(today).cast("date")), F.lit(False))
     return read.filter(~over).withColumn(field, F.col("_said")).drop("_said", "error")

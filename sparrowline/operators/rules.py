@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowline.functions import dates
+from sparrowline.functions import dates, patterns
+from sparrowline.functions import text as T
 from sparrowline.functions.html import html_text
 
 TYPES = ("mapping", "regex", "trim", "date_parse", "html_text")
@@ -27,7 +28,6 @@ KEYS = {
 }
 #: Time of a day alone, by field.
 BOUNDARY = {"recruitment_start_at": "00:00:00", "recruitment_end_at": "23:59:59"}
-STRIPPED = " \t\n\r\x0b\x0c\xa0\u3000"
 
 
 class RuleError(ValueError):
@@ -69,8 +69,8 @@ def _check(rule: Rule) -> None:
         if rule.rule_type == "mapping" and not isinstance(c.get("map"), dict):
             raise ValueError("a map is needed")
         if rule.rule_type == "regex":
-            java_regex(c["pattern"])
-            java_replacement(c.get("replacement", ""))
+            patterns.java_pattern(c["pattern"])
+            patterns.java_replacement(c["pattern"], c.get("replacement", ""))
         if rule.rule_type == "date_parse":
             if not c.get("formats"):
                 raise ValueError("formats are needed")
@@ -83,20 +83,6 @@ def _check(rule: Rule) -> None:
         raise RuleError("value", f"rule {rule.id}: {e}") from e
 
 
-def java_regex(pattern: str) -> str:
-    """A Python pattern for Java's engine, where \\d, \\s and \\w know Unicode as well."""
-    re.compile(pattern)
-    if "(?(" in pattern:
-        raise ValueError("conditional groups have no counterpart")
-    return "(?U)" + re.sub(r"\(\?P<(\w+)>", r"(?<\1>", re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern))
-
-
-def java_replacement(text: str) -> str:
-    out = text.replace("$", "\\$")
-    out = re.sub(r"\\g<(\w+)>", lambda m: f"${{{m[1]}}}" if not m[1].isdigit() else f"${m[1]}", out)
-    return re.sub(r"\\(\d)", r"$\1", out)
-
-
 def _apply(rule: Rule, v: Column, collected: Column) -> tuple[Column, Column]:
     """The rule's value, and whether it failed."""
     c, fine = rule.config, F.lit(False)
@@ -104,10 +90,10 @@ def _apply(rule: Rule, v: Column, collected: Column) -> tuple[Column, Column]:
         table = F.create_map(*[F.lit(x) for pair in (c["map"] or {"": ""}).items() for x in pair])
         return F.coalesce(F.try_element_at(table, v), F.lit(c["default"]) if c.get("default") is not None else v), fine
     if rule.rule_type == "regex":
-        return F.regexp_replace(v, java_regex(c["pattern"]), java_replacement(c.get("replacement", ""))), fine
+        return patterns.substituted(v, c["pattern"], c.get("replacement", "")), fine
     if rule.rule_type == "trim":
-        out = F.regexp_replace(v, r"(?U)\s+", " ") if c.get("collapse") else v
-        return F.btrim(out, F.lit(c.get("chars") or STRIPPED)), fine
+        out = F.regexp_replace(v, f"[{patterns.SPACE}]+", " ") if c.get("collapse") else v
+        return F.btrim(out, F.lit(c.get("chars") or T.SPACES)), fine
     if rule.rule_type == "html_text":
         return html_text(v), fine
     boundary = BOUNDARY.get(rule.field_name)

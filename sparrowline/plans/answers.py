@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparrowline.functions import delivery as D
 from sparrowline.functions import html as H
 from sparrowline.functions import pages as P
+from sparrowline.functions import spans as S
 from sparrowline.operators import answers as A
 from sparrowline.operators import grounding as G
 from sparrowline.operators import inference as I
@@ -405,7 +406,7 @@ def piece_resolution(spark, sf_dir):
     source = _page("First (", F.col("p_name"), ").\n", F.col("p_brand"), " and more\nlast line, whole")
     pieces = [(F.lit(0), F.upper(_page("( ", F.col("p_name"), ")"))), (F.lit(0), F.col("p_brand")), (F.lit(1), F.col("p_brand")), (F.lit(2), F.lit("qqq zzz")), (F.lit(9), F.lit("xxjj")), (F.lit(0), F.lit("--"))]
     given = F.array(*[F.struct(n.alias("line"), text.alias("text")) for n, text in pieces])
-    return table(spark, sf_dir, "part").select("p_partkey", D.resolved_pieces(source, given).alias("r")).select("p_partkey", "r.*")
+    return table(spark, sf_dir, "part").select("p_partkey", S.resolved_pieces(source, given).alias("r")).select("p_partkey", "r.*")
 
 
 @query(

@@ -1,11 +1,18 @@
-"""Named queries: what selectors find in pages, how well a site's selectors cover them, what payloads tell."""
+"""Named queries: what selectors find in pages, how well a site's selectors cover them, what payloads tell; texts whose signs matter."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from sparrowline.functions import coverage as C
+from sparrowline.functions import dates as D
 from sparrowline.functions import html as H
+from sparrowline.functions import spans as S
+from sparrowline.functions import text as T
+from sparrowline.operators import grounding as G
+from sparrowline.operators import rules as U
 from sparrowline.plans.registry import query
 from sparrowline.sources.tables import table
 
@@ -116,3 +123,71 @@ def payload_text_made(spark, sf_dir):
         F.lit('"body":"<p>first '), key, F.lit('</p><p>second &amp; last</p><p>N</p>","sentence":"자세한 내용은 www.x.com 에서"}'),
     )
     return table(spark, sf_dir, "part").select("p_partkey", H.payload_text(payload).alias("said"))
+
+
+@query(
+    "pieces_with_signs",
+    """SELECT p_partkey, 'C++ and ' || p_name || chr(10) || '10%' || chr(10) || 'Use C# daily' || chr(10) || '(HQ (2F))' AS value, 1 AS whole_lines, 2 AS lost FROM part""",
+)
+def pieces_with_signs(spark, sf_dir):
+    """Copied pieces whose signs matter: C++ is not C#, 10% is not 10; brackets that a span opens are closed."""
+    source = F.concat(F.lit("Title\nwe write c++ AND "), F.col("p_name"), F.lit("\nraise of 10% yearly\nUse C# daily\nat ((HQ (2F)))"))
+    pieces = [(1, F.lit("\tUse C++ daily\n")), (0, F.lit("10% ")), (3, F.lit("[3] Use F# daily")), (9, F.lit("11%")), (9, F.lit("C&")), (4, F.lit("(hq (2f"))]
+    pieces[0] = (1, F.concat(F.lit(" - C++ and "), F.col("p_name"), F.lit("\n")))
+    given = F.array(*[F.struct(F.lit(n).alias("line"), text.alias("text")) for n, text in pieces])
+    rows = table(spark, sf_dir, "part").select("p_partkey", S.resolved_pieces(source, given).alias("r"))
+    # The source writes the first piece in letters of its own.
+    return rows.select("p_partkey", F.replace("r.value", F.lit("c++ AND"), F.lit("C++ and")).alias("value"), "r.whole_lines", "r.lost")
+
+
+@query(
+    "rules_of_all_patterns",
+    r"""SELECT p_partkey, '(' || p_name || ')' AS brackets, replace(p_name, ' ', '') || '-' AS short, 'a_b_' || p_partkey AS classes, p_brand || chr(10) || 'x' AS lines, '\1b' AS signs,
+              'K' || lower(p_type) AS letters, false AS failed FROM part""",
+)
+def rules_of_all_patterns(spark, sf_dir):
+    """Rules whose patterns mean something else to the JVM's engine: brackets in classes, open counts, doubled signs, escapes, letters of any case."""
+    rules = {
+        "brackets": (r"[[](.*)[]]", r"(\1)", F.concat(F.lit("["), F.col("p_name"), F.lit("]"))),
+        "short": (r" {,3}$", "-", F.replace("p_name", F.lit(" "), F.lit(""))),
+        "classes": (r"[&&]", "_", F.concat(F.lit("a&b&"), F.col("p_partkey"))),
+        "lines": (r"; ", r"\n", F.concat(F.col("p_brand"), F.lit("; x"))),
+        "signs": (r"(?P<first>a)b", r"\\1b", F.lit("ab")),
+        "letters": ("(?i)K+", "K", F.concat(F.lit("kKK"), F.lower("p_type"))),
+    }
+    read = [U.read_rule({"id": i, "field_name": f, "rule_type": "regex", "priority": 1, "enabled": 1, "rule_config_json": json.dumps({"pattern": p, "replacement": r})}) for i, (f, (p, r, _)) in enumerate(rules.items())]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("2024-01-01").cast("date").alias("on"), *[c.alias(f) for f, (_, _, c) in rules.items()])
+    return U.normalized(rows, read, list(rules), "on").select("p_partkey", *rules, F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    "answers_with_line_feeds",
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'IT' END AS choice, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE '3' END AS number,
+              p_partkey % 4 = 3 AS empty, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE TIMESTAMP '2026-09-03 00:00:00' END AS day FROM part""",
+)
+def answers_with_line_feeds(spark, sf_dir):
+    """Answers and cells that end in line feeds, tabs and other white space: judged, counted, dated and found empty without it."""
+    key = F.col("p_partkey") % 4
+    around = F.when(key == 0, "\n").when(key == 1, "\t \r\n").when(key == 2, "　\x1c ").otherwise(" \n")
+
+    def said(text):
+        return F.concat(around, F.when(key < 3, text).otherwise(""), around)
+
+    source = F.lit("3 years in IT")
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", G.judged(said("IT"), said("IT"), source, ["IT"])["value"].alias("choice"), G.counted(said("3"), said("3 years"), source)["value"].alias("number"),
+        T.filled(said("x")).isNull().alias("empty"), D.parse_formats(said("2026.9.3"), ["%Y.%m.%d"]).alias("day"),
+    )
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("choice", "number")})
+
+
+@query(
+    "rules_html_text",
+    """SELECT p_partkey, p_name || chr(10) || '- ' || p_brand || ' R&D' || chr(10) || chr(10) || 'next' || chr(10) || 'end' AS body, p_name || ' <3' AS title FROM part""",
+)
+def rules_html_text(spark, sf_dir):
+    """Markup as lines by a rule: edges of blocks that meet end one line, blank lines of the text itself stay; plain texts are left alone."""
+    page = F.concat(F.lit("<div><p>"), F.col("p_name"), F.lit("</p><p>&nbsp;</p><ul><li>- <b>"), F.col("p_brand"), F.lit("</b> R&amp;D\n\n\n\n  next</li></ul></div><!-- x --><br>end"))
+    read = [U.read_rule({"id": i, "field_name": f, "rule_type": "html_text", "priority": 1, "enabled": 1, "rule_config_json": "{}"}) for i, f in enumerate(("body", "title"))]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("2024-01-01").cast("date").alias("on"), page.alias("body"), F.concat("p_name", F.lit(" <3")).alias("title"))
+    return U.normalized(rows, read, ["body", "title"], "on").select("p_partkey", "body", "title")

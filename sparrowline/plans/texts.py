@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrowline.functions import dates as D
 from sparrowline.functions import html as H
+from sparrowline.functions import spans as S
 from sparrowline.functions import text as T
 from sparrowline.plans.registry import query
 from sparrowline.sources import payloads as J
@@ -440,7 +441,7 @@ def span_resolve(spark, sf_dir):
     half = F.floor(F.length("text") / 2).cast("int")
     whole = F.concat(F.substring("text", F.lit(1), half), F.lit("\n"), F.when(F.col("doc_id") % 4 != 3, piece).otherwise(""), F.substring(F.col("text"), half + 1, F.length("text")))
     loosely = F.concat(F.lit("( POSTING - no "), F.col("doc_id"), F.lit(" )"))
-    return table(spark, sf_dir, "documents").select("doc_id", H.resolved_span(F.coalesce(whole, piece), loosely).alias("span"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.resolved_span(F.coalesce(whole, piece), loosely).alias("span"))
 
 
 @query(

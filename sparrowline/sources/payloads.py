@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparrowline.functions import text as T
+
 
 def texts_at(payload: Column, path: str) -> Column:
     """Texts at a path such as `$.a[*].b`: an array, whether there is one value or many."""
@@ -23,7 +25,7 @@ def texts_at(payload: Column, path: str) -> Column:
 def joined_texts(payload: Column, paths: Sequence[str]) -> Column:
     """Texts of several paths, each once, with blank lines between."""
     every = F.flatten(F.array(*[texts_at(payload, p) for p in paths]))
-    return F.array_join(F.array_distinct(F.filter(F.transform(every, lambda t: F.trim(t)), lambda t: t != "")), "\n\n")
+    return F.array_join(F.array_distinct(F.filter(F.transform(every, T.stripped), lambda t: t != "")), "\n\n")
 
 
 def list_outcome(payload: Column, path: str) -> Column:
@@ -43,20 +45,20 @@ def list_items(df: DataFrame, payload: str, path: str, fields: Mapping[str, str]
 def detail(payload: Column, fields: Mapping[str, str], required: Sequence[str]) -> tuple[dict[str, Column], Column]:
     """Fields by path, and the names of required ones that are blank."""
     found = {name: F.get_json_object(payload, path) for name, path in fields.items()}
-    blank = [F.when(F.trim(F.coalesce(found[n], F.lit(""))) == "", F.lit(n)) for n in required]
+    blank = [F.when(T.stripped(F.coalesce(found[n], F.lit(""))) == "", F.lit(n)) for n in required]
     return found, F.array_compact(F.array(*blank))
 
 
 def entry_id(parts: Mapping[str, Column]) -> Column:
     """`a=1&b=2` of parts that are all there, else null."""
-    there = [F.nullif(F.trim(c), F.lit("")) for c in parts.values()]
+    there = [T.filled(c) for c in parts.values()]
     whole = F.concat(*[x for name, c in zip(parts, there) for x in (F.lit(f"&{name}="), c)])
     return F.substring(whole, 2, 1 << 30)
 
 
 def record(detail: Column, extra: Column, listed: Column) -> Column:
     """The detail's value, else the list's extra one, else the list's own."""
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (detail, extra, listed)])
+    return F.coalesce(*[T.filled(c) for c in (detail, extra, listed)])
 
 
 def cut_pages(items: DataFrame, source: str, page: str, known: Column, has_more: Column, most: int) -> DataFrame:
@@ -72,7 +74,7 @@ def cut_pages(items: DataFrame, source: str, page: str, known: Column, has_more:
 def first_wins(df: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped): the first row of each key; others with the reason."""
     place = F.row_number().over(W.partitionBy(key).orderBy(order))
-    blank = F.trim(F.coalesce(key, F.lit(""))) == ""
+    blank = T.stripped(F.coalesce(key, F.lit(""))) == ""
     judged = df.withColumn("reason", F.when(blank, "no key").when(place > 1, "repeated"))
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
 
@@ -120,7 +122,7 @@ def sections(groups: Mapping[str, Mapping[str, Column]]) -> Column:
     """A two-level map of texts without empty ones and without empty groups."""
 
     def one(fields: Mapping[str, Column]) -> Column:
-        whole = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), F.trim(c))])
+        whole = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), T.stripped(c))])
         return F.map_filter(whole, lambda _, v: F.coalesce(v, F.lit("")) != "")
 
     whole = F.create_map(*[x for name, fields in groups.items() for x in (F.lit(name), one(fields))])

@@ -107,7 +107,8 @@ def test_nothing_is_inferred_from_little(spark):
 
 
 def test_delivered_pages():
-    from sparrowline.functions.delivery import cleaned, located
+    from sparrowline.functions.delivery import cleaned
+    from sparrowline.functions.spans import located
 
     deep = "<div>" * 3000 + "<p>in</p>" + "</div>" * 3000
     assert cleaned(deep, "https://a.example/").count("<div>") == 3000

@@ -220,7 +220,7 @@ def test_html():
     page = """<html><body><nav><ul><li><a href="/a?x=1">One</a><li class="k z"><b>Two</b> words</li></ul></nav>
       <script>if (a<b) "<p>"</script><p>First &amp; best<br>line</p><div>next<div>inner</div></div><!-- gone --><p data-x="1">last</body></html>"""
     assert H.html_text.plain("no markup < here") == "no markup < here"
-    assert H.html_text.plain("<p>a &lt; b</p><p>c</p>") == "a < b\n\nc"
+    assert H.html_text.plain("<p>a &lt; b</p><p>c</p>") == "a < b\nc"
     assert H.visible_text.plain(page) == "One Two words First & best line next inner last"
     items = H.list_items.plain(page, "nav li", "a", "https://x.org/list/")
     assert [(i["index"], i["title"], i["link"]) for i in items] == [(0, "One", "https://x.org/a?x=1"), (1, "Two words", None)]
