@@ -24,7 +24,7 @@ def _aligned(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Insert or replace; of several changes to a key the one with the largest `order` counts."""
     new = latest(new, list(keys), order)
-    every = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    every = old.withColumn("_new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_new", F.lit(1)))
     return latest(every, list(keys), "_new").drop("_new").select(*old.columns)
 
 

@@ -8,15 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparrowline.sources.scratch import written
+
 MISSES, BASELINE, LEAST_BASELINE, FLOOR = 3, 7, 3, 0.5
 
 
-def land(batch: DataFrame, known_urls: Sequence[DataFrame], landed: DataFrame, scope: str, url: str, digest: str) -> DataFrame:
-    """New rows of a batch: url not known from any list, content not landed, each once in the batch."""
+def land(batch: DataFrame, known_urls: Sequence[DataFrame], landed: DataFrame, scope: str, url: str, digest: str, order: str) -> DataFrame:
+    """New rows of a batch, as taking them one by one in their order would land them: a row whose url a list knows, or
+    whose content has landed, adds nothing, and neither does one whose url or content a row before it has landed.
+
+    A row that is first by both its url and its content lands; what it makes known goes, and the rest is looked at again. That ends
+    after as many rounds as rows hang together by turns of url and content, which is two as a rule.
+    """
     for keys in known_urls:
         batch = batch.join(keys.select(scope, url), [scope, url], "left_anti")
-    batch = batch.join(landed.select(scope, digest), [scope, digest], "left_anti")
-    return batch.dropDuplicates([scope, url]).dropDuplicates([scope, digest])
+    rest = written(batch.join(landed.select(scope, digest), [scope, digest], "left_anti").select(*batch.columns), "unlanded")
+    out = rest.limit(0)
+    while not rest.isEmpty():
+        by_url = rest.groupBy(scope, url).agg(F.min(order).alias(order))
+        by_digest = rest.groupBy(scope, digest).agg(F.min(order).alias(order))
+        fresh = rest.join(by_url, [scope, url, order], "left_semi").join(by_digest, [scope, digest, order], "left_semi")
+        fresh = written(fresh.dropDuplicates([scope, url]).select(*batch.columns), "landed")
+        out = out.unionByName(fresh)
+        left = rest.join(fresh.select(scope, url), [scope, url], "left_anti").join(fresh.select(scope, digest), [scope, digest], "left_anti")
+        rest = written(left.select(*batch.columns), "unlanded")
+    return out
 
 
 def trust(runs: DataFrame, each: int = 100_000) -> DataFrame:
