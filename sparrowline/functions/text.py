@@ -119,10 +119,14 @@ def shows_title(text: Column, title: Column, share: float = 0.6) -> Column:
     return (whole != "") & (F.contains(hay, whole) | enough)
 
 
+#: From so many letters on a title counts inside a longer one.
+TITLE_INSIDE = 6
+
+
 def same_title(a: Column, b: Column) -> Column:
     """Equal, or one of six letters or more is inside the other and half as long at least."""
     a, b = squeezed(a), squeezed(b)
-    inside = (F.length(a) >= 6) & F.contains(b, a) & (F.length(a) * 2 >= F.length(b))
+    inside = (F.length(a) >= TITLE_INSIDE) & F.contains(b, a) & (F.length(a) * 2 >= F.length(b))
     return F.coalesce((a == b) | inside, F.lit(False))
 
 

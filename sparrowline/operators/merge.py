@@ -5,13 +5,16 @@ Each is one full or left join, or one aggregation over the union, on the key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowline.functions.text import content_hash
-from sparrowline.operators.relational import latest
+from sparrowline.operators.relational import latest, numbered
+from sparrowline.sources.scratch import written
 
 
 def _aligned(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,54 +116,136 @@ def discard(parents: DataFrame, children: dict[str, DataFrame], gone: DataFrame,
     return left, tombstones, counts
 
 
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], named: str = "_b_") -> tuple[DataFrame, list[Column]]:
+    """The second table under other names, and the conditions under which its keys are the first's, null being equal to null."""
+    other = b.select(*[F.col(c).alias(f"{named}{c}") for c in b.columns])
+    return other, [a[k].eqNullSafe(other[f"{named}{k}"]) for k in keys]
+
+
 def import_rows(ours: DataFrame, theirs: DataFrame, natural: Sequence[str], row_id: str) -> tuple[DataFrame, DataFrame]:
     """Merges another database's rows: (rows after, their id -> our id).
 
-    A row is known by its natural key. New rows get ids after ours in the order of theirs:
-    numbered by ranges of the old id, so that they are no single task.
+    A row is known by its natural key, in which null equals null; of several rows of theirs with one key the first counts, and of
+    ours the last. New rows get ids after ours in the order of theirs.
     """
-    first = theirs.groupBy(*natural).agg(F.min_by(F.struct(*[c for c in theirs.columns if c not in natural]), row_id).alias("_r"))
-    mine = ours.select(*natural, F.col(row_id).alias("_ours"))
-    known = first.select(*natural, "_r.*").join(mine, list(natural), "left")
-    fresh = numbered(known.filter("_ours IS NULL").drop("_ours"), row_id)
+    columns = [c for c in theirs.columns if c not in natural]
+    first = theirs.groupBy(*natural).agg(F.min_by(F.struct(*columns), row_id).alias("_r")).select(*natural, "_r.*")
+    mine, same = _same(first, ours.groupBy(*natural).agg(F.max(row_id).alias("_ours")), natural)
+    known = first.join(mine, same, "left").select(*first.columns, F.col("_b__ours").alias("_ours"))
+    known = written(known, "import")
     top = ours.agg(F.max(row_id)).first()[0] or 0
-    fresh = fresh.withColumn(row_id, F.lit(top) + F.col("_n"))
-    rows = ours.unionByName(fresh.select(*ours.columns))
-    ids = theirs.select(*natural, F.col(row_id).alias("their_id"))
-    return rows, ids.join(rows.select(*natural, F.col(row_id).alias("our_id")), list(natural)).select("their_id", "our_id")
+    fresh = numbered(known.filter("_ours IS NULL").drop("_ours"), [F.asc_nulls_last(c) for c in (row_id, *natural)], "_n")
+    fresh = written(fresh.withColumn("_new", F.lit(top) + F.col("_n")), "import")
+    rows = ours.unionByName(fresh.withColumn(row_id, F.col("_new")).select(*ours.columns))
+    by_key = known.filter("_ours IS NOT NULL").select(*natural, F.col("_ours").alias("our_id")).unionByName(fresh.select(*natural, F.col("_new").alias("our_id")))
+    found, same = _same(theirs, by_key, natural)
+    return rows, theirs.join(found, same).select(F.col(row_id).alias("their_id"), F.col("_b_our_id").alias("our_id"))
 
 
 def import_linked(
     ours: tuple[DataFrame, DataFrame], theirs: tuple[DataFrame, DataFrame], natural: tuple[Sequence[str], Sequence[str]], row_id: str, foreign: str, hashed: dict[str, Sequence[str]]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(parents, children, counts) of two databases of parents and children(foreign: a parent's id).
+    """(parents, children, counts) of two databases of parents and children(foreign: a parent's id): see `import_all`."""
+    entities = [Entity("parents", natural[0], row_id=row_id), Entity("children", [foreign, *natural[1]], {foreign: "parents"}, hashed, row_id=row_id)]
+    found = import_all(entities, {"parents": ours[0], "children": ours[1]}, {"parents": theirs[0], "children": theirs[1]})
+    return found.tables["parents"], found.tables["children"], found.counts
+
+
+@dataclass(frozen=True)
+class Entity:
+    """A table of a database that is imported.
+
+    `natural`: the columns that a row is known by, references among them. `foreign`: columns that hold an id of another entity, or
+    of this one. `hashed`: columns that are computed anew from others, whatever the other database says.
+    """
+
+    name: str
+    natural: Sequence[str]
+    foreign: Mapping[str, str] = field(default_factory=dict)
+    hashed: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    row_id: str = "id"
+
+
+class Imported(NamedTuple):
+    """The tables afterwards, rows added and known before by entity, and what is wrong with the import (entity, row, column, value, reason).
+
+    Where anything is wrong nothing is imported: the tables are as they were, and nothing counts as added.
+    """
+
+    tables: dict[str, DataFrame]
+    counts: DataFrame
+    rejected: DataFrame
+
+
+REJECTED = "entity string, row long, column string, value long, reason string"
+
+
+def import_all(entities: Sequence[Entity], ours: Mapping[str, DataFrame], theirs: Mapping[str, DataFrame]) -> Imported:
+    """Another database's rows among ours, entity by entity: an entity comes after those it refers to.
 
-    Both are known by natural keys, a child within its parent. Children get our parents' ids, and hashes of
-    `hashed` (column: what it covers) are computed again before they are compared. counts: entity, added, known.
+    References become our ids before rows are compared, so a row is found under our parent. A table that refers to itself goes in
+    by levels: rows without parent, then those whose parent is in, until none is left. Rows that are known stay as ours are: an
+    import never overwrites. A reference to a row that the import does not have rejects it as `broken_reference`, rows that hang
+    on each other in a ring as `ring`; a null reference is none.
     """
-    parents, ids = import_rows(ours[0], theirs[0], natural[0], row_id)
-    moved = theirs[1].join(ids.select(F.col("their_id").alias(foreign), "our_id"), foreign).withColumn(foreign, F.col("our_id")).drop("our_id")
-    moved = moved.withColumns({h: content_hash([F.col(c).cast("string") for c in covered]) for h, covered in hashed.items()})
-    children, _ = import_rows(ours[1], moved, [foreign, *natural[1]], row_id)
-    told = []
-    for name, before, after, given in (("parents", ours[0], parents, theirs[0]), ("children", ours[1], children, theirs[1])):
-        sizes = [df.agg(F.count("*").alias(n)) for df, n in ((before, "_before"), (after, "_after"), (given, "_given"))]
-        row = sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2])  # one row each
-        added = F.col("_after") - F.col("_before")
-        told.append(row.select(F.lit(name).alias("entity"), added.alias("added"), (F.col("_given") - added).alias("known")))
-    return parents, children, told[0].union(told[1])
-
-
-def numbered(df: DataFrame, order: str, name: str = "_n", each: int = 100_000) -> DataFrame:
-    """Rows numbered from 1 by a whole-number column: by ranges of it, then inside each range."""
-    from pyspark.sql import Window as W
-
-    df = df.withColumn("_range", F.floor(F.col(order) / each))
-    counts = df.groupBy("_range").agg(F.count("*").alias("_c"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = F.row_number().over(W.partitionBy("_range").orderBy(order))
-    return df.join(starts, "_range").withColumn(name, F.col("_before") + inside).drop("_before", "_range")
+    spark = next(iter(ours.values())).sparkSession
+    ids: dict[str, DataFrame] = {}
+    tables: dict[str, DataFrame] = {}
+    counts: list[tuple[str, int, int]] = []
+    rejected = spark.createDataFrame([], REJECTED)
+    for e in entities:
+        given = written(theirs[e.name], "import")
+        for column, target in e.foreign.items():
+            parents = given.select(F.col(e.row_id).alias("_p")) if target == e.name else ids[target].select(F.col("their_id").alias("_p"))
+            broken = given.filter(F.col(column).isNotNull()).join(parents, F.col(column) == F.col("_p"), "left_anti")
+            rejected = rejected.unionByName(_rejection(e, broken, column, "broken_reference"))
+        moved = given.withColumn("_id", F.col(e.row_id))
+        for column, target in e.foreign.items():
+            if target != e.name:
+                moved = _moved(moved, column, ids[target])
+        own = [c for c, target in e.foreign.items() if target == e.name]
+        rows, found, ring = _by_levels(e, own, ours[e.name], written(moved, "import"))
+        if ring is not None:
+            rejected = rejected.unionByName(_rejection(e, ring, own[0], "ring"))
+        tables[e.name], ids[e.name] = rows, written(found, "import_ids")
+        added = rows.count() - ours[e.name].count()
+        counts.append((e.name, added, given.count() - added))
+    rejected = written(rejected.distinct(), "rejected")
+    if not rejected.isEmpty():
+        tables, counts = dict(ours), [(name, 0, 0) for name, *_ in counts]
+    return Imported(tables, spark.createDataFrame(counts, "entity string, added long, known long"), rejected)
+
+
+def _rejection(e: Entity, rows: DataFrame, column: str, reason: str) -> DataFrame:
+    return rows.select(F.lit(e.name).alias("entity"), F.col(e.row_id).cast("long").alias("row"), F.lit(column).alias("column"), F.col(column).cast("long").alias("value"), F.lit(reason).alias("reason"))
+
+
+def _moved(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows with a reference as our id; null where there is none."""
+    to = ids.select(F.col("their_id").alias("_their"), F.col("our_id").alias("_our"))
+    return rows.join(to, F.col(column) == F.col("_their"), "left").withColumn(column, F.col("_our")).drop("_their", "_our")
+
+
+def _by_levels(e: Entity, own: Sequence[str], ours: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows after, their id -> our id, rows in a ring or below one) of an entity whose other references are ours already."""
+    rows, left = ours, given
+    ids = given.select(F.col(e.row_id).alias("their_id"), F.col(e.row_id).alias("our_id")).limit(0)
+    while True:
+        ready = left
+        for column in own:
+            ready = ready.join(ids.select(F.col("their_id").alias("_p")), F.col(column) == F.col("_p"), "left_semi").unionByName(ready.filter(F.col(column).isNull()))
+        ready = written(ready, "level")
+        if ready.isEmpty():
+            return rows, ids, None if left.isEmpty() else left
+        level = ready
+        for column in own:
+            level = _moved(level, column, ids)
+        level = level.withColumns({h: content_hash([F.col(c).cast("string") for c in covered]) for h, covered in e.hashed.items()})
+        rows, found = import_rows(rows, level.drop("_id"), e.natural, e.row_id)
+        rows, ids = written(rows, "level_rows"), written(ids.unionByName(found), "level_ids")
+        left = written(left.join(ready.select(F.col(e.row_id)), e.row_id, "left_anti"), "level_left")
+        if not own:
+            return rows, ids, None
 
 
 def rename_keys(c: Column, names: dict[str, str]) -> Column:
@@ -208,7 +293,7 @@ def merge_rules(ours: DataFrame, theirs: DataFrame, readable: Column, renamed: d
     fits = theirs.withColumn("field_name", field).filter("field_name IS NOT NULL").filter(readable)
     first = fits.groupBy(*same).agg(F.min_by(F.struct(*[c for c in theirs.columns if c not in same]), F.col("id")).alias("_r")).select(*same, "_r.*")
     fresh = first.join(ours.select(*same), same, "left_anti")
-    added = numbered(fresh, "id").crossJoin(F.broadcast(ours.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))))
+    added = numbered(fresh, [F.asc_nulls_last(c) for c in ("id", *same)], "_n").crossJoin(F.broadcast(ours.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))))
     added = added.withColumn("id", F.col("_last") + F.col("_n")).select(*ours.columns)
     counts = theirs.agg(F.count("*").alias("_all")).crossJoin(F.broadcast(added.agg(F.count("*").alias("added"))))
     return ours.unionByName(added), counts.select("added", (F.col("_all") - F.col("added")).alias("skipped"))

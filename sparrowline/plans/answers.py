@@ -226,7 +226,7 @@ def rule_merge(spark, sf_dir):
     field = F.when(k % 5 == 0, "gone").when(k % 5 == 1, "title").when(k % 2 == 0, "company").otherwise("firm")
     theirs = customers.select(k.alias("id"), field.alias("field_name"), F.lit("regex").alias("rule_type"), config.alias("rule_config_json"), F.col("c_nationkey").alias("priority"))
     ours = theirs.filter("priority < 10").select(F.lit("firm").alias("field_name"), "rule_type", "rule_config_json", "priority").distinct()
-    ours = M.numbered(ours.withColumn("_k", F.xxhash64("rule_config_json", "priority")).withColumn("id", F.col("priority") * 1000 + F.get_json_object("rule_config_json", "$.n").cast("long")), "id")
+    ours = M.numbered(ours.withColumn("id", F.col("priority") * 1000 + F.get_json_object("rule_config_json", "$.n").cast("long")), [F.asc("id"), F.asc("rule_config_json")], "_n")
     ours = ours.select(F.col("_n").alias("id"), "field_name", "rule_type", "rule_config_json", "priority")
     every, _ = M.merge_rules(ours, theirs, F.col("priority") != 3, {"company": "firm", "gone": None})
     return every.join(ours.select("id"), "id", "left_anti").select("field_name", "rule_config_json", "priority", "id")

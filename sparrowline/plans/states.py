@@ -546,10 +546,10 @@ def run_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", status.alias("status"))
 
 
-@query("outbound_payload", "SELECT o_orderkey, '{\"id\":' || o_orderkey || ',\"state\":\"' || o_orderstatus || '\"}' AS payload FROM orders WHERE o_orderstatus <> 'P'")
+@query("outbound_payload", "SELECT o_orderkey, '{\"id\":' || o_orderkey || ',\"state\":\"' || o_orderstatus || '\"}' AS payload FROM orders")
 def outbound_payload(spark, sf_dir):
     """Rows as they go out: renamed, checked and as JSON."""
-    rows = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    rows = table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))).alias("payload"))
 
 

@@ -202,12 +202,12 @@ def json_path(spark, sf_dir):
 @query(
     "json_list_items",
     """SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title
-       FROM orders WHERE o_orderstatus = 'F'""",
+       FROM orders""",
 )
 def json_list_items(spark, sf_dir):
     """Items of a JSON list payload with their place and fields."""
     item = F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderpriority").alias("t")).alias("about"))
-    lists = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("list"))
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("list"))
     payload = F.to_json(F.struct(F.struct("list").alias("data")))
     found = J.list_items(lists.select("o_custkey", payload.alias("p")), "p", "$.data.list", {"id": "$.id", "title": "$.about.t"})
     return found.select("o_custkey", "place", "id", "title")
