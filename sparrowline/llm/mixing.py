@@ -7,7 +7,7 @@ own interval of the sum crosses. The order is by size, so that a source's taken
 from its target by about one document's size.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in the order
-of weights; repeated rows are documents of their own; an empty table gives an empty result; a
+of weights (sources are a dimension: a row each passes one window, so a column of hosts is not one); repeated rows are documents of their own; an empty table gives an empty result; a
 source of size 0 has target 0 and gives nothing; a null doc_id is kept as null.
 """
 
@@ -25,6 +25,11 @@ def hash_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def tie(doc_id: str, text: str) -> Column:
+    """The number that deals rows of a source and size to cells: of id and text, so that rows without id, or with one id, spread as well."""
+    return hash_number(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """One row a source (column _key): source_size, target, offset.
 
@@ -65,6 +70,7 @@ def mix(
         pick(docs, "doc_id", "text", "source").select(
             "doc_id",
             F.xxhash64("text").alias("text_hash"),
+            tie("doc_id", "text").alias("_tie"),
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"),
             word_count(F.col("text")).alias("size"),
         ),
@@ -74,8 +80,8 @@ def mix(
         sized.withColumn("_large_first", -quantised(F.col("size"), 7)),
         "_key",
         "_large_first",
-        hash_number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
-        [F.desc("size"), F.asc_nulls_first("doc_id"), F.col("text_hash")],
+        F.col("_tie"),
+        [F.desc("size"), F.asc_nulls_first("doc_id"), F.col("_tie"), F.col("text_hash")],
     )
     offset = hash_number(F.concat(F.lit(f"mix {seed} "), F.col("_key"))) / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

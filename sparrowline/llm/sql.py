@@ -2,7 +2,7 @@
 
 MIXING = r"""
 WITH sized AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS k,
+  SELECT doc_id, coalesce('s' || source, 'n') AS k, md5(coalesce(text, '')) AS text_md5,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 per AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY k),
@@ -21,11 +21,11 @@ rates AS (
   FROM levels),
 cells AS (
   SELECT *, -((size >> greatest(length(bin(size)) - 7, 0)) << greatest(length(bin(size)) - 7, 0)) AS q,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS tie FROM sized),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || text_md5), 1, 8) AS BIGINT) AS tie FROM sized),
 dealt AS (
   SELECT *, tie % CAST(ceil(count(*) OVER (PARTITION BY k, q) / 4096.0) AS BIGINT) AS cell FROM cells),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY k ORDER BY q, cell, size DESC, doc_id NULLS FIRST) AS r FROM dealt),
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY q, cell, size DESC, doc_id NULLS FIRST, tie) AS r FROM dealt),
 rated AS (
   SELECT p.doc_id, p.size, s.source_size, s.target, s.u, p.r,
          CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0.0::DOUBLE END AS rate

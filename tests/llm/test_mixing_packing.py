@@ -161,3 +161,19 @@ def test_word_count_parts_at_ascii_space_only(spark):
     texts = [None, "", " ", "a\x85b c d", "\x0b\x0ca\r\nb\t", "é 漢"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r.n for r in df.select(word_count(df.text).alias("n")).collect()] == [0, 0, 0, 1 + 1 + 1, 2, 2]
+
+
+def test_rows_without_id_spread_over_cells(spark):
+    """100,000 different texts of equal size without id, and as many with one id: no cell holds three times its share."""
+    from pyspark.sql import functions as F
+
+    from sparrowline.llm.mixing import tie
+
+    texts = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    for rows in (texts, texts.withColumn("doc_id", F.lit(7).cast("long"))):
+        cells = -(-100_000 // 4096)
+        largest = rows.groupBy((tie("doc_id", "text") % cells).alias("cell")).count().agg(F.max("count")).first()[0]
+        assert largest < 3 * 4096
+    few = texts.limit(20_000)
+    found = mix(few)
+    assert found.count() == 20_000 and sorted(map(tuple, found.collect())) == sorted(map(tuple, mix(few.repartition(7)).collect()))
