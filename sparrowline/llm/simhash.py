@@ -254,29 +254,52 @@ def block_masks(distinct: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in combinations(block, keep)]
 
 
-def bucketed(nodes: DataFrame, masks: list[int], tile: int = 4096) -> DataFrame:
+def rest_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks of `radius` + 1 blocks of the bits that a mask leaves: two fingerprints within the radius agree in one block at least."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    cuts = [round(i * len(free) / (radius + 1)) for i in range(radius + 2)]
+    return [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def bucketed(nodes: DataFrame, masks: list[int], tile: int = 4096, radius: int | None = None) -> DataFrame:
     """bucket and the columns of nodes(fp, ...), sorted by bucket: nodes meet where they agree in all bits of a mask.
 
-    A bucket above `tile` nodes is cut into tiles of two chunks, so that no task gets it whole
-    and every pair still meets.
+    A bucket above `tile` nodes, which a family of texts with much in common makes, is keyed again by blocks of the other bits where
+    all pairs within `radius` bits are wanted: each node goes to a few smaller buckets, and every such pair meets in one. What is above
+    `tile` still, or where no radius is given, is cut into tiles of two chunks, so that no task gets a bucket whole and every pair meets.
     """
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "key"))
+    keyed = nodes.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("t", "key"))
     per = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    chunks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    dealt = matched(keyed, per, ["t", "key"], "n").select("t", "key", *nodes.columns, chunks.alias("chunks"))
-    own = F.pmod(F.xxhash64(*nodes.columns), F.col("chunks")).cast("int")
+    columns = [c for c in nodes.columns]
+    dealt = matched(keyed, per, ["t", "key"], "n").select("t", "key", F.lit(-1).alias("block"), F.lit(0).cast("long").alias("inner"), *columns, "n")
+    large = per.filter(F.col("n") > tile)
+    if radius is not None and not large.isEmpty():
+        again = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in rest_masks(mask, radius)]) for mask in masks])
+        hot = keyed.join(F.broadcast(large.select("t", "key")), ["t", "key"])  # fewer than a row for each `tile` nodes and mask
+        hot = hot.withColumn("_masks", F.element_at(again, F.col("t") + 1))
+        hot = hot.select("t", "key", F.posexplode("_masks").alias("block", "_mask"), *columns)
+        hot = hot.select("t", "key", "block", F.col("fp").bitwiseAND(F.col("_mask")).alias("inner"), *columns)
+        by = ["t", "key", "block", "inner"]
+        inner = written(hot.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1"), "inner_buckets")
+        dealt = dealt.filter(F.col("n") <= tile).unionByName(matched(hot, inner, by, "n").select(*by, *columns, "n"))
+    dealt = dealt.withColumn("chunks", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    own = F.pmod(F.xxhash64(*columns), F.col("chunks")).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))
     )
-    met = dealt.select("t", "key", F.explode(tiles).alias("x"), *nodes.columns).select("t", "key", "x.i", "x.j", *nodes.columns)
-    met = met.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", *nodes.columns)
-    return met.select(F.xxhash64("t", "key", "i", "j").alias("bucket"), *nodes.columns)
+    by = ["t", "key", "block", "inner", "i", "j"]
+    met = dealt.select(*by[:4], F.explode(tiles).alias("x"), *columns).select(*by[:4], "x.i", "x.j", *columns)
+    met = met.repartition(*by).sortWithinPartitions(*by, *columns)
+    return met.select(F.xxhash64(*by).alias("bucket"), *columns)
 
 
 def edges(distinct_fps: DataFrame, tile: int = 4096) -> DataFrame:
     """a, b: fingerprints linked inside a bucket; together they connect all that links connect."""
-    met = bucketed(distinct_fps, block_masks(distinct_fps.count()), tile)
+    met = bucketed(distinct_fps, block_masks(distinct_fps.count()), tile, RADIUS)
     return met.mapInArrow(_compare_batches, "a long, b long").distinct()
 
 
@@ -284,19 +307,20 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of the edges(a, b) the smallest node of its component.
 
     Large-star and small-star steps in turn, until neither changes the edges. Each round is
-    written to the shared folder, so that a lost executor costs one round at most.
+    written to the shared folder, so that a lost executor costs one round at most. Edges of a hub stay
+    where they are: its smallest neighbour goes to them.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     now = written(edges.filter("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(least).distinct(), "edges")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = matched(both, written(least, "least"), ["a"], "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.filter("a <> b").distinct(), "edges")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = matched(large, least, ["a"], "n").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = written(small.union(least.select("a", "m")).distinct(), "edges")
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from sparrowline.llm import simhash
 
@@ -120,18 +122,78 @@ def test_clusters_and_deduplicate_with_odd_rows(spark):
     assert simhash.clusters(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
-def test_a_hot_bucket_and_a_hub_are_split_without_adaptive_execution(spark):
-    """Half of all fingerprints agree in a block and hang on one hub; joins may not lean on skew joins."""
+def plain_clusters(rows):
+    """fingerprint and component_id of whole texts, by loops over all pairs."""
+    import xxhash
+
+    def fingerprint(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = [fingerprint(t) for _, t in rows]
+    label = plain_components(prints)
+    least: dict = {}
+    for (i, _), w in zip(rows, label):
+        if i is not None:
+            least[w] = min(least.get(w, i), i)
+    return sorted((str(i), f"{f:016x}", least.get(w)) for (i, _), f, w in zip(rows, prints, label))
+
+
+def test_clusters_of_a_table_are_brute_force(spark):
+    """The whole result, with chains of near copies, groups of equal texts, short, empty and null texts."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    rows, n = [], 0
+    for _ in range(60):
+        text = rng.choices(words, k=rng.choice([1, 2, 3, 12, 60, 200]))
+        for _ in range(rng.randrange(1, 6)):
+            rows.append((n, " ".join(text) if rng.random() < 0.9 else " ".join(text).upper()))
+            n += rng.randrange(1, 4)
+            if len(text) > 12 and rng.random() < 0.7:  # a chain: each is near the one before
+                text = list(text)
+                text[rng.randrange(len(text))] = rng.choice(words)
+    rows += [(None, rows[0][1]), (n + 1, None), (n + 2, ""), (n + 3, " \n"), rows[3]]
+    rng.shuffle(rows)
+    found = simhash.clusters(documents(spark, rows))
+    got = sorted((str(r.doc_id), f"{r.fp % (1 << 64):016x}", r.component_id) for r in found.collect())
+    assert got == plain_clusters(rows)
+
+
+def test_pairs_within_the_radius_meet_again_in_the_other_bits():
+    rng = random.Random(5)
+    for mask in (simhash.block_masks(10)[1], simhash.block_masks(1 << 25)[3]):
+        masks = simhash.rest_masks(mask)
+        assert sum(masks) == (1 << 64) - 1 - mask and len(masks) == 4
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << bit for bit in rng.sample([i for i in range(64) if not mask >> i & 1], 3))
+            assert any(a & m == b & m for m in masks)
+
+
+def test_a_hot_bucket_is_keyed_again_and_a_hub_stays_split(spark):
+    """All fingerprints agree in 16 bits, a third hangs on one hub, and adaptive execution is off: rows per bucket and task are looked at."""
     rng = random.Random(12)
-    hub = rng.getrandbits(64)
-    near = {hub} | {hub ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(600)}
-    others = {rng.getrandbits(64) for _ in range(600)}
-    signed = [f - (1 << 64) if f >> 63 else f for f in near | others]
+    hub = rng.getrandbits(48)
+    near = {hub} | {hub ^ sum(1 << b for b in rng.sample(range(48), rng.randint(1, 3))) for _ in range(1000)}
+    others = {rng.getrandbits(48) for _ in range(3000)}
+    frame = spark.createDataFrame([(f,) for f in near | others], "fp long")
+    n, tile = frame.count(), 256
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        found = simhash.components(simhash.edges(spark.createDataFrame([(f,) for f in signed], "fp long"), tile=64)).collect()
+        met = simhash.bucketed(frame, simhash.block_masks(n), tile, simhash.RADIUS)
+        # Cut into tiles alone, the shared block would give each row n / tile copies; keyed again it gives four, and the others one each.
+        assert met.count() < 12 * n
+        assert met.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2.5 * tile
+        found = simhash.components(simhash.edges(frame, tile=tile)).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    root = {r.node % (1 << 64): r.root for r in found}
-    assert len({root.get(f, f - (1 << 64) if f >> 63 else f) for f in near}) == 1
-    assert not set(root) & others
+    root = {r.node: r.root for r in found}
+    assert len({root.get(f, f) for f in near}) == 1
+    assert sum(f in root for f in others) < 3
+    want = plain_components(sorted(near | others))
+    groups: dict = {}
+    for f, w in zip(sorted(near | others), want):
+        groups.setdefault(w, set()).add(root.get(f, f))
+    assert all(len(g) == 1 for g in groups.values())
