@@ -2,7 +2,8 @@
 
 Fitting: k-means in two levels gives the coarse centroids, about the square root of the number of
 vectors, and k-means of the residuals' parts gives the codebooks. Both are fitted on a sample
-taken by a hash of the id: LIST_SAMPLE vectors for each list, SAMPLE_LEAST at least and SAMPLE_MOST at most.
+taken by a hash of the id: LIST_SAMPLE vectors for each list, SAMPLE_LEAST at least, SAMPLE_MOST
+at most, and no more than SAMPLE_BYTES hold, as the driver fits them.
 
 Index: every vector gets its nearest centroid's list and a byte for each part of its residual. Codes and
 ids are kept apart from the vectors. Neighbouring lists share a shard; a list larger than a
@@ -37,6 +38,8 @@ from sparrowline.llm.vectors import TopLists, best_columns, by_dimension, steps,
 
 #: Bounds of the rows that the index is fitted on.
 LIST_SAMPLE, SAMPLE_LEAST, SAMPLE_MOST = 32, 20_000, 1 << 20
+#: Bytes of the sample as doubles: what the driver holds, whatever the vectors' length.
+SAMPLE_BYTES = 256 << 20
 CODES, CODED_SAMPLE = 256, 8192
 PROBED, CANDIDATES, SHORTLIST = 0.96, 512, 100
 #: Rows of a shard at most, and queries of a tile at most, about.
@@ -220,9 +223,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int
     return by_dimension(embeddings, lambda rows, dim: _search(rows, dim, every, k, shard_rows), "double")
 
 
-def sampled(rows: DataFrame, n: int) -> np.ndarray:
+def sampled(rows: DataFrame, n: int, dim: int) -> np.ndarray:
     """The vectors that the index is fitted on, in the order of their ids, so that reruns agree."""
-    wanted = min(SAMPLE_MOST, max(SAMPLE_LEAST, LIST_SAMPLE * int(n**0.5)))
+    wanted = min(SAMPLE_MOST, SAMPLE_BYTES // (8 * dim), max(SAMPLE_LEAST, LIST_SAMPLE * int(n**0.5)))
     share = F.lit(int(min(1.0, wanted / max(n, 1)) * (1 << 30)))
     taken = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < share).toArrow()
     order = np.argsort(taken["vec_id"].to_numpy())
@@ -232,10 +235,10 @@ def sampled(rows: DataFrame, n: int) -> np.ndarray:
 def _search(rows: DataFrame, dim: int, every: int, k: int, shard_rows: int) -> DataFrame:
     spark = rows.sparkSession
     rows = written(first_of_id(rows.filter(F.exists("embedding", lambda x: x != 0))), "searched")
-    n, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    sample = sampled(rows, n)
+    n = rows.count()
+    sample = sampled(rows, n, dim)
     if not len(sample):
-        sample = sampled(rows.limit(1), 1)  # a few rows of which the hash took none
+        sample = sampled(rows.limit(1), 1, dim)  # a few rows of which the hash took none
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(sample, n, k)
@@ -265,10 +268,13 @@ def _search(rows: DataFrame, dim: int, every: int, k: int, shard_rows: int) -> D
         return _probe_batches(batches, index, sizes, shards, least)
 
     asked = rows.filter(F.col("vec_id") % every == 0).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    blocks = max(1, -(-queries // tile_rows(dim)))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    probing = asked.mapInArrow(probe, PROBING).select("shard", block, "query_id", "lists", "embedding")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    probing = asked.mapInArrow(probe, PROBING)
+    # A shard's codes travel once for each block of the queries that probe it, not of all queries; a row a shard.
+    counted = probing.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(tile_rows(dim))).cast("int").alias("blocks"))
+    blocks = written(counted, "blocks")
+    block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block")
+    probing = probing.join(F.broadcast(blocks), "shard").select("shard", block, "query_id", "lists", "embedding")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
 
     def shorten(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -278,7 +284,7 @@ def _search(rows: DataFrame, dim: int, every: int, k: int, shard_rows: int) -> D
         found = short_lists(index, left["list"].to_numpy(), left["vec_id"].to_numpy(), codes, query_ids, matrix(right["embedding"]), lists, max(SHORTLIST, k))
         return found.lists(query_ids, key[0].as_py(), pa.float32())
 
-    members = placed.select("shard", every_block, "list", "vec_id", "codes")
+    members = placed.join(F.broadcast(blocks), "shard").select("shard", every_block, "list", "vec_id", "codes")
     lists = members.groupBy("shard", "block").cogroup(probing.groupBy("shard", "block")).applyInArrow(shorten, LISTS)
     chosen = written(merged(lists, max(SHORTLIST, k), shards.count), "short_lists")
     return ranks(merged(reranked(rows, asked, chosen, k, most, tile_rows(dim)), k, max(1, -(-n // most))), -F.col("x.neg_score"))
