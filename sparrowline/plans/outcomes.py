@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparrowline.operators import answers as A
 from sparrowline.operators import merge as M
 from sparrowline.operators import outcomes as O
 from sparrowline.plans.registry import query
@@ -122,3 +123,31 @@ def import_by_levels(spark, sf_dir):
     path = path.select(F.col("c.id").alias("node_id"), F.concat_ws("/", "r.name", "n.name", "c.name").alias("path"))
     rows = found["edits"].join(path, "node_id")
     return rows.groupBy("path").agg(F.count("*").alias("edits"), F.count_if(F.col("value") == "ours").alias("ours"))
+
+
+@query(
+    "answers_in_full",
+    """SELECT o_orderkey, CASE k WHEN 4 THEN 'unknown_field: common.odd' WHEN 5 THEN 'unparsable: postings[0].duties, postings[1].duties' WHEN 6 THEN 'unparsable: answer' END AS error,
+         CASE WHEN k < 4 THEN CASE k WHEN 0 THEN '7' WHEN 1 THEN 'true' WHEN 2 THEN 'first' ELSE '' END END AS size,
+         CASE WHEN k < 4 THEN CASE k WHEN 3 THEN 1 ELSE 2 END END AS postings, CASE WHEN k < 4 THEN 'lead' END AS role,
+         CASE WHEN k < 4 THEN CASE k WHEN 3 THEN '' ELSE '2:' || o_orderpriority || chr(10) || '|-1:loose' END END AS duties
+       FROM (SELECT *, o_orderkey % 7 AS k FROM orders)""",
+)
+def answers_in_full(spark, sf_dir):
+    """Answers with copied pieces and their lines: values of other kinds, names that stand astray, postings that are missing, and where errors are."""
+    k = F.col("o_orderkey") % 7
+    size = F.when(k == 0, "7").when(k == 1, "true").when(k == 2, '["", {"line": 1, "text": " first\\n"}, "second"]').otherwise('" \\n"')
+    piece = F.concat(F.lit('[{"line": '), F.when(k == 5, "2.5").otherwise("2"), F.lit(', "text": "'), F.col("o_orderpriority"), F.lit('\\n"}, "loose"]'))
+    posting = F.concat(F.lit('[{"duties": '), piece, F.lit(', "role": "", "duties_evidence": "e"}, {"role": null, "name": [], "duties": '), piece, F.lit("}]"))
+    postings = F.when(k == 3, '""').otherwise(posting)
+    common = F.concat(F.lit('{"role": " lead ", "notes": null'), F.when(k == 4, ', "odd": 1').otherwise(""), F.lit("}"))
+    answer = F.when(k == 6, "[1]").otherwise(F.concat(F.lit('{"size": '), size, F.lit(', "role": "other", "common": '), common, F.lit(', "postings": '), postings, F.lit("}")))
+    shape = A.AnswerShape(top=["size"], common=["notes"], posting=["role", "name", "duties"], pieces=["notes", "name", "duties"])
+    rows = A.parsed(table(spark, sf_dir, "orders").select("o_orderkey", answer.alias("answer")), "answer", shape)
+    last = F.element_at("postings", -1)
+    duties = F.array_join(F.transform(F.coalesce(F.try_element_at(last["pieces"], F.lit("duties")), F.array().cast(A.PIECES)), lambda p: F.concat(p["line"], F.lit(":"), p["text"])), "|")
+    fine = F.col("error").isNull()
+    return rows.select(
+        "o_orderkey", "error", F.when(fine, F.coalesce(F.try_element_at("top", F.lit("size")), F.lit(""))).alias("size"), F.when(fine, F.size("postings")).alias("postings"),
+        F.when(fine, F.try_element_at(last["texts"], F.lit("role"))).alias("role"), F.when(fine, duties).alias("duties"),
+    )
