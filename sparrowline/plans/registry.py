@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from sparrowline.plans import answers, details, kept, outcomes, pages, postings, reports, states, texts  # noqa: F401  they register on import
+    from sparrowline.plans import answers, details, kept, outcomes, pages, postings, reports, sources, states, texts  # noqa: F401  they register on import
 
     return dict(_QUERIES)
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparrowline.functions import text as T
@@ -72,46 +69,56 @@ def cut_pages(items: DataFrame, source: str, page: str, known: Column, has_more:
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, skipped): the first row of each key; others with the reason."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(order))
+    """(rows, skipped): the first row of each key; others with the reason. A key's first is an aggregation, so no key's rows meet."""
     blank = T.stripped(F.coalesce(key, F.lit(""))) == ""
-    judged = df.withColumn("reason", F.when(blank, "no key").when(place > 1, "repeated"))
+    first = df.filter(~blank).groupBy(key).agg(F.min(order).alias("_first"))
+    judged = df.join(first, key, "left").withColumn("reason", F.when(blank, "no key").when(F.col(order) > F.col("_first"), "repeated"))
+    judged = judged.select(*df.columns, "reason")
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
 
 
-def _decoded(spark: SparkSession, path: str, encodings: Sequence[str]) -> DataFrame:
-    """Cells of CSV files, each a small one, in the first encoding that fits: (row, cells)."""
+def _decoded(cells: Column, encoding: str) -> Column:
+    """Cells whose signs are bytes, an array of them, as what the bytes say in an encoding; null where they say nothing."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                for e in encodings:
-                    try:
-                        text = bytes(content).decode(e)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    raise ValueError(f"{path} is in none of {encodings}")
-                cells = list(csv.reader(io.StringIO(text, newline="")))
-                yield pd.DataFrame({"row": range(len(cells)), "cells": cells})
+    def one(row) -> list | None:
+        try:
+            return [None if c is None else c.encode("latin-1").decode(encoding) for c in row]
+        except UnicodeDecodeError:
+            return None
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, cells array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(one)
 
+    return F.pandas_udf(run, "array<string>")(cells)
 
-def read_programs(spark: SparkSession, path: str, required: Sequence[str], key: str, encodings: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(programs, skipped) of a CSV file with a header; a byte-order mark and spaces around names go.
 
-    Spark reads UTF-8 of any size; `encodings` are tried in turn for small files in others.
-    ValueError if a required column is missing. `row` is the order inside the file.
+def read_programs(spark: SparkSession, path: str, required: Sequence[str], key: str, encodings: Sequence[str] = ("utf-8",)) -> tuple[DataFrame, DataFrame]:
+    """(programs, skipped) of CSV files with a header; a byte-order mark and spaces around names go.
+
+    The first of `encodings` (Python's names, of those that write ASCII as it is) in which all bytes say something is taken; ValueError
+    if there is none, or if a required column is missing. `row` is the order inside the files. Cells may hold line feeds, so a file is read
+    by one task, many files by many; what is not UTF-8 is split as bytes and decoded in Arrow batches.
     """
-    if encodings:
-        cells = _decoded(spark, path, encodings)
-        head = cells.filter("row = 0").first()["cells"]
-        raw = cells.filter("row > 0").select("row", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(head)])
+    plain = list(encodings) == ["utf-8"]
+    raw = spark.read.csv(path, header=True, multiLine=True, enforceSchema=False, escape='"', encoding="utf-8" if plain else "iso-8859-1")
+    names = raw.columns
+    if not plain:
+        cells = raw.select(F.array(*[F.col(f"`{n}`") for n in names]).alias("cells"), F.monotonically_increasing_id().alias("row"))
+        heads = [n.encode("latin-1") for n in names]
+        for encoding in encodings:
+            try:
+                said = [h.decode(encoding) for h in heads]
+            except UnicodeDecodeError:
+                continue
+            found = cells.select(_decoded(F.col("cells"), encoding).alias("cells"), "row")
+            if found.filter("cells IS NULL").isEmpty():
+                names, raw = said, found.select(*[F.get("cells", F.lit(i)).alias(str(i)) for i in range(len(names))], "row")
+                break
+        else:
+            raise ValueError(f"{path} is in none of {encodings}")
     else:
-        raw = spark.read.csv(path, header=True, multiLine=True, enforceSchema=False).withColumn("row", F.monotonically_increasing_id())
-    rows = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+        raw = raw.withColumn("row", F.monotonically_increasing_id())
+    rows = raw.toDF(*[n.lstrip("\ufeff").strip() for n in names], "row")
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
@@ -140,3 +147,36 @@ def checked_import(df: DataFrame, required: Mapping[str, str], version: int, our
         if kinds[name] != kind:
             raise ValueError(f"column {name} is {kinds[name]}, not {kind}")
     return df
+
+
+# Fixed value: the largest import, in bytes.
+MOST_BYTES = 64 << 20
+
+
+def checked_files(spark: SparkSession, path: str, magic: bytes, most: int = MOST_BYTES) -> int:
+    """The bytes of a file, or of all files of a folder, that may be imported; ValueError with the reason otherwise: nothing there,
+    too large together, or one that does not begin as its kind does. Only sizes and first bytes are looked at."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        raise ValueError("there is no such file")
+    found, size = files.listFiles(where, True), 0
+    names = []
+    while found.hasNext():
+        status = found.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            names.append(status.getPath())
+            size += status.getLen()
+    if not size:
+        raise ValueError("it is empty")
+    if size > most:
+        raise ValueError(f"it has {size} bytes, more than {most}")
+    for name in names:
+        stream = files.open(name)
+        try:
+            head = bytes(stream.readNBytes(len(magic)))
+        finally:
+            stream.close()
+        if head != magic:
+            raise ValueError(f"{name.getName()} is of another kind")
+    return size

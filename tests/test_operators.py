@@ -273,12 +273,24 @@ def test_csv_programs(spark, tmp_path):
     with pytest.raises(ValueError, match="missing: none"):
         J.read_programs(spark, str(p), ["id", "none"], "id")
     p.write_bytes("id,name\n1,가\n".encode("cp949"))
-    assert J.read_programs(spark, str(p), ["id"], "id", ["utf-8-sig", "cp949"])[0].first().name == "가"
+    assert J.read_programs(spark, str(p), ["id"], "id", ["utf-8", "cp949"])[0].first().name == "가"
+    p.write_bytes("id,name\n1,가\n".encode())
+    assert J.read_programs(spark, str(p), ["id"], "id", ["utf-8", "cp949"])[0].first().name == "가"
+    p.write_bytes(b"id,name\n1,\xff\xff\n")
+    with pytest.raises(ValueError, match="in none of"):
+        J.read_programs(spark, str(p), ["id"], "id", ["utf-8", "us-ascii"])
 
 
-def test_imports_are_checked(spark):
+def test_imports_are_checked(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "id long")
     assert J.checked_import(df, {"id": "bigint"}, 3, 3) is df
+    for magic, most, reason in ((b"PAR1", 10, "more than 10"), (b"SQLi", 1 << 20, "another kind")):
+        df.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/t")
+        assert J.checked_files(spark, f"{tmp_path}/t", b"PAR1") > 100
+        with pytest.raises(ValueError, match=reason):
+            J.checked_files(spark, f"{tmp_path}/t", magic, most)
+    with pytest.raises(ValueError, match="no such file"):
+        J.checked_files(spark, f"{tmp_path}/none", b"PAR1")
     for required, version in (({"id": "string"}, 1), ({"no": "string"}, 1), ({"id": "bigint"}, 4)):
         with pytest.raises(ValueError):
             J.checked_import(df, required, version, 3)
