@@ -7,7 +7,8 @@ also a line feed `\n`), so no text can hold a mark and every text is read back e
 
 A batch is put together at once: lengths of all segments, their cumulative offsets, and for each
 byte of text the place it goes to; headers, escaped texts and trailers are scattered into one
-preallocated buffer, of which the Arrow column of formatted parts is made without a copy.
+preallocated buffer, of which the Arrow column of formatted parts is made without a copy. Places are
+worked out slice by slice, so a long text takes a few times its own size and no more.
 
 Rows are dealt by ranges of (conversation, turn), so a conversation of any size is formatted by
 as many tasks as it needs and comes out as several parts, in order of `part`. The loss mask
@@ -40,6 +41,8 @@ CODES = {b"\\": b"b", b"<": b"l", b"[": b"s"}
 PLAIN = {b"\\" + code: char for char, code in CODES.items()} | {b"\\n": b"\n"}
 #: Bytes of text that are put together at a time.
 PORTION = 4 << 20
+#: Bytes whose places are worked out at a time, also inside one long text.
+SLICE = 1 << 20
 
 CODE = np.zeros(256, dtype=np.uint8)
 for _char, _code in CODES.items():
@@ -66,6 +69,16 @@ def _marks(role: str) -> tuple[bytes, bytes]:
     return OTHER[0] + escaped(role.encode()).replace(b"\n", b"\\n") + OTHER[1], OTHER[2]
 
 
+def _slices(data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of each slice of the bytes: where it is, which bytes are escaped, and how many are before each of its bytes and its end."""
+    carried = 0
+    for lo in range(0, len(data), SLICE):
+        special = CODE[data[lo : lo + SLICE]] > 0
+        before = carried + np.concatenate([[0], np.cumsum(special)])
+        carried = int(before[-1])
+        yield lo, lo + len(special), special, before
+
+
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The formatted turns end to end: bytes, the offset of each turn and of the end, and where
     each turn's text starts and stops."""
@@ -80,17 +93,23 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     header = np.array([len(h) for h, _ in marks], dtype=np.int64)[kind]
     trailer = np.array([len(t) for _, t in marks], dtype=np.int64)[kind]
 
-    special = CODE[data] > 0
-    before = np.concatenate([[0], np.cumsum(special)])  # escapes before each byte
-    inside = np.diff(offsets) + np.diff(before[offsets])  # bytes of each escaped text
+    escapes = np.zeros(len(offsets), dtype=np.int64)  # before each text
+    for lo, hi, _, before in _slices(data):
+        at = slice(*np.searchsorted(offsets, [lo, hi]))
+        escapes[at] = before[offsets[at] - lo]
+        escapes[at.stop :] = before[-1]
+    inside = np.diff(offsets) + np.diff(escapes)  # bytes of each escaped text
     ends = np.cumsum(header + inside + trailer)
     starts = np.concatenate([[0], ends])
 
     out = np.empty(int(starts[-1]), dtype=np.uint8)
-    shift = starts[:-1] + header - offsets[:-1] - before[offsets[:-1]]
-    place = np.arange(len(data)) + before[:-1] + np.repeat(shift, np.diff(offsets))
-    out[place] = np.where(special, ESCAPE, data)
-    out[place[special] + 1] = CODE[data[special]]
+    shift = starts[:-1] + header - offsets[:-1] - escapes[:-1]
+    for lo, hi, special, before in _slices(data):
+        first, last = np.searchsorted(offsets, lo, side="right") - 1, np.searchsorted(offsets, hi)
+        bytes_of = np.diff(np.clip(offsets[first : last + 1], lo, hi))
+        place = np.arange(lo, hi) + before[:-1] + np.repeat(shift[first:last], bytes_of)
+        out[place] = np.where(special, ESCAPE, data[lo:hi])
+        out[place[special] + 1] = CODE[data[lo:hi][special]]
     for k, (h, t) in enumerate(marks):
         rows = np.flatnonzero(kind == k)
         out[starts[rows][:, None] + np.arange(len(h))] = np.frombuffer(h, dtype=np.uint8)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import subprocess
+import sys
 
 import pyarrow as pa
 import pytest
@@ -58,3 +60,24 @@ def test_conversations_in_many_parts(spark, as_dealt):
     found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.digests(parts).collect()}
     assert found == plain(rows)
     assert C.digests(C.format_chats(df.limit(0))).count() == 0
+
+
+def test_slices_do_not_show(monkeypatch):
+    texts = pa.array([b"", b"a<b[c\\\\", None, b"", b"[" * 30, b"plain text", b""], pa.large_binary())
+    roles = pa.array(["user", "assistant", "system", "odd [x", None, "user", "assistant"])
+    want = C.assemble(roles, texts)
+    for size in (1, 2, 3, 7, 29):
+        monkeypatch.setattr(C, "SLICE", size)
+        assert all((a == b).all() for a, b in zip(C.assemble(roles, texts), want))
+
+
+def test_a_text_of_100_megabytes_takes_few_times_its_size():
+    code = """
+import resource, pyarrow as pa
+from sparrowline.llm.chat_format import assemble
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = assemble(pa.array(["user"]), pa.array([b"words [of] a long text, " * (100 * 2**20 // 24)], pa.large_binary()))[0]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, len(out) // 2**20)
+"""
+    taken, size = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert size > 100 and taken < 600
