@@ -61,6 +61,22 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return found.withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("long")).drop("_range", "_place", "_before")
 
 
+def numbered_within(df: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 inside their key, in an order that no two rows of a key share. No key's rows meet in one task.
+
+    Rows are sorted over ranges of key and order and written; a row's number is its place among the key's rows in its range and what
+    the key has in the ranges before. Only a row for each key and range is summed up by key.
+    """
+    by = [F.asc_nulls_first(key), *order]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = written(dealt.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id() % (1 << 33)}), "ranges")
+    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = dealt.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_part")).agg(F.count("*").alias("_n"), F.min("_place").alias("_low"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")).drop("_n", "_low")
+    found = dealt.join(parts, dealt[key].eqNullSafe(parts["_key"]) & (F.col("_range") == F.col("_part")))
+    return found.withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("long")).select(*df.columns, name)
+
+
 def number_groups(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups numbered from 1, largest first, then by key. Rows are groups, not members."""
     return numbered(groups, [F.desc("size"), *(F.asc(k) for k in keys)], "group_no")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparrowline.operators.relational import numbered_within
 from sparrowline.sources.scratch import written
 
 MISSES, BASELINE, LEAST_BASELINE, FLOOR = 3, 7, 3, 0.5
@@ -84,8 +85,7 @@ def missed_state(trusted: DataFrame, postings: DataFrame, seen: DataFrame) -> Da
     runs in a row without it close it. What is missing is the number of trusted runs after the
     last sighting, so runs are numbered once and no posting meets all runs.
     """
-    order = F.row_number().over(W.partitionBy("source").orderBy("run_id"))
-    runs = trusted.select("source", "run_id", order.alias("n"))
+    runs = written(numbered_within(trusted.select("source", "run_id"), "source", [F.asc("run_id")], "n"), "numbered_runs")
     total = runs.groupBy("source").agg(F.max("n").alias("total"))
     sightings = seen.join(runs, ["source", "run_id"])
     last = sightings.groupBy("source", "url").agg(F.max("n").alias("last_n"), F.max("run_id").alias("last_seen_run"))
@@ -99,8 +99,7 @@ def missed_state(trusted: DataFrame, postings: DataFrame, seen: DataFrame) -> Da
 def first_run_cap(items: DataFrame, runs: DataFrame, source: str, order: str, most: int) -> DataFrame:
     """Items up to a cap for sources that have had no new rows yet, all for others."""
     fresh = runs.groupBy(source).agg((F.max("new_count") > 0).alias("_done"))
-    place = F.row_number().over(W.partitionBy(source).orderBy(order))
-    rows = items.join(fresh, source, "left").withColumn("_place", place)
+    rows = numbered_within(items, source, [F.asc(order)], "_place").join(fresh, source, "left")
     return rows.filter(F.coalesce("_done", F.lit(False)) | (F.col("_place") <= most)).drop("_done", "_place")
 
 

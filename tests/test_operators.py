@@ -339,3 +339,15 @@ def test_numbers_of_rows_are_places_of_a_sort(spark):
     found = R.numbered(rows, [F.desc("x")], "n").collect()
     assert {(r.x, r.n) for r in found} == {(x, 1000 - x) for x in range(1000)}
     assert R.numbered(rows.limit(0), [F.desc("x")], "n").count() == 0
+
+
+def test_numbers_inside_keys_are_places_of_a_sort(spark):
+    """One key has two thirds of all rows; null is a key of its own."""
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 5}", (i * 7919) % 1000) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, at int").repartition(6)
+    found = R.numbered_within(df, "k", [F.desc("at")], "n").collect()
+    want = {}
+    for k, at in sorted(rows, key=lambda r: -r[1]):
+        want.setdefault(k, []).append(at)
+    assert sorted(((r.k or "", r.at, r.n) for r in found)) == sorted((k or "", at, i + 1) for k, ats in want.items() for i, at in enumerate(ats))
+    assert R.numbered_within(df.limit(0), "k", [F.asc("at")], "n").columns == ["k", "at", "n"]
