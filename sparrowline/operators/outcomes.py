@@ -100,3 +100,24 @@ def sending(batch: DataFrame, sent: DataFrame, keys: Sequence[str], order: str,
     before = F.coalesce(F.col("_gone"), F.lit(False)) | F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     outcome = F.when(before, "duplicate").when(F.col("_ok"), "sent").otherwise("failed")
     return rows.select(*batch.columns, outcome.alias("outcome"))
+
+
+# Fixed value: the shortest body that replaces another.
+LEAST_BODY = 200
+
+
+def improved(rows: DataFrame, found: DataFrame, key: str, notes: DataFrame, least: int = LEAST_BODY) -> tuple[DataFrame, DataFrame]:
+    """(rows, notes) after bodies have been looked for again: rows(key, body, ...), found(key, body, error), notes(key, outcome).
+
+    A body that is long enough and longer than the one before replaces it; a shorter one changes nothing; where none could be read its
+    error stands in the note. A row that is noted already keeps its note: what was first tried is told, and only once.
+    """
+    new = found.groupBy(key).agg(F.max_by(F.struct("body", "error"), F.length(F.coalesce("body", F.lit("")))).alias("_f"))
+    both = rows.join(new, key, "left")
+    old_size, new_size = F.length(F.coalesce("body", F.lit(""))), F.length(F.coalesce("_f.body", F.lit("")))
+    better = F.coalesce((new_size >= least) & (new_size > old_size), F.lit(False))
+    outcome = F.when(F.col("_f.error").isNotNull(), F.concat(F.lit("error: "), F.col("_f.error"))).when(better, "replaced").otherwise("unchanged")
+    both = both.withColumns({"_better": better & F.col("_f.error").isNull(), "_outcome": outcome})
+    fresh = both.filter(F.col("_f").isNotNull()).select(key, F.col("_outcome").alias("outcome")).join(notes.select(key), key, "left_anti")
+    kept = both.withColumn("body", F.when(F.col("_better"), F.col("_f.body")).otherwise(F.col("body"))).select(*rows.columns)
+    return kept, notes.select(key, "outcome").unionByName(fresh)

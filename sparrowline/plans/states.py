@@ -459,6 +459,13 @@ def resume_from_cursor(spark, sf_dir):
     return S.next_slice(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 700, 30)
 
 
+@query("resume_from_start", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 30")
+def resume_from_start(spark, sf_dir):
+    """The first slice again once the last run has come to the end of the table (the slice is the feature)."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return S.next_slice(orders, "o_orderkey", orders.agg(F.max("o_orderkey")).first()[0], 30)
+
+
 @query("judge_once_per_url", "SELECT page_id, length(split_part(url, '#', 1)) AS verdict FROM pages".replace("length(", "CAST(length(").replace(") AS verdict", ") AS INTEGER) AS verdict"))
 def judge_once_per_url(spark, sf_dir):
     """A judgement made once for each address and shared by its parts."""

@@ -254,6 +254,18 @@ def paged_list_cut(spark, sf_dir):
     return J.cut_pages(items, "user_id", "page", F.col("value") < 15, F.col("page") < 12, 15).select("event_id")
 
 
+@query(
+    "paged_list_places",
+    """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4, o_orderkey) - 1 AS place FROM orders""",
+)
+def paged_list_places(spark, sf_dir):
+    """Items of paged lists with their places over all pages, whatever the pages' sizes."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4).alias("page"))
+    pages = orders.groupBy("o_custkey", "page").agg(F.sort_array(F.collect_list("o_orderkey")).alias("items"))  # a page as it comes
+    items = pages.select("o_custkey", "page", F.posexplode("items").alias("index", "o_orderkey"))
+    return J.rebased(items, "o_custkey", "page", "index").select("o_orderkey", "place")
+
+
 @query(
     "first_wins_skips",
     """SELECT o_custkey, o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 THEN 'kept' ELSE 'repeated' END AS outcome FROM orders""",

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparrowline.functions import text as T
@@ -68,6 +69,18 @@ def cut_pages(items: DataFrame, source: str, page: str, known: Column, has_more:
     return cut.drop("_stop")
 
 
+def rebased(items: DataFrame, source: str, page: str, index: str, name: str = "place") -> DataFrame:
+    """Items of a paged list with their place over all its pages, from 0: their index in their page and the sizes of the pages before.
+
+    A row for each source and page is summed up, no items.
+    """
+    sizes = items.groupBy(F.col(source).alias("_source"), F.col(page).alias("_page")).agg(F.count("*").alias("_size"))
+    before = W.partitionBy("_source").orderBy("_page").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    found = items.join(sizes, items[source].eqNullSafe(sizes["_source"]) & items[page].eqNullSafe(sizes["_page"]))
+    return found.withColumn(name, F.col("_before") + F.col(index)).drop("_source", "_page", "_before")
+
+
 def first_wins(df: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped): the first row of each key; others with the reason. A key's first is an aggregation, so no key's rows meet."""
     blank = T.stripped(F.coalesce(key, F.lit(""))) == ""
