@@ -156,7 +156,7 @@ def answers_in_full(spark, sf_dir):
 @query(
     "bodies_improved",
     """WITH f AS (SELECT item_id AS doc_id, text FROM benchmark), j AS (SELECT d.doc_id, d.text AS old, f.text AS new, f.doc_id IS NOT NULL AS tried FROM documents d LEFT JOIN f USING (doc_id))
-       SELECT doc_id, length(CASE WHEN tried AND doc_id % 7 <> 0 AND length(new) >= 200 AND length(new) > length(coalesce(old, '')) THEN new ELSE old END) AS size,
+       SELECT doc_id, CAST(length(CASE WHEN tried AND doc_id % 7 <> 0 AND length(new) >= 200 AND length(new) > length(coalesce(old, '')) THEN new ELSE old END) AS INTEGER) AS size,
               CASE WHEN doc_id % 5 = 0 THEN 'noted before' WHEN NOT tried THEN NULL WHEN doc_id % 7 = 0 THEN 'error: no answer'
                    WHEN length(new) >= 200 AND length(new) > length(coalesce(old, '')) THEN 'replaced' ELSE 'unchanged' END AS outcome FROM j""",
 )
