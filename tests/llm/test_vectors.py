@@ -142,3 +142,23 @@ def test_a_query_probes_until_there_are_candidates():
     q = np.array([[4.0, 3.0, 2.0, 1.0], [1.0, 2.0, 3.0, 4.0]])
     sizes = np.array([5, 10, 10, 30])
     assert index.probed(q, sizes, 21).tolist() == [[True, True, True, False], [False, False, False, True]]
+
+
+@pytest.mark.parametrize("kind", ["queries", "components"])
+def test_recall_holds_for_odd_rows(spark, monkeypatch, kind):
+    """Queries unlike all other vectors; components of very unequal size, which codes blur."""
+    rng = np.random.default_rng(7)
+    n, dim = 8000, 32
+    if kind == "queries":
+        x = 0.3 * rng.normal(size=(n, dim)) + rng.normal(size=(50, dim))[rng.integers(0, 50, n)]
+        x[::20] = rng.normal(size=(n // 20, dim))
+    else:
+        x = rng.standard_t(1.5, size=(n, dim))
+    x = x.astype(np.float32).astype(float)
+    monkeypatch.setattr(ann, "SAMPLE_LEAST", 2000)
+    found = ann.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), shard_rows=1000).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(n // 20), np.arange(0, n, 20)] = -np.inf
+    want = {(20 * q, i) for q, row in enumerate(np.argsort(-scores, axis=1)[:, :20]) for i in row.tolist()}
+    assert len(found) == len(want)
+    assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.93 * len(want)
