@@ -16,7 +16,7 @@ from sparrowline.operators import review as V
 from sparrowline.plans.registry import query
 from sparrowline.plans.states import rule
 from sparrowline.sources import outbound as O
-from sparrowline.sources.tables import table
+from sparrowline.sources.tables import dealt, table
 
 TREE = {"north": ["n1", "n2"], "south": ["s1", "other south"]}
 
@@ -259,7 +259,7 @@ def page_texts_made(spark, sf_dir):
         "<html><head><title>t</title><style>p{}</style><meta property='og:image' content='https://a.example/", F.col("p_partkey"), ".png'></head><body><h1 class=a>", F.col("p_name"),
         "</h1><script>no()</script><p style='x'><b>", F.col("p_brand"), "</b> &amp; more<br></p><div></div><a href='/p/", F.col("p_partkey"), "' onclick='y'>x</a></body></html>",
     )
-    rows = table(spark, sf_dir, "part").select("p_partkey", H.page_parts(page, "https://a.example/list/").alias("p"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", H.page_parts(page, "https://a.example/list/").alias("p"))
     # The title is no part of the body, but of the page's lines and HTML.
     return rows.select("p_partkey", F.col("p")["visible"].alias("visible"), F.regexp_replace(F.col("p")["blocks"], r"^t\s*", "").alias("blocks"),
                        F.regexp_replace(F.col("p")["html"], "^t", "").alias("html"), F.col("p")["image"].alias("image"))
@@ -273,7 +273,7 @@ def page_lists_made(spark, sf_dir):
     """Items of lists in pages made of the table's rows."""
     page = _page("<ul id=l><li><a href='", F.col("p_partkey"), "?a=1&amp;b=2'> ", F.col("p_name"), " </a></li><li><b>no link</b></ul><ul><li>other</ul>")
     items = H.list_items(page, "#l li", "a", "https://a.example/list/")
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(items).alias("i")).select("p_partkey", "i.*")
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.explode(items).alias("i")).select("p_partkey", "i.*")
 
 
 @query(
@@ -291,7 +291,7 @@ def page_fields_made(spark, sf_dir):
     found = H.detail_fields(page, (("title", "h2"), ("body", "div.b"), ("gone", "section")))
     payload = _page('{"title": "', name, '", "url": "https://a.example", "code": "A_1", "again": null}')
     unordered = _page('{"b":"', F.col("p_brand"), '",  "a":', key, "}")
-    rows = table(spark, sf_dir, "part").select(
+    rows = dealt(spark, sf_dir, "part").select(
         "p_partkey", found.alias("f"), H.labelled(page, ("deadline",)).alias("labelled"), F.concat(F.lit("["), F.array_join(H.json_ld(page, "JobPosting"), ","), F.lit("]")).alias("found"),
         H.canonical_json_hash(unordered).alias("hash"), H.joined_url(F.lit("https://a.example/list/1"), _page("../x/", key)).alias("joined"), H.payload_text(payload).alias("said"),
     )
@@ -311,7 +311,7 @@ def page_source_text(spark, sf_dir):
     two = _page("<main><p class=body>", name, "</p><p>Where</p><p class=body>", F.col("p_brand"), "</p><aside>other</aside></main><div><span>Kind</span></div><div>", F.col("p_type"), "</div>")
     page = F.when(key == 0, one).when(key == 1, two).otherwise("<p>nothing</p>")
     info = P.labelled_info(page, ("Kind", "Where"), "")
-    return table(spark, sf_dir, "part").select("p_partkey", P.source_text(page, ".body").alias("text"), P.labelled_deadline(page).alias("deadline"),
+    return dealt(spark, sf_dir, "part").select("p_partkey", P.source_text(page, ".body").alias("text"), P.labelled_deadline(page).alias("deadline"),
                                                F.try_element_at(info, F.lit("Kind")).alias("kind"))
 
 
@@ -329,7 +329,7 @@ def link_resolution(spark, sf_dir):
     plain = P.item_links(page, ".i", "a")
     call = _page("<li class=i onclick=\"show('", key, "', 'a b')\">x</li>")
     made = P.item_links(call, ".i", "", "/v?no={onclick|arg1}&k={onclick|arg2}")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(F.when(key % 6 == 3, made).otherwise(plain), F.lit(0)).alias("i"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", F.get(F.when(key % 6 == 3, made).otherwise(plain), F.lit(0)).alias("i"))
     return rows.select("p_partkey", "i.link", "i.reason")
 
 
@@ -343,7 +343,7 @@ def fragment_list(spark, sf_dir):
     key = F.col("p_partkey")
     piece = _page("<li><b>", F.col("p_name"), "</b><i data-id='", key, "a'></i></li><li><b>second</b></li><li><i data-id='", key, "c'></i></li>")
     items = P.fragment_items(piece, "li", "b", "i@data-id", "https://a.example/v/{id}")
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(items).alias("i")).select("p_partkey", "i.*")
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.explode(items).alias("i")).select("p_partkey", "i.*")
 
 
 @query(
@@ -357,7 +357,7 @@ def item_id_candidates(spark, sf_dir):
     n = (F.col("p_partkey") + 1000).cast("string")
     piece = _page("<li data-v='1,", n, "' data-x='none'><a href='https://a.example/x/p", n, "/?no=q", n, "&e='>x</a><b data-y='p", n, "'></b></li>")
     found = P.id_candidates(piece)
-    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(found).alias("place", "c")).select("p_partkey", "place", "c.*")
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.posexplode(found).alias("place", "c")).select("p_partkey", "place", "c.*")
 
 
 @query(
@@ -394,7 +394,7 @@ def delivery_html_made(spark, sf_dir):
         "<div>", long, "</div><footer>f</footer><div>", long, "</div>",
     )
     page = F.when(key % 9 == 8, "<div> <p>&nbsp;</p><script>x</script></div>").otherwise(page)
-    return table(spark, sf_dir, "part").select("p_partkey", D.delivery_html(page, "https://a.example/list").alias("html"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", D.delivery_html(page, "https://a.example/list").alias("html"))
 
 
 @query(
@@ -406,7 +406,7 @@ def piece_resolution(spark, sf_dir):
     source = _page("First (", F.col("p_name"), ").\n", F.col("p_brand"), " and more\nlast line, whole")
     pieces = [(F.lit(0), F.upper(_page("( ", F.col("p_name"), ")"))), (F.lit(0), F.col("p_brand")), (F.lit(1), F.col("p_brand")), (F.lit(2), F.lit("qqq zzz")), (F.lit(9), F.lit("xxjj")), (F.lit(0), F.lit("--"))]
     given = F.array(*[F.struct(n.alias("line"), text.alias("text")) for n, text in pieces])
-    return table(spark, sf_dir, "part").select("p_partkey", S.resolved_pieces(source, given).alias("r")).select("p_partkey", "r.*")
+    return dealt(spark, sf_dir, "part").select("p_partkey", S.resolved_pieces(source, given).alias("r")).select("p_partkey", "r.*")
 
 
 @query(
@@ -459,7 +459,7 @@ def import_linked_entities(spark, sf_dir):
 )
 def paths_by_value(spark, sf_dir):
     """Which paths of the payloads hold known values, some compared by day, with enough items behind them."""
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("item"), F.get_json_object("props", "$.k").alias("k"), "ts")
+    events = dealt(spark, sf_dir, "events").select(F.col("event_id").alias("item"), F.get_json_object("props", "$.k").alias("k"), "ts")
     body = _page('{"k": "', F.col("k"), '", "l": [{"on": "', F.date_format("ts", "yyyy.MM.dd HH:mm"), '"}], "again": {"k": "x', F.col("k"), '"}}')
     leaves = events.select("item", F.explode(H.json_leaves(body)).alias("e")).select("item", "e.*")
     wanted = {"no": F.col("k"), "on": F.date_format("ts", "yyyy-MM-dd"), "never": F.lit("qqzz")}
@@ -474,7 +474,7 @@ def paths_by_value(spark, sf_dir):
 def paths_by_name(spark, sf_dir):
     """Which paths of the payloads look like a posting's fields, by their names."""
     body = _page('{"data": {"jobName": "', F.col("p_name"), '", "jobNameEn": "x", "endDate": "2024", "text": {"bodyHtml": "', F.repeat(F.col("p_type"), 30), '"}, "body": "short"}, "name": {"a": 1}}')
-    leaves = table(spark, sf_dir, "part").select(F.explode(H.json_leaves(body)).alias("e")).select("e.*")
+    leaves = dealt(spark, sf_dir, "part").select(F.explode(H.json_leaves(body)).alias("e")).select("e.*")
     return I.paths_by_name(leaves, {"title": ["title", "name"], "body": ["body", "text"], "end": ["close", "end"], "none": ["zzz"]}, {"body": 50})
 
 
@@ -489,7 +489,7 @@ def item_selector_narrowed(spark, sf_dir):
     cards = "".join(f'<div class="card{n} open"><b class="t">{n}</b><p>x</p></div>' for n in "ab")
     page = F.when(k == 0, f"<ul><li>menu</li>{jobs}</ul>").when(k == 1, f'<div class="list">{cards}<div>ad</div></div>').otherwise('<li><b class="t">1</b><b class="t">2</b></li>')
     item = P.repeating_item(F.concat(page, F.lit("<i>"), F.col("p_name"), F.lit("</i>")), "li", ".t")
-    return table(spark, sf_dir, "part").select("p_partkey", item.alias("item"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", item.alias("item"))
 
 
 @query(
@@ -499,7 +499,7 @@ def item_selector_narrowed(spark, sf_dir):
 def page_reduced(spark, sf_dir):
     """A page's structure without scripts, with the first two of its list's items."""
     page = _page("<style>x</style><ul id=l style='y'><li class=j>", F.col("p_name"), "</li><li class=j>b</li><li class=j>c</li><li class=j>d</li></ul><script>z</script><p>end</p>")
-    return table(spark, sf_dir, "part").select("p_partkey", P.reduced(page, 2).alias("html"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", P.reduced(page, 2).alias("html"))
 
 
 @query(
@@ -527,7 +527,7 @@ def posting_details(spark, sf_dir):
     none = _page("<main><h1>", name, "</h1><p>short</p></main><i class=e>soon</i>")
     page = F.when(k == 0, good).when(k == 1, missed).otherwise(none)
     found = P.posting_detail(page, (("title", "h1"), ("body", ".b"), ("recruitment_end_at", ".e")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("f"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", found.alias("f"))
     return rows.select("p_partkey", *[F.col("f")[v].alias(n) for n, v in {"title": "title", "body": "body", "ends": "recruitment_end_at", "unread": "_unread"}.items()])
 
 
@@ -540,4 +540,4 @@ def posting_list_failures(spark, sf_dir):
     """Items of list pages, those that cannot be read with the reason beside the others."""
     page = _page("<li><a href='/v/", F.col("p_partkey"), "'><b>", F.col("p_name"), "</b></a><i>", F.col("p_brand"), "</i></li><li><b>no link</b><a href='#x'>y</a></li><li><a href='x'>z</a></li>")
     items = P.posting_items(page, "li", "b", "a", "", "i", "https://a.example/list/")
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(items).alias("i")).select("p_partkey", "i.index", "i.title", "i.link", "i.company", "i.failed")
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.explode(items).alias("i")).select("p_partkey", "i.index", "i.title", "i.link", "i.company", "i.failed")

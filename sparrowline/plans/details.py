@@ -12,7 +12,7 @@ from sparrowline.operators import relational as R
 from sparrowline.operators.normalize import provenance
 from sparrowline.plans.registry import query
 from sparrowline.sources import payloads as J
-from sparrowline.sources.tables import table
+from sparrowline.sources.tables import dealt, table
 
 
 @query(
@@ -82,7 +82,7 @@ def image_reading(spark, sf_dir):
     """Whether a page's images are to be read: it has some, and the text of its body is short, whatever marks it up."""
     said = F.concat(F.lit("<div><b>"), F.repeat(F.lit("twelve chars"), F.col("p_size")), F.lit("</b><span> </span></div>"))
     page = F.concat(F.lit("<html><head><title>long enough to matter</title></head><body>"), said, F.when(F.col("p_size") >= 20, "<IMG src=a.png>").otherwise("&lt;img&gt;"), F.lit("</body></html>"))
-    return table(spark, sf_dir, "part").select("p_partkey", H.images_to_read(page, 35 * 12).alias("reads"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", H.images_to_read(page, 35 * 12).alias("reads"))
 
 
 @query(
@@ -148,7 +148,7 @@ def date_only_text(spark, sf_dir):
 def parts_of_posting(spark, sf_dir):
     """A posting and its parts, `url` and `url#...`, found by one key instead of by prefix."""
     url = F.col("url")
-    return table(spark, sf_dir, "pages").groupBy(T.without_fragment(url).alias("base")).agg(
+    return dealt(spark, sf_dir, "pages").groupBy(T.without_fragment(url).alias("base")).agg(
         F.count("*").alias("n"), F.count_if(F.contains(url, F.lit("#"))).alias("parts")
     )
 
@@ -209,7 +209,7 @@ def selector_coverage(spark, sf_dir):
     items = F.repeat(F.lit('<li class="job open"><a href="/x">x</a></li>'), (F.col("p_size") % 3).cast("int"))
     page = F.concat(F.lit("<title>t</title><ul id=jobs>"), items, F.lit("</ul><li class=job>no</li>"), F.when(F.col("p_size") % 2 == 0, "<article><p>b</article>").otherwise("<p>b"))
     selectors = (("title", "title"), ("item", "#jobs li.job.open"), ("body", "article p"), ("never", "blink"))
-    each = table(spark, sf_dir, "part").select(F.explode(H.selector_counts(page, selectors)).alias("name", "n"))
+    each = dealt(spark, sf_dir, "part").select(F.explode(H.selector_counts(page, selectors)).alias("name", "n"))
     return each.groupBy("name").agg(
         F.sum("n").alias("matches"), F.count_if(F.col("n") > 0).alias("pages_ok"), F.count_if(F.col("n") == 0).alias("pages_failed"),
         (F.coalesce(F.sum("n"), F.lit(0)) == 0).alias("missing"),

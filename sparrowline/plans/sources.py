@@ -11,7 +11,7 @@ from sparrowline.operators import relational as R
 from sparrowline.plans.registry import query
 from sparrowline.sources import payloads as J
 from sparrowline.sources.scratch import new_folder, written
-from sparrowline.sources.tables import table
+from sparrowline.sources.tables import dealt, table
 
 
 @query(
@@ -50,7 +50,7 @@ def program_sections(spark, sf_dir):
     """A program's texts by section: stripped, without empty texts and without sections that have none."""
     k = F.col("p_size") % 3
     about = {"name": F.when(k != 0, F.concat(F.lit("\t"), "p_name", F.lit(" \n"))), "kind": F.when(k == 1, F.col("p_type")).otherwise(" \n")}
-    rows = table(spark, sf_dir, "part").select("p_partkey", J.sections({"about": about, "who": {"brand": F.col("p_brand"), "none": F.lit(None).cast("string")}}).alias("s"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", J.sections({"about": about, "who": {"brand": F.col("p_brand"), "none": F.lit(None).cast("string")}}).alias("s"))
     return rows.select("p_partkey", F.to_json("s").alias("sections"))
 
 
@@ -98,4 +98,4 @@ def page_notices_and_icons(spark, sf_dir):
     small, large = '<link rel="icon" sizes="16x16" href="/16.png">', '<link rel="icon" sizes="128x128" href="/128.png">'
     head = F.when(k % 4 == 0, small + '<meta property="og:image" content="/og.png">').when(k % 4 == 1, large + '<link rel="apple-touch-icon" href="/touch.png">').when(k % 4 == 2, small + large).otherwise("")
     page = F.concat(F.lit("<head>"), head, F.lit("</head><body>"), said, F.lit("</body>"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", P.nothing_listed(page).alias("notice"), H.page_image(page).alias("image"))
+    return dealt(spark, sf_dir, "supplier").select("s_suppkey", P.nothing_listed(page).alias("notice"), H.page_image(page).alias("image"))

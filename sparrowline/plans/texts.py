@@ -10,7 +10,7 @@ from sparrowline.functions import spans as S
 from sparrowline.functions import text as T
 from sparrowline.plans.registry import query
 from sparrowline.sources import payloads as J
-from sparrowline.sources.tables import table
+from sparrowline.sources.tables import dealt, table
 
 
 @query(
@@ -395,27 +395,27 @@ def liveness_verdict(spark, sf_dir):
 @query("html_visible_text")
 def html_visible_text(spark, sf_dir):
     """All text that each page shows."""
-    return table(spark, sf_dir, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+    return dealt(spark, sf_dir, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
 @query("html_block_text")
 def html_block_text(spark, sf_dir):
     """Each page's text with a line for each block."""
-    return table(spark, sf_dir, "pages").select("page_id", H.block_text(F.col("html")).alias("text"))
+    return dealt(spark, sf_dir, "pages").select("page_id", H.block_text(F.col("html")).alias("text"))
 
 
 @query("html_list_items")
 def html_list_items(spark, sf_dir):
     """Items of each page's lists with place, title and absolute link."""
     items = H.list_items(F.col("html"), "nav li", "a", "https://example.com/list/")
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(items).alias("i")).select("page_id", "i.*")
+    return dealt(spark, sf_dir, "pages").select("page_id", F.explode(items).alias("i")).select("page_id", "i.*")
 
 
 @query("html_detail_fields")
 def html_detail_fields(spark, sf_dir):
     """Fields of each page by selectors, and how often each was found."""
     found = H.detail_fields(F.col("html"), (("title", "title"), ("first", "p"), ("none", "section.none")))
-    return table(spark, sf_dir, "pages").select("page_id", found.alias("f")).select(
+    return dealt(spark, sf_dir, "pages").select("page_id", found.alias("f")).select(
         "page_id", *[F.try_element_at("f", F.lit(n)).alias(n) for n in ("title", "first", "none")]
     )
 
@@ -423,14 +423,14 @@ def html_detail_fields(spark, sf_dir):
 @query("html_sanitize")
 def html_sanitize(spark, sf_dir):
     """Each page's HTML with known tags only."""
-    return table(spark, sf_dir, "pages").select("page_id", H.sanitized(F.col("html"), "https://example.com/").alias("html"))
+    return dealt(spark, sf_dir, "pages").select("page_id", H.sanitized(F.col("html"), "https://example.com/").alias("html"))
 
 
 @query("jsonld_extract")
 def jsonld_extract(spark, sf_dir):
     """Structured data of a posting in each page (put there by the query, as the tables have none)."""
     block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","id":'), "page_id", F.lit("}]}</script>"))
-    return table(spark, sf_dir, "pages").select("page_id", H.json_ld(F.concat("html", block), "JobPosting").alias("found"))
+    return dealt(spark, sf_dir, "pages").select("page_id", H.json_ld(F.concat("html", block), "JobPosting").alias("found"))
 
 
 @query(
@@ -440,7 +440,7 @@ def jsonld_extract(spark, sf_dir):
 def payload_flatten(spark, sf_dir):
     """All leaves of each payload by path, places in lists as a star."""
     payload = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "l": [{"v": "x"}, {"v": null}]}'))
-    return table(spark, sf_dir, "events").select("event_id", F.explode(H.json_leaves(payload)).alias("leaf")).select("event_id", "leaf.*")
+    return dealt(spark, sf_dir, "events").select("event_id", F.explode(H.json_leaves(payload)).alias("leaf")).select("event_id", "leaf.*")
 
 
 @query(
@@ -453,7 +453,7 @@ def span_resolve(spark, sf_dir):
     half = F.floor(F.length("text") / 2).cast("int")
     whole = F.concat(F.substring("text", F.lit(1), half), F.lit("\n"), F.when(F.col("doc_id") % 4 != 3, piece).otherwise(""), F.substring(F.col("text"), half + 1, F.length("text")))
     loosely = F.concat(F.lit("( POSTING - no "), F.col("doc_id"), F.lit(" )"))
-    return table(spark, sf_dir, "documents").select("doc_id", S.resolved_span(F.coalesce(whole, piece), loosely).alias("span"))
+    return dealt(spark, sf_dir, "documents").select("doc_id", S.resolved_span(F.coalesce(whole, piece), loosely).alias("span"))
 
 
 @query(
@@ -462,7 +462,7 @@ def span_resolve(spark, sf_dir):
 )
 def infer_paths(spark, sf_dir):
     """Which path of the payloads holds the known value: leaves joined with values, counted by path."""
-    events = table(spark, sf_dir, "events")
+    events = dealt(spark, sf_dir, "events")
     payload = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "l": [{"v": "x"}]}'))
     leaves = events.select("event_id", F.explode(H.json_leaves(payload)).alias("leaf")).select("event_id", "leaf.*")
     wanted = events.select("event_id", F.get_json_object("props", "$.k").alias("value"))

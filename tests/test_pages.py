@@ -11,6 +11,8 @@ from urllib.parse import urljoin
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparrowline.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -112,3 +114,24 @@ def test_sanitized(spark, given):
 
 def test_json_ld(spark, given):
     assert {r.page_id: r.found for r in rows(spark, "jsonld_extract")} == {i: [f'{{"@type": "JobPosting", "id": {i}}}'] for i in given}
+
+
+def test_a_single_file_is_dealt_to_all_cores(spark, tmp_path):
+    """Columns over pages are dear by row: a table of one row group must not be one task."""
+    from sparrowline.sources.tables import dealt, table
+
+    spark.range(20_000).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = dealt(spark, str(tmp_path), "part")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 2 * min(sizes)
+    assert sorted(r.id for r in rows.collect()) == sorted(r.id for r in table(spark, str(tmp_path), "part").collect())
+
+
+def test_queries_over_pages_deal_their_rows(spark):
+    import os
+
+    from sparrowline.plans import registry
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    for name in ("delivery_html_made", "page_fields_made", "selectors_made", "coverage_verdicts", "pieces_with_signs", "rules_html_text", "selector_coverage"):
+        assert "RoundRobinPartitioning" in registry.queries()[name](spark, sf)._jdf.queryExecution().toString()
