@@ -4,6 +4,8 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from sparrowline.llm import url_filter as U
 
@@ -131,3 +133,13 @@ def test_model_learns_what_rules_do(spark):
     rows += [(1000 + i, f"http://h{i}.other.fr/{'en' if i % 2 else 'de'}/{i}") for i in range(40)]
     found = {r.page_id: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert found[1001].score > found[1000].score
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_the_cut_is_that_of_all_scores(spark, seed):
+    """Over 10,000 scores a class: the best cut of all of them, not of some."""
+    rng = np.random.default_rng(seed)
+    a, r = np.round(rng.normal(-0.3, 1, 30_000), 9), np.round(rng.normal(0.3, 1, 25_000), 9)
+    scores = spark.createDataFrame(pd.DataFrame({"blocked": np.r_[np.zeros(len(a), int), np.ones(len(r), int)], "score": np.r_[a, r]})).repartition(7)
+    assert abs(U.best_cut(scores) - U.threshold(a, r)) < 1e-12
+    assert U.best_cut(scores.filter("blocked = 0")) == 0.0
