@@ -8,11 +8,12 @@ way, in tables keyed by random bits of the first 64. There are as many bits as m
 classes and as many tables as make a pair at REACH differing bits meet with probability FOUND, both by
 formula at any size of the table. In its bucket a class is linked with the class nearest to it
 and with the nearest of those before it, within RADIUS bits: two links a class and
-table, never all pairs. A link counts if the Jaccard similarity of the two texts' shingles, computed
-exactly, is SIMILARITY at least. Components of the links are the groups.
+table. A link counts if the Jaccard similarity of the two texts' shingles, computed
+exactly, is SIMILARITY at least. Those links join most classes. Then every other pair of a bucket within RADIUS bits
+whose classes are not joined yet is compared as well, so that none is left out because nearer classes
+stand between; in a family of close copies, which is joined by then, there are none. Components of all links are the groups.
 
-A pair is missed if no table shows it or if nearer classes stand between that belong to other groups; tests
-measure the share found.
+A pair is missed only if no table shows it; tests measure the share found.
 
 Defined cases: as in simhash; texts of equal fingerprint are one class without a look at their texts.
 """
@@ -76,6 +77,22 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     return whole_buckets(batches, _nearest_rows)
 
 
+def _rest_rows(keys: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """a, b: all pairs of a bucket whose roots differ, as they are met, so that memory does not grow with their number."""
+    take, groups = large_first(keys)
+    prints, roots = np.stack([fp[take], fp2[take]], axis=1), root[take]
+    for i, j, _ in close_pairs(prints.view(np.uint64), groups, RADIUS):
+        apart = roots[i] != roots[j]
+        named = [pa.array(np.ascontiguousarray(prints[at[apart], k])) for at in (j, i) for k in (0, 1)]
+        if len(named[0]):
+            yield pa.RecordBatch.from_arrays(named, names=["a", "a2", "b", "b2"])
+
+
+def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for found in whole_buckets(batches, _rest_rows):
+        yield from found
+
+
 def shingle_hashes(text: bytes | None) -> np.ndarray:
     """The distinct shingles, as the first halves of their hashes."""
     parts = [np.unique(xxh3_128(s)[:, 0]) for s in shingle_runs(text, WORDS)]
@@ -94,6 +111,24 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _pairs(met: DataFrame, compare, what: str) -> DataFrame:
+    """a, b: the names of the classes that are to be compared."""
+    near = met.mapInArrow(compare, "a long, a2 long, b long, b2 long")
+    return written(near.select(F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", "b2").alias("b")).distinct(), what)
+
+
+def _confirmed(rows: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Those pairs of classes whose texts are similar; a class has the text of its first document."""
+    linked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    chosen = classes.join(linked, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    texts = rows.join(chosen, same).select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
+    texts = written(texts, "texts")
+    pairs = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return written(pairs.mapInArrow(_confirm_batches, "a long, b long"), "links")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root: a row for each row of `docs`; rows of a group have the same root."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -103,19 +138,16 @@ def groups(docs: DataFrame) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     classes = prints.groupBy("fp", "fp2").agg(F.min(name).alias("first"), F.count("*").alias("rows"))
     classes = written(classes.select("fp", "fp2", node, "first.doc_id", "first.text_hash", "rows"), "classes")
-    met = bucketed(classes.select("fp", "fp2"), table_masks(classes.count()))
-    near = met.mapInArrow(_compare_batches, "a long, a2 long, b long, b2 long")
-    near = written(near.select(F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", "b2").alias("b")).distinct(), "near")
-
-    # Texts of the classes that are linked: those of their first documents.
-    linked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    chosen = classes.join(linked, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    texts = rows.join(chosen, same).select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
-    texts = written(texts, "texts")
-    pairs = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    roots = components(pairs.mapInArrow(_confirm_batches, "a long, b long"))
+    masks = table_masks(classes.count())
+    near = _pairs(bucketed(classes.select("fp", "fp2"), masks), _compare_batches, "near")
+    links = _confirmed(rows, classes, near)
+    roots = components(links)
+    # All pairs that the nearest links have not joined, each once.
+    joined = classes.select("fp", "fp2", "node").join(roots, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("root"))
+    rest = _pairs(bucketed(written(joined, "joined"), masks), _rest_batches, "rest")
+    more = _confirmed(rows, classes, rest.join(near, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     rooted = classes.select("fp", "fp2", "node", "rows").join(roots, "node", "left")
     rooted = written(rooted.select("fp", "fp2", "rows", F.coalesce("root", "node").alias("root")), "roots")

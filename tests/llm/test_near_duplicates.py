@@ -86,3 +86,24 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in first) == [1, 2]
     assert first == N.deduplicate(docs.repartition(3)).collect() or sorted(map(str, first)) == sorted(map(str, N.deduplicate(docs.repartition(3)).collect()))
     assert N.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_nearer_classes_between_hide_no_pair(spark, monkeypatch):
+    """x has a class nearer to it than y that is not similar enough; x and y are, and no other link joins them."""
+    monkeypatch.setattr(N, "jaccard", lambda x, y: 1.0 if {bytes(x), bytes(y)} == {b"x", b"y"} else 0.0)
+    prints = {b"x": (0, 0), b"y": (0, 0b11111), b"z": (0, 0b1), b"u": (0, 0b10111)}
+    monkeypatch.setattr(N, "fingerprint_words", lambda t, *_: np.array(prints[bytes(t)], dtype="<u8"))
+    monkeypatch.setattr(N, "_fingerprint_batches", _with(N._fingerprint_batches, N.fingerprint_words, "fingerprint_words"))
+    monkeypatch.setattr(N, "_confirm_batches", _with(N._confirm_batches, N.jaccard, "jaccard"))
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate("xyzu")], KINDS)
+    root = {r.doc_id: r.root for r in N.groups(docs).collect()}
+    assert root[0] == root[1] and len(set(root.values())) == 3
+
+
+def _with(f, value, name):
+    """`f` with another value of a global, in the workers as well."""
+    import types
+
+    made = types.FunctionType(f.__code__, f.__globals__ | {name: value}, f.__name__, f.__defaults__, f.__closure__)
+    made.__module__ = "__main__"  # sent whole, not by its name
+    return made
