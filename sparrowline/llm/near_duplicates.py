@@ -11,7 +11,9 @@ and with the nearest of those before it, within RADIUS bits: two links a class a
 table. A link counts if the Jaccard similarity of the two texts' shingles, computed
 exactly, is SIMILARITY at least. Those links join most classes. Then every other pair of a bucket within RADIUS bits
 whose classes are not joined yet is compared as well, so that none is left out because nearer classes
-stand between; in a family of close copies, which is joined by then, there are none. Components of all links are the groups.
+stand between. Such pairs can be many, in a family whose texts are near each other but not near enough. So they never are rows: the classes
+that have one are dealt with their texts to tiles of the bucket, a task compares a tile's pairs, each in the first table that shows it, and
+gives the links of a spanning forest, fewer than the tile has classes. Components of all links are the groups.
 
 A pair is missed only if no table shows it; tests measure the share found.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ WORDS, SIMILARITY = 5, 0.8
 #: Of 128 bits: links reach so far; tables are made for pairs so far apart.
 RADIUS, REACH, FOUND = 27, 22, 0.95
 BUCKET = 128
+#: Classes, and bytes of text, of the chunks that a bucket's unjoined classes are dealt to; two make a tile.
+CHUNK, CHUNK_BYTES = 256, 16 << 20
+#: Bytes of texts and shingles that a worker remembers.
+REMEMBERED = 96 << 20
 
 
 def table_masks(classes: int, bucket: int = BUCKET, seed: int = 5) -> list[int]:
@@ -77,20 +83,58 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     return whole_buckets(batches, _nearest_rows)
 
 
-def _rest_rows(keys: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """a, b: all pairs of a bucket whose roots differ, as they are met, so that memory does not grow with their number."""
+def _rest_rows(keys: np.ndarray, table: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """The classes of a bucket that have one within RADIUS whose root is another."""
     take, groups = large_first(keys)
     prints, roots = np.stack([fp[take], fp2[take]], axis=1), root[take]
+    some = np.zeros(len(take), dtype=bool)
     for i, j, _ in close_pairs(prints.view(np.uint64), groups, RADIUS):
         apart = roots[i] != roots[j]
-        named = [pa.array(np.ascontiguousarray(prints[at[apart], k])) for at in (j, i) for k in (0, 1)]
-        if len(named[0]):
-            yield pa.RecordBatch.from_arrays(named, names=["a", "a2", "b", "b2"])
+        some[i[apart]] = some[j[apart]] = True
+    columns = [pa.array(np.ascontiguousarray(c[take][some])) for c in (keys, table, fp, fp2, root)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "t", "fp", "fp2", "root"])
 
 
 def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in whole_buckets(batches, _rest_rows):
-        yield from found
+    return whole_buckets(batches, _rest_rows)
+
+
+def _tile_links(rows: list[tuple], masks: np.ndarray, similarity: Callable) -> Iterator[tuple[int, int]]:
+    """Links of a tile's rows (t, across, node, fp, fp2, root, side, text), none between what the roots or links before it join."""
+    t, across, node, fp, fp2, root, side, text = zip(*rows)
+    prints, side = np.array([fp, fp2], dtype=np.int64).T.view(np.uint64), np.array(side)
+    label = np.unique(root, return_inverse=True)[1]
+    earlier = masks[: t[0]]
+    for i in range(len(rows) - 1):
+        differ = prints[i + 1 :] ^ prints[i]
+        near = (np.bitwise_count(differ).sum(axis=1) <= RADIUS) & (label[i + 1 :] != label[i])
+        if across[0]:  # pairs of one chunk meet in that chunk's own tile
+            near &= side[i + 1 :] != side[i]
+        at = np.flatnonzero(near)
+        at = at[((differ[at, :1] & earlier) != 0).all(axis=1)] + i + 1
+        for j in at.tolist():
+            if label[i] != label[j] and similarity(text[i], text[j]) >= SIMILARITY:
+                label[label == label[j]] = label[i]
+                yield node[i], node[j]
+
+
+def _tile_batches(batches: Iterator[pa.RecordBatch], masks: np.ndarray, similarity: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile, their first three columns; one tile is held at a time."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        found = np.array(list(_tile_links(rows, masks, similarity)), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    tile, held = None, []
+    for b in batches:
+        for bucket, x, y, t, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if tile != (bucket, x, y):
+                if len(held) > 1:
+                    yield links(held)
+                tile, held = (bucket, x, y), []
+            held.append((t, x != y, *row))
+    if len(held) > 1:
+        yield links(held)
 
 
 def shingle_hashes(text: bytes | None) -> np.ndarray:
@@ -99,9 +143,30 @@ def shingle_hashes(text: bytes | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
 
 
+_known: dict[bytes | None, np.ndarray] = {}
+_held = 0
+
+
+def _remembered(text: bytes | None) -> np.ndarray:
+    """The same; a text that is compared again and again is hashed once."""
+    global _held
+    found = _known.get(text)
+    if found is None:
+        found = shingle_hashes(text)
+        size = found.nbytes + len(text or b"") + 300
+        if _held + size > REMEMBERED:
+            _known.clear()
+            _held = 0
+        if size <= REMEMBERED:
+            _known[text] = found
+            _held += size
+    return found
+
+
 def jaccard(x: bytes | None, y: bytes | None) -> float:
-    a, b = shingle_hashes(x), shingle_hashes(y)
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    a, b = sorted((_remembered(x), _remembered(y)), key=len)
+    at = b.searchsorted(a)
+    both = int((b[at[at < len(b)]] == a[at < len(b)]).sum())
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
@@ -111,24 +176,42 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _pairs(met: DataFrame, compare, what: str) -> DataFrame:
-    """a, b: the names of the classes that are to be compared."""
-    near = met.mapInArrow(compare, "a long, a2 long, b long, b2 long")
-    return written(near.select(F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", "b2").alias("b")).distinct(), what)
+def _texts(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text: a class has the text of its first document."""
+    chosen = classes.join(nodes.distinct(), "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    texts = rows.join(chosen, same).select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
+    return written(texts, "texts")
 
 
 def _confirmed(rows: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
-    """Those pairs of classes whose texts are similar; a class has the text of its first document."""
-    linked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    chosen = classes.join(linked, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    texts = rows.join(chosen, same).select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
-    texts = written(texts, "texts")
+    """Those pairs of classes whose texts are similar."""
+    texts = _texts(rows, classes, near.select(F.col("a").alias("node")).union(near.select("b")))
     pairs = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return written(pairs.mapInArrow(_confirm_batches, "a long, b long"), "links")
 
 
+def _rest_links(rows: DataFrame, classes: DataFrame, rest: DataFrame, masks: list[int]) -> DataFrame:
+    """a, b: links that join what all pairs of rest(bucket, t, node, fp, fp2, root) join whose roots differ."""
+    similarity, tables = jaccard, np.array(masks, dtype=np.uint64)
+    texts = _texts(rows, classes, rest.select("node"))
+    sized = written(rest.join(texts.select("node", F.octet_length("text").alias("size")), "node"), "sized")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.coalesce(F.sum("size"), F.lit(0)) / CHUNK_BYTES)).cast("int")
+    per = written(sized.groupBy("bucket").agg(F.count("*").alias("n"), chunks.alias("chunks")), "chunks")
+    dealt = matched(sized, per, ["bucket"], "n").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, "side").alias("x"), F.greatest(x, "side").alias("y")))
+    columns = ["t", "node", "fp", "fp2", "root", "side"]
+    met = dealt.select("bucket", F.explode(tiles).alias("tile"), *columns).select("bucket", "tile.x", "tile.y", *columns)
+    by = ["bucket", "x", "y"]
+    met = met.join(texts, "node").select(*by, *columns, "text").repartition(*by).sortWithinPartitions(*by, "node")
+
+    def run(batches):
+        return _tile_batches(batches, tables, similarity)
+
+    return written(met.mapInArrow(run, "a long, b long"), "rest_links")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root: a row for each row of `docs`; rows of a group have the same root."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -139,13 +222,15 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = prints.groupBy("fp", "fp2").agg(F.min(name).alias("first"), F.count("*").alias("rows"))
     classes = written(classes.select("fp", "fp2", node, "first.doc_id", "first.text_hash", "rows"), "classes")
     masks = table_masks(classes.count())
-    near = _pairs(bucketed(classes.select("fp", "fp2"), masks), _compare_batches, "near")
+    near = bucketed(classes.select("fp", "fp2"), masks).mapInArrow(_compare_batches, "a long, a2 long, b long, b2 long")
+    near = written(near.select(F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", "b2").alias("b")).distinct(), "near")
     links = _confirmed(rows, classes, near)
     roots = components(links)
-    # All pairs that the nearest links have not joined, each once.
+    # All pairs that the nearest links have not joined.
     joined = classes.select("fp", "fp2", "node").join(roots, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("root"))
-    rest = _pairs(bucketed(written(joined, "joined"), masks), _rest_batches, "rest")
-    more = _confirmed(rows, classes, rest.join(near, ["a", "b"], "left_anti"))
+    rest = bucketed(written(joined, "joined"), masks, table=True).mapInArrow(_rest_batches, "bucket long, t int, fp long, fp2 long, root long")
+    rest = written(rest.withColumn("node", node), "rest")
+    more = _rest_links(rows, classes, rest, masks)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

@@ -265,8 +265,8 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bucketed(nodes: DataFrame, masks: list[int], tile: int = 4096, radius: int | None = None) -> DataFrame:
-    """bucket and the columns of nodes(fp, ...), sorted by bucket: nodes meet where they agree in all bits of a mask.
+def bucketed(nodes: DataFrame, masks: list[int], tile: int = 4096, radius: int | None = None, table: bool = False) -> DataFrame:
+    """bucket, with `table` the mask's number t, and the columns of nodes(fp, ...), sorted by bucket: nodes meet where they agree in all bits of a mask.
 
     A bucket above `tile` nodes, which a family of texts with much in common makes, is keyed again by blocks of the other bits where
     all pairs within `radius` bits are wanted: each node goes to a few smaller buckets, and every such pair meets in one. What is above
@@ -294,7 +294,7 @@ def bucketed(nodes: DataFrame, masks: list[int], tile: int = 4096, radius: int |
     by = ["t", "key", "block", "inner", "i", "j"]
     met = dealt.select(*by[:4], F.explode(tiles).alias("x"), *columns).select(*by[:4], "x.i", "x.j", *columns)
     met = met.repartition(*by).sortWithinPartitions(*by, *columns)
-    return met.select(F.xxhash64(*by).alias("bucket"), *columns)
+    return met.select(F.xxhash64(*by).alias("bucket"), *(["t"] if table else []), *columns)
 
 
 def edges(distinct_fps: DataFrame, tile: int = 4096) -> DataFrame:

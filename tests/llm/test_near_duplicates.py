@@ -100,6 +100,45 @@ def test_nearer_classes_between_hide_no_pair(spark, monkeypatch):
     assert root[0] == root[1] and len(set(root.values())) == 3
 
 
+@pytest.mark.parametrize("chunk, bucket", [(256, 4096), (64, 32)])
+def test_a_family_that_is_near_but_not_joined_makes_no_row_a_pair(spark, monkeypatch, chunk, bucket):
+    """Texts near one base, many pairs of which are within RADIUS and not similar enough: all are compared, none is a row."""
+    monkeypatch.setattr(N, "CHUNK", chunk)
+    masks = N.table_masks
+    monkeypatch.setattr(N, "table_masks", lambda n: masks(n, bucket))
+    rng = random.Random(8)
+    base, texts = text_of(rng, 150), []
+    for _ in range(260):
+        words = list(base)
+        for _ in range(rng.randint(2, 7)):
+            words[rng.randrange(150)] = f"x{rng.randrange(9999)}"
+        texts.append(words)
+    made, keep = {}, N.written
+
+    def counted(df, what):
+        found = keep(df, what)
+        made[what] = max(made.get(what, 0), found.count())
+        return found
+
+    monkeypatch.setattr(N, "written", counted)
+    docs = spark.createDataFrame([(i, " ".join(t), None) for i, t in enumerate(texts)], KINDS)
+    root = {r.doc_id: r.root for r in N.groups(docs).collect()}
+    prints = np.array([N.fingerprint_words(" ".join(t).encode(), 5, N.xxh3_128) for t in texts])
+    tables = N.table_masks(260)
+    pairs = [
+        (i, j) for i in range(260) for j in range(i)
+        if np.bitwise_count(prints[i] ^ prints[j]).sum() <= N.RADIUS and any(not int(prints[i][0] ^ prints[j][0]) & m for m in tables)
+    ]
+    link = list(range(260))
+    for i, j in pairs:
+        if plain_jaccard(texts[i], texts[j]) >= 0.8:
+            a, b = link[i], link[j]
+            link = [min(a, b) if x in (a, b) else x for x in link] if a != b else link
+    assert len({(link[i], root[i]) for i in range(260)}) == len(set(link)) == len(set(root.values()))
+    apart = sum(link[i] != link[j] for i, j in pairs)
+    assert apart > 3000 > max(made.values()) and made["rest"] <= 260 * len(tables)
+
+
 def _with(f, value, name):
     """`f` with another value of a global, in the workers as well."""
     import types
